@@ -3,13 +3,14 @@
 The words of an item and those of item-sized windows of a document are compared by
 edit distance. A CGK embedding - a walk over the words whose steps are random bits
 of position and word - maps it to Hamming distance; keys of a few sampled positions
-of the walk are looked up among those of the items, REPEATS times with new bits, so
+of the walk are looked up among those of the items, again and again, so
 that a window within the allowed distance is proposed all but surely. Proposals are
-verified by the exact edit distance.
+verified by the exact edit distance. Each of WALKS embeddings is sampled SAMPLES
+times.
 
 Only windows that can be within the distance are embedded: an edit destroys at most
-three of an item's word triples, so a window with fewer of the items' triples than
-that leaves is none. This count filter loses nothing.
+three of an item's word triples, so a window with fewer of any one item's triples
+than that leaves is none. This count filter loses nothing.
 """
 
 from __future__ import annotations
@@ -26,28 +27,33 @@ from weftspark.llm.textnum import Words, mix
 
 #: Share of an item's words that may be edited, and the fewest words an item has.
 EDITS, LEAST = 0.2, 5
-REPEATS, SAMPLED = 24, 3
+WALKS, SAMPLES, SAMPLED = 4, 6, 3
 #: Items of more bytes than that are taken in several passes, so that what a task holds is bounded.
 ITEM_BYTES = 8 << 20
+#: Windows that a task gathers before it embeds them.
+HELD = 30_000
 
 
 def allowed(length: int, edits: float = EDITS) -> int:
     return max(0, min(int(edits * length + 1e-9), (length - 3) // 3))
 
 
-def embed(symbols: np.ndarray, repeat: int, places: np.ndarray) -> np.ndarray:
-    """Keys of rows of symbols: one random walk over each, sampled at `places`."""
+def embed(symbols: np.ndarray, walk: int, samples: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys of rows of symbols, one for each sample: one random walk over each row, read at the sampled steps."""
     n, length = symbols.shape
-    padded = np.concatenate([symbols, np.zeros((n, 1), np.uint64)], 1)
-    at, rows = np.zeros(n, np.int64), np.arange(n)
-    key = np.full(n, repeat, np.uint64)
-    for j in range(int(places.max()) + 1):
-        now = padded[rows, at]
-        if j in places:
-            key = mix(key * np.uint64(0x9E3779B97F4A7C15) + now)
-        bit = mix(now + np.uint64((repeat << 20) + j + 1)) >> np.uint64(63)
-        at = np.minimum(at + bit.astype(np.int64), length)
-    return key
+    padded = np.concatenate([symbols, np.zeros((n, 1), np.uint64)], 1).ravel()
+    at = np.arange(n) * (length + 1)
+    last = at + length
+    keys = [np.full(n, walk, np.uint64) for _ in samples]
+    bits = padded
+    for j in range(max(int(s.max()) for s in samples) + 1):
+        if j % 64 == 0:  # 64 more random bits of each word
+            bits = mix(padded + np.uint64((walk << 20) + j + 1))
+        for k, sample in enumerate(samples):
+            if j in sample:
+                keys[k] = mix(keys[k] * np.uint64(0x9E3779B97F4A7C15) + padded[at])
+        at = np.minimum(at + ((bits[at] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64), last)
+    return keys
 
 
 def edit_distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,86 +73,101 @@ def edit_distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np
 class Index:
     """The items of one pass: their triples, and for each length the keys of their embeddings."""
 
-    def __init__(self, ids: list[int], texts: list[str], edits: float, repeats: int, sampled: int, seed: int = 3):
+    def __init__(self, ids: list[int], texts: list[str], edits: float, walks: int = WALKS, samples: int = SAMPLES, seed: int = 3):
         words = Words(pa.array(texts, pa.large_string()))
-        self.triples = np.unique(words.grams(3)[0])
+        grams, first = words.grams(3)
+        pairs, self.times = np.unique(np.stack([grams, words.row[first].astype(np.uint64)]), axis=1, return_counts=True)
+        self.triples, self.triple_item = pairs[0], pairs[1].astype(np.int64)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.triples & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         rng = np.random.default_rng(seed)
         self.groups = {}
-        sizes = np.diff(words.offsets)
+        sizes = self.length = np.diff(words.offsets)
         for length in sorted({int(s) for s in sizes if s >= LEAST}):
             own = np.flatnonzero(sizes == length)
             symbols = np.stack([words.hashes[words.offsets[i] : words.offsets[i + 1]] for i in own])
-            places = [np.sort(rng.choice(2 * length, sampled, replace=False)) for _ in range(repeats)]
+            places = [[np.sort(rng.choice(2 * length, SAMPLED, replace=False)) for _ in range(samples)] for _ in range(walks)]
             tables = []
-            for r, p in enumerate(places):
-                keys = embed(symbols, r, p)
-                order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], order))
+            for walk, chosen in enumerate(places):
+                for keys in embed(symbols, walk, chosen):
+                    order = np.argsort(keys, kind="stable")
+                    tables.append((keys[order], order))
             self.groups[length] = (np.array([ids[i] for i in own]), symbols, places, tables, allowed(length, edits))
-        self.least = min((n - 2 - 3 * g[4] for n, g in self.groups.items()), default=1)
-        self.longest = max(self.groups, default=0)
 
-    def search(self, words: Words) -> list[tuple[int, int, int, int]]:
-        """(row, item id, distance, item's words) of the rows of words, each item once a row."""
+    def candidates(self, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length, rows, windows, windows with their surroundings) of item-sized windows with enough triples of an item."""
         grams, first = words.grams(3)
         maybe = np.flatnonzero(self.filter[(grams & np.uint64((1 << 20) - 1)).astype(np.int64)]) if len(grams) else np.zeros(0, int)
         if not self.groups or not len(maybe):
-            return []
-        slot = np.minimum(np.searchsorted(self.triples, grams[maybe]), len(self.triples) - 1)
-        hits = first[maybe[self.triples[slot] == grams[maybe]]]
-        # starts from which a window of the longest item's size holds enough triples for any item
-        found: dict[tuple[int, int], tuple[int, int]] = {}
-        for length, (ids, symbols, places, tables, limit) in self.groups.items():
-            need = length - 2 - 3 * limit
-            if len(hits) < need:
+            return
+        a, b = np.searchsorted(self.triples, grams[maybe], "left"), np.searchsorted(self.triples, grams[maybe], "right")
+        which, slot = _expand(a, b - a)
+        hits, hit_item = first[maybe[which]], self.triple_item[slot]
+        by = np.argsort(hit_item, kind="stable")
+        hits, hit_item, slot = hits[by], hit_item[by], slot[by]
+        # of a run of one triple, a window that reaches beyond it has the first or the last ones; more than the item has don't count
+        edge = np.flatnonzero(np.diff(slot, prepend=-1) | (np.diff(hits, prepend=-9) != 1))
+        size = np.diff(np.append(edge, len(hits)))
+        place = np.arange(len(hits)) - np.repeat(edge, size)
+        counts = np.minimum(place, np.repeat(size, size) - 1 - place) < self.times[slot]
+        hits, hit_item = hits[counts], hit_item[counts]
+        hit_row, hit_length = words.row[hits], self.length[hit_item]
+        for length in np.unique(hit_length):
+            if length not in self.groups:
+                continue
+            need = length - 2 - 3 * self.groups[length][4]
+            own = np.flatnonzero(hit_length == length)
+            if len(own) < need:
                 continue
-            # hits[i] .. hits[i + need - 1] in one window: starts between the last one's end less the length and the first
-            first_hit, last_hit = hits[: len(hits) - need + 1], hits[need - 1 :]
-            fit = (last_hit + 3 - first_hit <= length) & (words.row[first_hit] == words.row[last_hit])
-            low, high = last_hit[fit] + 3 - length, first_hit[fit]
+            # `need` triples of one item in one window: it starts between the last one's end less the length and the first
+            one, last = own[: len(own) - need + 1], own[need - 1 :]
+            fit = (hit_item[one] == hit_item[last]) & (hit_row[one] == hit_row[last])
+            fit &= hits[last] + 3 - hits[one] <= length
+            low, high = hits[last][fit] + 3 - length, hits[one][fit]
             if not len(low):
                 continue
             row = words.row[high]
             low = np.maximum(low, words.offsets[row])
             high = np.minimum(high, np.maximum(words.offsets[row + 1] - length, words.offsets[row]))
             low = np.minimum(low, high)
-            size = high - low + 1
-            starts = np.unique(np.repeat(low - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()))
-            for at in range(0, len(starts), 20_000):
-                self._window(words, starts[at : at + 20_000], length, found)
-        return [(row, item, distance, n) for (row, item), (distance, n) in found.items()]
+            starts = np.unique(_expand(low, high - low + 1)[1])
+            limit, row = self.groups[length][4], words.row[starts]
+            end = words.offsets[row + 1][:, None]
+
+            def cut(begin: np.ndarray, width: int, end: np.ndarray = end) -> np.ndarray:
+                at = begin[:, None] + np.arange(width)
+                return np.where(at < end, words.hashes[np.minimum(at, len(words.hashes) - 1)], np.uint64(0))
+
+            around = cut(np.maximum(starts - limit, words.offsets[row]), length + 2 * limit)
+            yield int(length), row, cut(starts, length), around
 
-    def _window(self, words: Words, starts: np.ndarray, length: int, found: dict) -> None:
+    def verified(self, length: int, windows: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, item id, distance) of the windows that LSH proposes for an item and that are within its distance."""
         ids, symbols, places, tables, limit = self.groups[length]
-        row = words.row[starts]
-        end = words.offsets[row + 1]
-        cut = lambda begin, width: np.where(
-            (at := begin[:, None] + np.arange(width)) < end_of[:, None], words.hashes[np.minimum(at, len(words.hashes) - 1)], np.uint64(0)
-        )
-        end_of = end
-        windows = cut(starts, length)
+        distinct, same = np.unique(windows, axis=0, return_inverse=True)
         proposed = []
-        for r in range(len(places)):
-            keys, order = tables[r]
-            own = embed(windows, r, places[r])
+        keyed = (keys for walk, chosen in enumerate(places) for keys in embed(distinct, walk, chosen))
+        for (keys, order), own in zip(tables, keyed, strict=True):
             a, b = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            count = b - a
-            which = np.repeat(np.arange(len(own)), count)
-            slot = np.repeat(a - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+            which, slot = _expand(a, b - a)
             proposed.append(which * len(ids) + order[slot])
         proposed = np.unique(np.concatenate(proposed))
-        which, item = proposed // len(ids), proposed % len(ids)
-        for at in range(0, len(which), 4096):
-            w, i = which[at : at + 4096], item[at : at + 4096]
-            begin = np.maximum(starts[w] - limit, words.offsets[row[w]])
-            end_of = end[w]
-            distance, _ = edit_distances(symbols[i], cut(begin, length + 2 * limit))
-            for k in np.flatnonzero(distance <= limit):
-                key = (int(row[w[k]]), int(ids[i[k]]))
-                if key not in found or distance[k] < found[key][0]:
-                    found[key] = (int(distance[k]), length)
+        of, item = proposed // len(ids), proposed % len(ids)
+        a = np.searchsorted(of, same)
+        which, slot = _expand(a, np.searchsorted(of, same, "right") - a)
+        item = item[slot]
+        distance = np.concatenate(
+            [edit_distances(symbols[item[k : k + 4096]], around[which[k : k + 4096]])[0] for k in range(0, len(which), 4096)]
+            or [np.zeros(0, np.int64)]
+        )
+        near = distance <= limit
+        return which[near], ids[item[near]], distance[near]
+
+
+def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row i its number, count[i] times, and with it first[i], first[i] + 1, ..."""
+    which = np.repeat(np.arange(len(first)), count)
+    return which, np.arange(len(which)) + np.repeat(first - (np.cumsum(count) - count), count)
 
 
 def contaminated(
@@ -157,8 +178,8 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     edits: float = EDITS,
-    repeats: int = REPEATS,
-    sampled: int = SAMPLED,
+    walks: int = WALKS,
+    samples: int = SAMPLES,
     item_bytes: int = ITEM_BYTES,
 ) -> DataFrame:
     """(id_col, item_col, distance, n_words): the items that a document holds, n_words the item's and distance the edits.
@@ -182,18 +203,31 @@ def contaminated(
     found = None
     for k in range(passes):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).orderBy("item", "text").collect()
-        index = Index([r["item"] for r in part], [r["text"] for r in part], edits, repeats, sampled)
+        index = Index([r["item"] for r in part], [r["text"] for r in part], edits, walks, samples)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list] = {}
+            size = 0
+
+            def flush() -> Iterator[pa.RecordBatch]:
+                for length, parts in held.items():
+                    rows, windows, around = pa.concat_arrays([p[0] for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))
+                    which, item, distance = index.verified(length, windows, around)
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.take(pa.array(which)), pa.array(item), pa.array(distance), pa.array(np.full(len(which), length))], names=out.names
+                    )
+                held.clear()
+
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     piece = batch.slice(at, 1000)
-                    hits = index.search(Words(piece.column(1)))
-                    yield pa.RecordBatch.from_arrays(
-                        [piece.column(0).take(pa.array([h[0] for h in hits], pa.int64()))]
-                        + [pa.array([h[i] for h in hits], pa.int64()) for i in (1, 2, 3)],
-                        names=out.names,
-                    )
+                    for length, row, windows, around in index.candidates(Words(piece.column(1))):
+                        held.setdefault(length, []).append((piece.column(0).take(pa.array(row)), windows, around))
+                        size += len(row)
+                    if size > HELD:
+                        yield from flush()
+                        size = 0
+            yield from flush()
 
         one = rows.mapInArrow(run, out)
         found = one if found is None else found.union(one)

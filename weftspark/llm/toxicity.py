@@ -25,10 +25,12 @@ WINDOW, STRIDE = 32, 16
 DIM_WORD, DIM_CHAR, HIDDEN, ATTEND = 8, 8, 8, 8
 PLACES = 12
 #: Bound on the training sample: texts of each label by smallest digest, none of more bytes than that.
-SAMPLE, SAMPLE_BYTES = 1200, 1 << 16
-EPOCHS = 10
-#: A word needs so many training texts for a vector of its own.
-OFTEN = 4
+SAMPLE, SAMPLE_BYTES = 1500, 1 << 14
+EPOCHS = 12
+#: A word needs so many training texts for a vector of its own, and one of so many of all of them.
+OFTEN, OFTEN_SHARE = 5, 150
+#: One text of so many of the sample is not trained on: the logistic curve is fitted on these.
+CURVE = 4
 
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -180,24 +182,30 @@ def text_logits(net: Network, texts: pa.Array) -> np.ndarray:
     return np.where(np.isinf(out), net.p["level"][0], out)
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 1) -> Network | float:
+def fit(texts: list[str], labels: np.ndarray, share: float | None = None, epochs: int = EPOCHS, seed: int = 1) -> Network | float:
     """A network trained on labelled texts; their share of toxic ones if only one label occurs.
 
+    share: of toxic texts where the sample comes from, for which the curve is fitted.
+
     A text's label is that of its highest window, so each epoch scores all windows
-    and then learns the two highest of every text and, of texts that aren't toxic,
-    two drawn at random.
+    and then learns the highest of every text and, of texts that aren't toxic, one
+    drawn at random.
     """
     labels = np.asarray(labels, np.float32)
     if not len(labels) or labels.min() == labels.max():
         return float(labels.mean()) if len(labels) else 0.0
-    column = pa.array(texts, pa.large_string())
+    turn = np.arange(len(labels)) % CURVE == CURVE - 1
+    if len({*labels[turn]}) < 2 or len({*labels[~turn]}) < 2:
+        turn = np.zeros(len(labels), bool)
+    everything, every_label = pa.array(texts, pa.large_string()), labels
+    column, labels = everything.filter(pa.array(~turn)), labels[~turn]
     words = Words(column, _BETWEEN)
     pairs = np.unique(np.stack([words.hashes, words.row.astype(np.uint64)]), axis=1)
     vocabulary, at, df = np.unique(pairs[0], return_index=True, return_counts=True)
     toxic = np.add.reduceat(labels[pairs[1].astype(np.int64)], at)
-    share = labels.mean()
-    odds = np.log((toxic + 0.5 * share) / (df - toxic + 0.5 * (1 - share))) - np.log(share / (1 - share))
-    often = df >= OFTEN
+    mean = labels.mean()
+    odds = np.log((toxic + 0.5 * mean) / (df - toxic + 0.5 * (1 - mean))) - np.log(mean / (1 - mean))
+    often = df >= max(OFTEN, len(labels) // OFTEN_SHARE)
     net = Network(vocabulary[often], np.clip(odds[often] * np.minimum(1, df[often] / 12), -2, 4).astype(np.float32), seed)
     rng = np.random.default_rng(seed)
     first, second = ({k: np.zeros_like(v) for k, v in net.p.items()} for _ in range(2))
@@ -215,18 +223,19 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
             if a < b:
                 chosen += [a + int(logits[a:b].argmax())]
                 if not labels[i]:
-                    chosen += list(a + rng.integers(0, b - a, 2))
+                    chosen += list(a + rng.integers(0, b - a, 1))
         chosen = rng.permutation(np.array(chosen))
-        for a in range(0, len(chosen), 256):
-            part = places[chosen[a : a + 256]]
+        size = min(256, max(16, len(chosen) // 25))
+        for a in range(0, len(chosen), size):
+            part = places[chosen[a : a + size]]
             used, index = np.unique(part[part >= 0], return_inverse=True)
             sub = _Subset(words, used)
             x, own, extra = net.inputs(sub)
             full = np.full(part.shape, -1)
             full[part >= 0] = own[index]
             logit, saved = net.forward(x, full, keep=True)
-            y = labels[row[chosen[a : a + 256]]]
-            slope = ((sigmoid(logit) - y) * np.where(y > 0, 2.0, 1.0) / len(y)).astype(np.float32)
+            y = labels[row[chosen[a : a + size]]]
+            slope = ((sigmoid(logit) - y) * 1 / len(y)).astype(np.float32)
             g = net.backward(x, full, saved, slope, extra)
             step += 1
             for k, v in net.p.items():
@@ -235,7 +244,11 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int =
                 second[k] += 0.01 * (d * d - second[k])
                 rate = {"word": 0.004, "char": 0.002}.get(k, 0.01)
                 v -= (rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    net.curve = _logistic(text_logits(net, column), labels)
+    if turn.any():
+        column, labels = everything.filter(pa.array(turn)), every_label[turn]
+    share = labels.mean() if share is None else min(max(share, 1e-4), 1 - 1e-4)
+    weight = np.where(labels > 0, share / labels.mean(), (1 - share) / (1 - labels.mean()))
+    net.curve = _logistic(text_logits(net, column), labels, weight)
     return net
 
 
@@ -247,19 +260,22 @@ class _Subset:
         self.start, self.end, self.at, self.raw = words.start[used], words.end[used], words.at, words.raw
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and level of the logistic curve of y over x, by Newton's method with a small ridge; the slope is positive."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and level of the logistic curve of y over x in weighted rows, by Newton's method in bounded steps
+    with a small ridge; the slope stays positive."""
     a, b = 1.0, 0.0
-    for _ in range(50):
+    for _ in range(200):
         p = sigmoid(a * x + b)
-        w = p * (1 - p) + 1e-6
-        grad = np.array([((p - y) * x).sum() + 1e-2 * (a - 1), (p - y).sum()])
-        hess = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum()]])
+        w = weight * p * (1 - p)
+        error = weight * (p - y)
+        grad = np.array([(error * x).sum() + a - 1, error.sum() + 1e-2 * b])
+        hess = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
         step = np.linalg.solve(hess, grad)
-        a, b = a - step[0], b - step[1]
-        if abs(step).max() < 1e-8:
+        step /= max(1.0, float(np.abs(step).max()))
+        a, b = max(0.05, a - step[0]), b - step[1]
+        if np.abs(step).max() < 1e-7:
             break
-    return (float(a), float(b)) if np.isfinite(a) and a > 0 else (1.0, 0.0)
+    return float(a), float(b)
 
 
 def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, seed: int = 1) -> Network | float:
@@ -267,10 +283,12 @@ def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sampl
     rows = labelled.where(F.col(label_col).isin(0, 1) & (F.octet_length(text_col) <= SAMPLE_BYTES)).select(
         F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")
     )
+    counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     order = Window.partitionBy("y").orderBy("h", "text")
     chosen = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("h", "text", "y").toPandas()
     chosen = chosen.sort_values(["h", "text"])
-    return fit(chosen.text.tolist(), chosen.y.to_numpy(), seed=seed)
+    return fit(chosen.text.tolist(), chosen.y.to_numpy(), share, seed=seed)
 
 
 def score(model: Network | float) -> Column:
