@@ -10,8 +10,10 @@
    no list unless it makes up most of them.
 3. Short lists give all their pairs. In a long list every class is first compared
    with a few classes of the list that all its members agree on; what these links
-   have joined needs no more comparing, and the pairs of a long list that are still
-   in different components are then compared one by one. No pair is capped.
+   have joined needs no more comparing. Long lists whose classes are still in
+   different components are pooled with those they share classes with, and what of
+   a pool is outside its largest component is compared with all of it, block by
+   block on the full sets. No pair is capped.
 4. The union sketch of a pair estimates its similarity; pairs that may reach the
    threshold are confirmed on the full sets.
 5. Links join classes to components, and each is named by its smallest id.
@@ -39,6 +41,8 @@ K = 64
 SLACK = 4.5
 #: A list of more classes is long; leaders: classes that the members of a long list are compared with first.
 LONG, LEADERS = 16, 6
+#: Classes and shingles that a block of a pool has about.
+POOL_ROWS, POOL_SHINGLES = 256, 200_000
 
 
 def least_overlap(size: int, k: int, similarity: float) -> int:
@@ -134,6 +138,85 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, out).dropDuplicates(["cls"])
 
 
+def _pool_links(pooled: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of pooled (cls, n, root, pool, set): links that join what all links within the pools would join.
+
+    The classes of a pool outside its largest component, and those inside, are dealt
+    to blocks by hash; each outer block meets every block of the pool in a group of its own.
+    A group reports a spanning forest of its links between different roots.
+    """
+    members = pooled.groupBy("pool", "root").agg(F.count("*").alias("m"))
+    major = members.groupBy("pool").agg(F.max_by("root", F.struct("m", "root")).alias("major"))
+    rows = pooled.join(major, "pool").withColumn("outer", F.col("root") != F.col("major")).drop("major")
+    sizes = rows.groupBy("pool").agg(
+        *[
+            F.ceil(
+                F.greatest(
+                    F.sum(F.when(own, 1).otherwise(0)) / POOL_ROWS, F.sum(F.when(own, F.col("n")).otherwise(0)) / POOL_SHINGLES
+                )
+            ).alias(name)
+            for name, own in (("outs", F.col("outer")), ("ins", ~F.col("outer")))
+        ]
+    )
+    rows = rows.join(sizes, "pool")
+    spread = F.xxhash64(F.lit(23), "cls")
+    block = F.when(F.col("outer"), F.pmod(spread, "outs")).otherwise(F.pmod(spread, F.greatest("ins", F.lit(1))))
+    meets = lambda last: F.sequence(F.lit(0).cast("long"), last - 1)
+    pair = lambda i, j, kind: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    groups = F.when(
+        F.col("outer"),
+        F.concat(
+            F.transform(meets(F.col("outs")), lambda j: pair(F.least("block", j), F.greatest("block", j), 0)),
+            F.when(F.col("ins") > 0, F.transform(meets(F.col("ins")), lambda j: pair(F.col("block"), j, 1))).otherwise(
+                F.array().cast("array<struct<kind:int,i:bigint,j:bigint>>")
+            ),
+        ),
+    ).otherwise(F.transform(meets(F.col("outs")), lambda j: pair(j, F.col("block"), 1)))
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["set"]]
+        size = np.array([len(x) for x in sets])
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, which, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        column = np.cumsum(count > 1) - 1
+        often = count[which] > 1
+        owner, which = owner[often], column[which[often]]
+        by = np.argsort(which, kind="stable")
+        owner, which = owner[by], which[by]
+        both = np.zeros((len(sets), len(sets)), np.float64)
+        for low in range(0, int(which[-1]) + 1 if len(which) else 0, 4096):
+            a, b = np.searchsorted(which, [low, low + 4096])
+            part = np.zeros((len(sets), 4096), np.float32)
+            part[owner[a:b], which[a:b] - low] = 1
+            both += part @ part.T
+        roots = pdf["root"].to_numpy()
+        near = 100 * both >= round(similarity * 100) * (size[:, None] + size - both)
+        near &= roots[:, None] != roots
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        names = pdf["cls"].to_numpy()
+        for i, j in zip(*np.nonzero(np.triu(near)), strict=True):
+            x, y = top(int(roots[i])), top(int(roots[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((names[i], names[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return (
+        rows.withColumn("block", block)
+        .select("pool", "cls", "root", "set", F.explode(groups).alias("g"))
+        .groupBy("pool", "g")
+        .applyInPandas(forest, "a long, b long")
+    )
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -201,6 +284,12 @@ def near_duplicates(
         .select(F.least("cls", "b").alias("a"), F.greatest("cls", "b").alias("b"))
     )
 
+    def sets_of(asked: DataFrame) -> DataFrame:
+        """(cls, set) of the classes asked for."""
+        chosen = classes.join(asked.distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("_id"))
+        texts = chosen.join(rows, chosen["_id"].eqNullSafe(rows["_id"])).select("cls", "_text")
+        return _full_sets(texts, words)
+
     def confirmed(candidates: DataFrame) -> DataFrame:
         """The pairs (a, b) of candidates whose full sets are similar enough."""
         half = classes.select("cls", "n", "sketch")
@@ -219,10 +308,7 @@ def near_duplicates(
             .select("a", "b", "na", "nb")
         )
         likely = settle(likely)
-        asked = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
-        chosen = classes.join(asked, "cls", "left_semi").select("cls", F.col("rep").alias("_id"))
-        texts = chosen.join(rows, chosen["_id"].eqNullSafe(rows["_id"])).select("cls", "_text")
-        sets = settle(_full_sets(texts, words))
+        sets = settle(sets_of(likely.select(F.col("a").alias("cls")).union(likely.select("b"))))
         return (
             likely.join(sets.toDF("a", "xa"), "a")
             .join(sets.toDF("b", "xb"), "b")
@@ -234,19 +320,17 @@ def near_duplicates(
     links = settle(confirmed(pairs.union(stars)))
     found = settle(components(links))
 
-    # pairs of long lists that no path joins yet
+    # classes of long lists that no path joins yet
     placed = long.select("v", "cls", "n").join(found.toDF("cls", "root"), "cls", "left")
     placed = placed.withColumn("root", F.coalesce("root", "cls"))
     apart = placed.select("v", "root").distinct().groupBy("v").count().where("count > 1").select("v")
     placed = settle(placed.join(apart, "v", "left_semi"))
-    rest = (
-        placed.toDF(*[{"cls": "a", "root": "ra", "n": "na"}.get(c, c) for c in placed.columns])
-        .join(placed.toDF(*[{"cls": "b", "root": "rb", "n": "nb"}.get(c, c) for c in placed.columns]), "v")
-        .where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fit(F.col("na"), F.col("nb")))
-        .select("a", "b")
-    )
-    more = settle(confirmed(rest))
-    if not more.isEmpty():
+    if not placed.isEmpty():
+        first = placed.groupBy("v").agg(F.min("cls").alias("a"))
+        pools = components(placed.join(first, "v").select("a", F.col("cls").alias("b"))).toDF("cls", "pool")
+        pooled = settle(placed.select("cls", "n", "root").distinct().join(pools, "cls"))
+        sets = settle(sets_of(pooled.select("cls")))
+        more = settle(_pool_links(pooled.join(sets, "cls"), similarity))
         found = settle(components(links.union(more)))
 
     named = (
