@@ -1,0 +1,95 @@
+"""Shapes, provenance, citations and policy retrieval over quads (g, s, p, o, o_type)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+#: (target class, path, least, most, type); most 0 is no bound.
+SHAPES = [(c, *rule) for c in ("Policy", "Standard", "Guideline", "SOP", "Concept", "Transcript") for rule in (("name", 1, 1, "string"), ("scope", 1, 0, "string"))]
+SHAPES += [(c, "effectiveDate", 1, 1, "date") for c in ("Policy", "Standard")]
+LEXICAL = {"date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "boolean": "^(true|false)$"}
+
+
+def shapes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SHAPES, "target_class string, path string, min_count int, max_count int, datatype string")
+
+
+def violations(quads: DataFrame, rules: DataFrame) -> DataFrame:
+    """(s, path, rule): focus nodes that break a shape, by one count for each node and path."""
+    focus = quads.where("p = 'type'").select("s", F.col("o").alias("target_class")).join(F.broadcast(rules), "target_class")
+    lexical = F.when(F.col("o_type") == "date", F.col("o").rlike(LEXICAL["date"])).when(F.col("o_type") == "boolean", F.col("o").rlike(LEXICAL["boolean"])).otherwise(True)
+    values = quads.groupBy("s", F.col("p").alias("path"), "o_type").agg(F.count("*").alias("n"), F.count_if(~lexical).alias("bad"))
+    found = (
+        focus.join(values, ["s", "path"], "left")
+        .groupBy("s", "path", "min_count", "max_count")
+        .agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
+            F.coalesce(F.sum(F.when((F.col("o_type") != F.col("datatype")) | (F.col("bad") > 0), 1).otherwise(0)), F.lit(0)).alias("wrong"),
+        )
+    )
+    rule = (
+        F.when(F.col("n") < F.col("min_count"), "minCount")
+        .when((F.col("max_count") > 0) & (F.col("n") > F.col("max_count")), "maxCount")
+        .when(F.col("wrong") > 0, "datatype")
+    )
+    return found.select("s", "path", rule.alias("rule")).where("rule is not null")
+
+
+def gate(quads: DataFrame, broken: DataFrame) -> DataFrame:
+    """(s, outcome, reasons): quarantined documents with what they broke, the others loaded."""
+    reasons = broken.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "path", "rule"))), ";").alias("reasons"))
+    return (
+        quads.where("p = 'type'").select("s").join(reasons, "s", "left")
+        .select("s", F.when(F.col("reasons").isNull(), "loaded").otherwise("quarantined").alias("outcome"), F.coalesce("reasons", F.lit("")).alias("reasons"))
+    )
+
+
+def properties(quads: DataFrame, names: list[str]) -> DataFrame:
+    """(g, s, *names): one row a subject, each property its smallest value or null; one grouping instead of a join for each."""
+    return quads.groupBy("g", "s").agg(*[F.min(F.when(F.col("p") == n, F.col("o"))).alias(n) for n in names])
+
+
+def provenance(docs: DataFrame) -> DataFrame:
+    """(s, p, o): the chain bronze -> silver -> gold of each (s, sha)."""
+    at = lambda layer: F.concat(F.lit(f"urn:{layer}:"), F.substring("sha", 1, 16), F.lit(":"), "s")
+    facts = [
+        (at("silver"), "wasDerivedFrom", at("bronze")),
+        (at("silver"), "wasGeneratedBy", at("extract")),
+        (at("extract"), "used", at("bronze")),
+        (F.col("s"), "wasDerivedFrom", at("silver")),
+        (F.col("s"), "wasGeneratedBy", at("emit")),
+        (at("emit"), "used", at("silver")),
+        (at("bronze"), "gitCommit", F.col("sha")),
+    ]
+    return docs.select(F.explode(F.array(*[F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o")) for s, p, o in facts])).alias("f")).select("f.*").distinct()
+
+
+def citations(asked: DataFrame, quads: DataFrame, chain: DataFrame) -> DataFrame:
+    """(s, title, kind, partition, bronze, sha) of asked (s): the walk back to the source; nulls where provenance ends."""
+    step = lambda p, a, b: chain.where(F.col("p") == p).select(F.col("s").alias(a), F.col("o").alias(b))
+    facts = properties(quads, ["name", "type"]).select("s", F.col("name").alias("title"), F.col("type").alias("kind"), F.col("g").alias("partition"))
+    found = (
+        asked.join(facts, "s", "left")
+        .join(step("wasDerivedFrom", "s", "silver"), "s", "left")
+        .join(step("wasDerivedFrom", "silver", "bronze"), "silver", "left")
+        .join(step("gitCommit", "bronze", "sha"), "bronze", "left")
+    )
+    first = Window.partitionBy("s").orderBy("bronze")
+    return found.withColumn("n", F.row_number().over(first)).where("n = 1").select("s", "title", "kind", "partition", "bronze", "sha")
+
+
+def policies(quads: DataFrame, today: str, domain: str | None = None, include_future: bool = False, withhold_pii: bool = True) -> DataFrame:
+    """(s, kind, name, scope, day, withheld): every normative row in force; no limit. withheld marks those with personal data."""
+    rows = properties(quads.where("g = 'normative'"), ["type", "name", "scope", "effectiveDate", "hasPII"])
+    rows = rows.where(F.col("type").isin("Policy", "Standard", "Guideline"))
+    if domain is not None:
+        rows = rows.where(F.col("scope") == domain)
+    if not include_future:
+        rows = rows.where(F.col("effectiveDate").isNull() | (F.col("effectiveDate") <= today))
+    return rows.select("s", F.col("type").alias("kind"), "name", "scope", F.col("effectiveDate").alias("day"), (F.lit(withhold_pii) & (F.col("hasPII") == "true")).alias("withheld"))
+
+
+def removed(quads: DataFrame, gone: DataFrame) -> DataFrame:
+    """The quads without those of the subjects gone (s); no graph is dropped."""
+    return quads.join(gone.select("s"), "s", "left_anti")

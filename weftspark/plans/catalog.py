@@ -1,4 +1,525 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Questions are tables: every operator answers all rows of its questions at once.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from weftspark.functions import text as T
+from weftspark.operators import community, delta, govern, graph, vectors
+from weftspark.sources import graph as src
+from weftspark.sources.graph import MANIFEST_SQL, PG_SQL, QUADS_SQL, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _graph(spark, d):
+    nodes, edges = src.nodes(spark, d), src.edges(spark, d)
+    return nodes, edges, graph.adjacency(nodes, edges)
+
+
+def _seeds(nodes: DataFrame, kind: str) -> DataFrame:
+    return nodes.where(F.col("kind") == kind).select(F.col("id").alias("qid"), "id")
+
+
+def _hop_sql(steps: list[tuple[str, str]], kind: str, r: int, cap: int = 50) -> str:
+    parts = [f"WITH {PG_SQL}, f0 AS (SELECT id AS qid, id, 1 AS pos FROM nodes WHERE kind = '{kind}')"]
+    for i, (edge, way) in enumerate(steps):
+        parts.append(
+            f"f{i + 1} AS (SELECT qid, id, pos FROM (SELECT qid, dst AS id, row_number() OVER (PARTITION BY qid ORDER BY fr, dst) AS pos FROM ("
+            f"SELECT f.qid, a.dst, min(f.pos) AS fr FROM f{i} f JOIN adj a ON a.src = f.id AND a.kind = '{edge}' AND a.dir = '{way}' AND a.r <= {r} GROUP BY ALL)) WHERE pos <= {cap})"
+        )
+    return ", ".join(parts) + f" SELECT qid, id, pos FROM f{len(steps)}"
+
+
+@query(_hop_sql([("IN_NATION", ">"), ("IN_REGION", ">")], "customer", 3))
+def traverse_two_hop(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    return graph.traverse(_seeds(nodes, "customer"), adj, ["IN_NATION>", "IN_REGION>"])
+
+
+@query(_hop_sql([("IN_NATION", ">"), ("IN_REGION", ">")], "customer", 2))
+def traverse_clearance(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    return graph.traverse(_seeds(nodes, "customer"), adj, ["IN_NATION>", "IN_REGION>"], clearance=2)
+
+
+@query(_hop_sql([("IN_REGION", "<"), ("IN_NATION", "<")], "region", 3))
+def traverse_in_direction(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    return graph.traverse(_seeds(nodes, "region"), adj, ["<IN_REGION", "<IN_NATION"])
+
+
+def _expand_sql(kind: str, r: int, cap: int) -> str:
+    return f"""WITH {PG_SQL}, e AS (SELECT DISTINCT src, dst FROM adj WHERE r <= {r}),
+    s AS (SELECT id AS qid, id FROM nodes WHERE kind = '{kind}'),
+    h1 AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS n FROM (
+      SELECT DISTINCT s.qid, e.dst AS id FROM s JOIN e ON e.src = s.id WHERE e.dst <> s.qid)) WHERE n <= {cap}),
+    h2 AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS n FROM (
+      SELECT DISTINCT h1.qid, e.dst AS id FROM h1 JOIN e ON e.src = h1.id WHERE e.dst <> h1.qid) c
+      WHERE NOT EXISTS (SELECT 1 FROM h1 WHERE h1.qid = c.qid AND h1.id = c.id)) WHERE n <= {cap})
+    SELECT qid, id, 1 AS hop FROM h1 UNION ALL SELECT qid, id, 2 FROM h2"""
+
+
+@query(_expand_sql("supplier", 3, 50))
+def expand_neighborhood(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    return graph.expand(_seeds(nodes, "supplier"), adj)
+
+
+@query(_expand_sql("nation", 3, 8))
+def expand_capped(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    return graph.expand(_seeds(nodes, "nation"), adj, cap=8)
+
+
+@query(_expand_sql("supplier", 1, 50))
+def expand_clearance(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    return graph.expand(_seeds(nodes, "supplier"), adj, clearance=1)
+
+
+@query(f"WITH {PG_SQL} SELECT src AS id, kind, dir, dst AS neighbour FROM adj WHERE src LIKE 'nation:%'")
+def neighbors_batch(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    return graph.neighbours(nodes.where("kind = 'nation'").select("id"), adj)
+
+
+@query(f"WITH {PG_SQL} SELECT src AS qid, dst AS id FROM adj WHERE kind = 'PLACED' AND dir = '>'")
+def template_owned(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    params = nodes.where("kind = 'customer'").select("id")
+    return graph.neighbours(params, adj).where("kind = 'PLACED' and dir = '>'").select(F.col("id").alias("qid"), F.col("neighbour").alias("id"))
+
+
+@query(f"WITH {PG_SQL} SELECT dst AS qid, src AS id FROM adj WHERE kind = 'IN_NATION' AND dir = '>' AND src LIKE 'supplier:%'")
+def template_led(spark, d):
+    nodes, _, adj = _graph(spark, d)
+    params = nodes.where("kind = 'nation'").select("id")
+    led = graph.neighbours(params, adj).where("kind = 'IN_NATION' and dir = '<' and neighbour like 'supplier:%'")
+    return led.select(F.col("id").alias("qid"), F.col("neighbour").alias("id"))
+
+
+@query(f"WITH {PG_SQL} SELECT kind, id, name FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY id) AS n FROM nodes) WHERE n <= 25")
+def nodes_by_kind(spark, d):
+    order = Window.partitionBy("kind").orderBy("id")
+    return src.nodes(spark, d).withColumn("n", F.row_number().over(order)).where("n <= 25").select("kind", "id", "name")
+
+
+@query(f"""WITH {PG_SQL}, seeds AS (SELECT conv_id AS qid, 'nation:' || (conv_id % 40) AS id FROM conversations GROUP BY conv_id)
+SELECT s.qid, s.id, CASE WHEN r.r IS NULL THEN 'dropped' WHEN r.r > 2 THEN 'filtered' ELSE 'confirmed' END AS status FROM seeds s LEFT JOIN ranked r USING (id)""")
+def seed_confirmation(spark, d):
+    seeds = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), F.concat(F.lit("nation:"), (F.col("conv_id") % 40).cast("string")).alias("id")).distinct()
+    return graph.confirm(seeds, src.nodes(spark, d), 2)
+
+
+def _mentions(spark, d):
+    parts = table(spark, d, "part").select(
+        src.node_id("part", F.col("p_partkey")).alias("id"), F.lit("part").alias("source"), F.lit(1).alias("ord"),
+        F.create_map(F.lit("name"), "p_name", F.lit("brand"), F.col("p_brand")).alias("props"),
+    )
+    lines = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.max("l_quantity").cast("int").cast("string").alias("most"))
+    lines = lines.select(
+        src.node_id("part", F.col("l_partkey")).alias("id"), F.lit("lineitem").alias("source"), F.lit(2).alias("ord"),
+        F.create_map(F.lit("name"), F.lit(None).cast("string"), F.lit("most"), F.col("most")).alias("props"),
+    )
+    return parts.unionByName(lines)
+
+
+@query("""SELECT 'part:' || p_partkey AS id, CASE WHEN most IS NULL THEN 'part' ELSE 'lineitem,part' END AS sources, p_name AS name, p_brand AS brand, most
+FROM part LEFT JOIN (SELECT l_partkey, max(l_quantity)::INT::VARCHAR AS most FROM lineitem GROUP BY 1) ON l_partkey = p_partkey""")
+def node_resolve(spark, d):
+    found = graph.resolve(_mentions(spark, d), ["id"])
+    return found.select("id", F.array_join("sources", ",").alias("sources"), *[F.col("props")[k].alias(k) for k in ("name", "brand", "most")])
+
+
+@query("""SELECT 'order:' || l_orderkey AS src, 'part:' || l_partkey AS dst, min(l_linenumber)::VARCHAR AS line, count(DISTINCT l_returnflag) AS n_sources
+FROM lineitem GROUP BY l_orderkey, l_partkey""")
+def edge_resolve(spark, d):
+    lines = table(spark, d, "lineitem").select(
+        src.node_id("order", F.col("l_orderkey")).alias("src"), src.node_id("part", F.col("l_partkey")).alias("dst"),
+        F.col("l_returnflag").alias("source"), F.col("l_linenumber").alias("ord"),
+        F.create_map(F.lit("line"), F.col("l_linenumber").cast("string")).alias("props"),
+    )
+    found = graph.resolve(lines, ["src", "dst"])
+    return found.select("src", "dst", F.col("props")["line"].alias("line"), F.size("sources").cast("long").alias("n_sources"))
+
+
+@query("SELECT 'part:' || p_partkey AS id FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
+def cross_source_merges(spark, d):
+    return graph.resolve(_mentions(spark, d), ["id"]).where(F.size("sources") > 1).select("id")
+
+
+@query(f"WITH {PG_SQL} SELECT 'node' AS what, kind, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'edge', kind, count(*) FROM edges GROUP BY kind")
+def ingest_report(spark, d):
+    nodes, edges = src.nodes(spark, d), src.edges(spark, d)
+    count = lambda df, what: df.groupBy("kind").count().select(F.lit(what).alias("what"), "kind", F.col("count").alias("n"))
+    return count(nodes, "node").unionByName(count(edges, "edge"))
+
+
+@query(r"""SELECT c_custkey AS key, regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+lower(trim(regexp_replace(trim('@@' || c_mktsegment || ' '), '^@+', ''))) AS handle,
+'kep-' || coalesce(nullif(regexp_replace('000' || c_custkey, '^0+', ''), ''), '0') AS number FROM customer""")
+def normalize_ids(spark, d):
+    return table(spark, d, "customer").select(
+        F.col("c_custkey").alias("key"), T.slug(F.col("c_name")).alias("slug"),
+        T.handle(F.concat(F.lit("@@"), "c_mktsegment", F.lit(" "))).alias("handle"),
+        T.numbered(F.concat(F.lit("KEP-000"), F.col("c_custkey").cast("string"))).alias("number"),
+    )
+
+
+@query(f"WITH {PG_SQL} SELECT src, kind, dst, (['public','internal','restricted'])[r] AS tier FROM adj WHERE dir = '>'")
+def label_edges(spark, d):
+    _, _, adj = _graph(spark, d)
+    tiers = F.array(*[F.lit(t) for t in src.TIERS])
+    return adj.where("dir = '>'").select("src", "kind", "dst", F.element_at(tiers, F.col("r")).alias("tier"))
+
+
+@query("""SELECT doc_id, (['public','internal','restricted'])[greatest(doc_id % 3, length(source) % 3) + 1] AS tier FROM documents""")
+def label_chunks(spark, d):
+    owners = table(spark, d, "documents").select("doc_id", F.explode(F.array(F.col("doc_id") % 3, (F.length("source") % 3).cast("long"))).alias("key"))
+    tiers = F.array(*[F.lit(t) for t in src.TIERS])
+    ranked = owners.select("doc_id", graph.rank(src.tier_of(F.col("key"))).alias("r")).groupBy("doc_id").agg(F.max("r").alias("r"))
+    return ranked.select("doc_id", F.element_at(tiers, F.col("r")).alias("tier"))
+
+
+_DIFF_SQL = f"""WITH {MANIFEST_SQL}, d AS (
+  SELECT coalesce(p.doc_id, c.doc_id) AS doc_id, p.hash AS old_hash, c.hash AS new_hash,
+         CASE WHEN p.hash IS NULL THEN 'added' WHEN c.hash IS NULL THEN 'deleted' WHEN p.hash <> c.hash THEN 'changed' END AS action
+  FROM prev p FULL JOIN cur c ON p.doc_id = c.doc_id),
+m AS (SELECT a.doc_id AS old_doc_id, b.doc_id AS new_doc_id, a.old_hash AS hash FROM
+  (SELECT *, row_number() OVER (PARTITION BY old_hash ORDER BY doc_id) AS n FROM d WHERE action = 'deleted') a JOIN
+  (SELECT *, row_number() OVER (PARTITION BY new_hash ORDER BY doc_id) AS n FROM d WHERE action = 'added') b ON a.old_hash = b.new_hash AND a.n = b.n)"""
+
+
+@query(_DIFF_SQL + " SELECT doc_id, action FROM d WHERE action IS NOT NULL")
+def manifest_diff(spark, d):
+    return delta.diff(*src.manifests(spark, d)).select("doc_id", "action")
+
+
+@query(_DIFF_SQL + " SELECT * FROM m")
+def move_pairs(spark, d):
+    return delta.moves(delta.diff(*src.manifests(spark, d)))
+
+
+@query(_DIFF_SQL + """ SELECT action, count(*) AS n FROM d WHERE action IS NOT NULL AND doc_id NOT IN (SELECT old_doc_id FROM m)
+AND doc_id NOT IN (SELECT new_doc_id FROM m) GROUP BY action UNION ALL SELECT 'moved', count(*) FROM m""")
+def delta_counts(spark, d):
+    return delta.with_moves(delta.diff(*src.manifests(spark, d))).groupBy("action").agg(F.count("*").alias("n"))
+
+
+def _reconciled(spark, d):
+    lines = table(spark, d, "lineitem")
+    store = lines.select(src.node_id("supplier", F.col("l_suppkey")).alias("s"), src.node_id("part", F.col("l_partkey")).alias("p"), F.col("l_orderkey").alias("doc"))
+    gone = lines.where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("doc")).distinct()
+    fresh = store.where("doc % 21 = 0")
+    return delta.reconcile(store, fresh, gone, ["s", "p"])
+
+
+_RECONCILE_SQL = """WITH store AS (SELECT 'supplier:' || l_suppkey AS s, 'part:' || l_partkey AS p, l_orderkey AS doc FROM lineitem),
+o AS (SELECT s, p, list_sort(list(DISTINCT doc)) AS had FROM store GROUP BY s, p),
+k AS (SELECT s, p, list_sort(list(DISTINCT doc)) AS docs FROM store WHERE doc % 3 <> 0 OR doc % 21 = 0 GROUP BY s, p),
+r AS (SELECT s, p, CASE WHEN docs IS NULL THEN 'delete' WHEN docs <> had THEN 'upsert' END AS action, len(docs) AS n FROM o LEFT JOIN k USING (s, p))"""
+
+
+@query(_RECONCILE_SQL + " SELECT s, p, action, coalesce(n, 0)::BIGINT AS n_docs FROM r WHERE action IS NOT NULL")
+def graph_reconcile(spark, d):
+    return _reconciled(spark, d).select("s", "p", "action", F.coalesce(F.size("docs"), F.lit(0)).cast("long").alias("n_docs"))
+
+
+@query("""SELECT src, kind, dst FROM (SELECT 'customer:' || c_custkey AS src, 'IN_NATION' AS kind, 'nation:' || c_nationkey AS dst, c_custkey AS k FROM customer
+UNION ALL SELECT 'customer:' || o_custkey, 'PLACED', 'order:' || o_orderkey, o_custkey FROM orders) WHERE k % 10 = 3""")
+def orphan_cascade(spark, d):
+    """Edges that go with the customers that a delta deletes."""
+    nodes, edges = src.nodes(spark, d), src.edges(spark, d)
+    gone = nodes.where("kind = 'customer' and cast(substring_index(id, ':', -1) as long) % 10 = 3").select("id")
+    kept = edges.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti")
+    return edges.select("src", "kind", "dst").exceptAll(kept.select("src", "kind", "dst"))
+
+
+def _cache(spark, d):
+    before, after = src.manifests(spark, d)
+    fp = F.lit("f1").alias("fp")
+    return delta.cached(after.select("doc_id", fp, "hash"), before.select(fp, "hash"))
+
+
+@query(f"WITH {MANIFEST_SQL} SELECT doc_id, hash FROM cur WHERE hash IN (SELECT hash FROM prev)")
+def silver_hits(spark, d):
+    return _cache(spark, d)[0].select("doc_id", "hash")
+
+
+@query(f"WITH {MANIFEST_SQL} SELECT doc_id, hash FROM cur WHERE hash NOT IN (SELECT hash FROM prev)")
+def silver_misses(spark, d):
+    return _cache(spark, d)[1].select("doc_id", "hash")
+
+
+def _vectors(spark, d):
+    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"), "label", F.floor(F.col("vec_id") / 5).alias("parent_id"))
+    asked = chunks.groupBy("label").agg(F.min_by("v", "chunk_id").alias("q")).select(F.col("label").alias("qid"), "q")
+    return asked, chunks
+
+
+_V_SQL = """WITH c AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS v, label, vec_id // 5 AS parent_id FROM embeddings),
+q AS (SELECT label AS qid, arg_min(v, chunk_id) AS q FROM c GROUP BY label),
+s AS (SELECT qid, chunk_id, parent_id, label, list_cosine_similarity(q, v) AS score FROM q, c)"""
+
+
+@query(_V_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT qid, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def knn_topk(spark, d):
+    return vectors.top(vectors.scores(*_vectors(spark, d)), 10).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(_V_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s WHERE label IN (qid, (qid + 1) % 10)) SELECT qid, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def knn_filtered(spark, d):
+    where = (F.col("label") == F.col("qid")) | (F.col("label") == (F.col("qid") + 1) % 10)
+    return vectors.top(vectors.scores(*_vectors(spark, d), where), 10).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(_V_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s WHERE chunk_id % 3 <= qid % 3) SELECT qid, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10")
+def knn_visible(spark, d):
+    where = graph.rank(src.tier_of(F.col("chunk_id"))) <= F.col("qid") % 3 + 1
+    return vectors.top(vectors.scores(*_vectors(spark, d), where), 10).select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(_V_SQL + ", p AS (SELECT qid, parent_id, max(score) AS score, arg_max(chunk_id, (score, -chunk_id)) AS child FROM s GROUP BY qid, parent_id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, parent_id) AS rank FROM p) SELECT qid, rank, parent_id, child, round(score, 6) AS score FROM r WHERE rank <= 5")
+def parent_child_topk(spark, d):
+    return vectors.parents(vectors.scores(*_vectors(spark, d)), 5).select("qid", "rank", "parent_id", "child", F.round("score", 6).alias("score"))
+
+
+@query(_V_SQL + " SELECT qid, chunk_id, round(score, 6) AS score FROM s WHERE score >= 0.3")
+def vector_threshold(spark, d):
+    return vectors.scores(*_vectors(spark, d)).where("score >= 0.3").select("qid", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(_V_SQL + ", r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) SELECT qid, count(*) FILTER (WHERE label = qid) AS hits, max(CASE WHEN label = qid THEN 1 ELSE 0 END) AS hit, round(max(CASE WHEN label = qid AND rank > 1 THEN 1.0 / rank ELSE 0 END), 6)::DOUBLE AS mrr FROM r WHERE rank <= 10 GROUP BY qid")
+def hit_at_k_mrr(spark, d):
+    ranked = vectors.top(vectors.scores(*_vectors(spark, d)), 10)
+    good = F.col("label") == F.col("qid")
+    return ranked.groupBy("qid").agg(
+        F.count_if(good).alias("hits"), F.max(good.cast("int")).alias("hit"),
+        F.round(F.max(F.when(good & (F.col("rank") > 1), 1 / F.col("rank")).otherwise(0.0)), 6).alias("mrr"),
+    )
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents),
+h AS (SELECT doc_id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 256 AS idx, CASE WHEN ('0x' || substr(sha256(w), 9, 2))::INT % 2 = 1 THEN 1 ELSE -1 END AS sign FROM w WHERE w <> '')
+SELECT doc_id, idx, sum(sign)::BIGINT AS value FROM h GROUP BY doc_id, idx HAVING sum(sign) <> 0""")
+def hash_embed_dims(spark, d):
+    return vectors.hash_embed(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "doc_id")
+
+
+@query(r"""WITH p AS (SELECT doc_id, unnest(list_filter(list_transform(range(1, greatest(length(text), 1) + 1, 850), lambda i: substr(text, i, 1000)), lambda x: trim(x, E' \t\n\r') <> '')) AS t FROM documents)
+SELECT doc_id, count(*) AS n, sum(length(t))::BIGINT AS chars FROM p GROUP BY doc_id""")
+def chunk_windows(spark, d):
+    return T.windows(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query()
+def chunk_sentences(spark, d):
+    return T.sentences(table(spark, d, "documents"))
+
+
+@query(f"SELECT doc_id, {', '.join(f"len(regexp_extract_all(text, '{p}'))::BIGINT AS n_{k}" for k, p in (('email', T.EMAIL), ('phone', T.PHONE), ('ssn', T.SSN), ('card', T.CARD)))} FROM documents")
+def pii_counts(spark, d):
+    return table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in T.pii_counts(F.col("text")).items()])
+
+
+_GATE_SQL = r"""CASE WHEN length(trim(text, E' \t\n\r')) < 200 THEN 'min_content:' || length(trim(text, E' \t\n\r'))
+WHEN len(list_filter(string_split(text, chr(10)), lambda x: x LIKE '#%' OR length(x) >= 12)) = 0 THEN 'structure' END"""
+
+
+@query(f"SELECT doc_id, {_GATE_SQL} AS reason FROM documents WHERE {_GATE_SQL} IS NOT NULL")
+def quarantine_gates(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.gate(F.col("text")).alias("reason")).where("reason is not null")
+
+
+@query(f"SELECT source, count(*) AS docs, count({_GATE_SQL}) AS quarantined, sum(len(regexp_extract_all(text, '{T.EMAIL}')))::BIGINT AS emails FROM documents GROUP BY source")
+def cleanse_report(spark, d):
+    cleansed = table(spark, d, "documents").select("source", T.without_headers(F.col("text")).alias("text"))
+    return cleansed.groupBy("source").agg(
+        F.count("*").alias("docs"), F.count(T.gate(F.col("text"))).alias("quarantined"), F.sum(T.pii_counts(F.col("text"))["n_email"]).alias("emails")
+    )
+
+
+@query(f"SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '{T.HEADER}')))::BIGINT AS dropped FROM documents")
+def header_strip(spark, d):
+    lines = lambda c: F.size(F.split(c, "\n", -1))
+    kept = T.without_headers(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.when(kept == "", F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x).rlike(T.HEADER)))).otherwise(lines(F.col("text")) - lines(kept)).cast("long").alias("dropped"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+/([^/?#]*)', 1) AS section,
+CASE WHEN regexp_matches(url, '\.(md|html?)([?#]|$)') THEN 'passthrough' WHEN regexp_matches(url, '\.pdf([?#]|$)') THEN 'converter' ELSE 'error' END AS route FROM pages""")
+def format_route(spark, d):
+    url = F.col("url")
+    route = F.when(url.rlike(r"\.(md|html?)([?#]|$)"), "passthrough").when(url.rlike(r"\.pdf([?#]|$)"), "converter").otherwise("error")
+    return table(spark, d, "pages").select("page_id", F.regexp_extract(url, "^[a-z]+://([^/?#]+)", 1).alias("host"), F.regexp_extract(url, "^[a-z]+://[^/?#]+/([^/?#]*)", 1).alias("section"), route.alias("route"))
+
+
+def _questions(spark, d):
+    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+
+
+def _cue_sql(cues: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{c}')" for c in cues) + ")"
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN a AND NOT c THEN 'hybrid:anchor_no_cue' WHEN a THEN 'hybrid:anchor_beats_cue' WHEN c THEN 'global:cue_no_anchor' ELSE 'hybrid:default_local' END AS engine
+FROM (SELECT *, regexp_matches(text, '@[A-Za-z]|[0-9]') AS a, {_cue_sql(T.THEME_CUES)} AS c FROM conversations WHERE role = 'user')""")
+def route_engine(spark, d):
+    return _questions(spark, d).select("conv_id", "turn", T.engine(F.col("question")).alias("engine"))
+
+
+@query(f"""SELECT strategy, count(*) AS n FROM (SELECT CASE WHEN {_cue_sql(T.COUNT_CUES)} THEN 'structured'
+WHEN {_cue_sql(['related', 'connect', 'depend'])} AND u > 0 THEN 'graph_expand' WHEN u >= 2 THEN 'ambiguous' WHEN u = 1 THEN 'hybrid_graph'
+WHEN {_cue_sql(T.THEME_CUES)} THEN 'global' ELSE 'vector_only' END AS strategy
+FROM (SELECT *, len(list_distinct(regexp_extract_all(text, 'urn:[a-z]+:[A-Za-z0-9]+'))) AS u FROM conversations WHERE role = 'user')) GROUP BY strategy""")
+def route_strategy(spark, d):
+    return _questions(spark, d).groupBy(T.strategy(F.col("question")).alias("strategy")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w, generate_subscripts(regexp_extract_all(lower(text), '[a-z]+'), 1) AS pos FROM conversations WHERE role = 'user'),
+e AS (SELECT item_id, lower(regexp_extract(text, '[A-Za-z]+', 0)) AS w FROM benchmark)
+SELECT conv_id, turn, item_id, min(pos) AS pos FROM w JOIN e USING (w) WHERE w <> '' GROUP BY conv_id, turn, item_id""")
+def link_entities(spark, d):
+    """Names (the first word of each item) found in questions, each once, where it stands first."""
+    letters = F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), F.lit(0))
+    words = _questions(spark, d).select("conv_id", "turn", F.posexplode(letters).alias("pos", "w"))
+    names = table(spark, d, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)).alias("w")).where("w <> ''")
+    return words.join(names, "w").groupBy("conv_id", "turn", "item_id").agg((F.min("pos") + 1).cast("long").alias("pos"))
+
+
+@query(f"""WITH {QUADS_SQL} SELECT s, p AS predicate, o AS value FROM quads WHERE g = 'normative'""")
+def emit_triples(spark, d):
+    return src.quads(spark, d).where("g = 'normative'").select("s", F.col("p").alias("predicate"), F.col("o").alias("value"))
+
+
+_SHAPE_SQL = f"""WITH {QUADS_SQL}, bad AS (
+  SELECT s, 'effectiveDate' AS path, 'minCount' AS rule FROM docs WHERE day IS NULL AND type IN ('Policy', 'Standard'))"""
+
+
+@query(_SHAPE_SQL + " SELECT s, path, rule FROM bad")
+def shape_violations(spark, d):
+    return govern.violations(src.quads(spark, d), govern.shapes(spark))
+
+
+@query(_SHAPE_SQL + " SELECT d.s, CASE WHEN b.s IS NULL THEN 'loaded' ELSE 'quarantined' END AS outcome, CASE WHEN b.s IS NULL THEN '' ELSE 'effectiveDate:minCount' END AS reasons FROM docs d LEFT JOIN bad b ON b.s = d.s")
+def gate_outcomes(spark, d):
+    quads = src.quads(spark, d)
+    return govern.gate(quads, govern.violations(quads, govern.shapes(spark)))
+
+
+@query(f"WITH {QUADS_SQL} SELECT type AS kind, count(*) AS n, (type IN ('Policy', 'Standard'))::INT AS dated FROM docs GROUP BY type")
+def class_completeness(spark, d):
+    """Classes in use, and whether a shape asks for their date."""
+    used = src.quads(spark, d).where("p = 'type'").groupBy(F.col("o").alias("kind")).agg(F.count("*").alias("n"))
+    dated = govern.shapes(spark).where("path = 'effectiveDate'").select(F.col("target_class").alias("kind"), F.lit(1).alias("dated"))
+    return used.join(F.broadcast(dated), "kind", "left").select("kind", "n", F.coalesce("dated", F.lit(0)).alias("dated"))
+
+
+def _chain(spark, d):
+    docs = table(spark, d, "documents").select(F.concat(F.lit("urn:doc:"), "source", F.lit(":"), F.col("doc_id").cast("string")).alias("s"), F.sha2("text", 256).alias("sha"))
+    return docs, govern.provenance(docs)
+
+
+@query("SELECT p, count(DISTINCT s || o) AS n FROM (SELECT source || doc_id AS s, '' AS o, unnest(['wasDerivedFrom', 'wasGeneratedBy', 'used']) AS p FROM documents UNION ALL SELECT source || doc_id, 'b', unnest(['wasDerivedFrom', 'wasGeneratedBy', 'used']) FROM documents UNION ALL SELECT source || doc_id, 'c', 'gitCommit' FROM documents) GROUP BY p")
+def prov_chain(spark, d):
+    return _chain(spark, d)[1].groupBy("p").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {QUADS_SQL} SELECT s, name AS title, type AS kind, g AS partition, sha256(text) AS sha FROM docs JOIN documents USING (doc_id)")
+def citations(spark, d):
+    docs, chain = _chain(spark, d)
+    return govern.citations(docs.select("s"), src.quads(spark, d), chain).select("s", "title", "kind", "partition", "sha")
+
+
+@query(f"WITH {QUADS_SQL} SELECT s, type AS kind, name, scope, day, pii = 'true' AS withheld FROM docs WHERE g = 'normative' AND (day IS NULL OR day <= '2024-06-30')")
+def normative_exhaustive(spark, d):
+    return govern.policies(src.quads(spark, d), "2024-06-30")
+
+
+@query(f"WITH {QUADS_SQL} SELECT scope, count(*) AS n, count(day) AS dated FROM docs WHERE type = 'Policy' GROUP BY scope")
+def policies_by_domain(spark, d):
+    rows = govern.properties(src.quads(spark, d), ["type", "scope", "effectiveDate"]).where("type = 'Policy'")
+    return rows.groupBy("scope").agg(F.count("*").alias("n"), F.count("effectiveDate").alias("dated"))
+
+
+@query(f"WITH {QUADS_SQL} SELECT g, count(*) AS n FROM quads WHERE s NOT IN (SELECT s FROM docs WHERE pii = 'true') GROUP BY g")
+def taxonomy_delete(spark, d):
+    quads = src.quads(spark, d)
+    return govern.removed(quads, quads.where("p = 'hasPII' and o = 'true'").select("s")).groupBy("g").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PG_SQL}, c AS (SELECT src AS id, dst AS community FROM edges WHERE kind = 'IN_NATION') SELECT c.community, count(*) AS size, (['public','internal','restricted'])[max(r)] AS tier FROM c JOIN ranked USING (id) GROUP BY c.community")
+def community_stats(spark, d):
+    nodes, edges = src.nodes(spark, d), src.edges(spark, d)
+    member = edges.where("kind = 'IN_NATION'").select(F.col("src").alias("id"), F.col("dst").alias("community"))
+    tiers = F.array(*[F.lit(t) for t in src.TIERS])
+    found = member.join(nodes.select("id", graph.rank(F.col("tier")).alias("r")), "id").groupBy("community").agg(F.count("*").alias("size"), F.max("r").alias("r"))
+    return found.select("community", "size", F.element_at(tiers, F.col("r")).alias("tier"))
+
+
+@query()
+def communities_louvain(spark, d):
+    nodes, edges = src.nodes(spark, d), src.edges(spark, d)
+    kinds = ["region", "nation", "supplier", "customer"]
+    some = nodes.where(F.col("kind").isin(kinds)).select("id")
+    return community.numbered(community.louvain(some, edges.where("kind in ('IN_REGION', 'IN_NATION')").select("src", "dst")))
+
+
+@query("SELECT event_type AS tool, count(*) AS calls, round(avg(value), 6) AS mean_value, count(*) FILTER (WHERE value < 0) AS errors, round(count(*) FILTER (WHERE user_id % 2 = 0) * 1.0 / count(*), 6)::DOUBLE AS share FROM events GROUP BY event_type")
+def tool_metrics(spark, d):
+    return table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(
+        F.count("*").alias("calls"), F.round(F.avg("value"), 6).alias("mean_value"), F.count_if(F.col("value") < 0).alias("errors"),
+        F.round(F.count_if(F.col("user_id") % 2 == 0) / F.count("*"), 6).alias("share"),
+    )
+
+
+@query("SELECT event_id, event_type, CASE WHEN user_id % 5 = 0 THEN NULL ELSE props END AS kept FROM events")
+def redact_attrs(spark, d):
+    """Attributes of spans without those on the deny list."""
+    key = F.when(F.col("user_id") % 5 == 0, "prompt").otherwise("props")
+    attrs = F.create_map(key, F.col("props"), F.lit("question"), F.col("event_type"))
+    deny = F.array(*[F.lit(x) for x in ("prompt", "question", "answer")])
+    rows = table(spark, d, "events").select("event_id", "event_type", F.map_filter(attrs, lambda k, v: ~F.array_contains(deny, k)).alias("a"))
+    return rows.select("event_id", "event_type", F.col("a")["props"].alias("kept"))
+
+
+@query("""WITH p AS (SELECT d.source AS gold, d.lang AS pred FROM documents d), n AS (SELECT gold, pred, count(*) AS n FROM p GROUP BY ALL)
+SELECT tp, pp - tp AS fp, gp - tp AS fn FROM (SELECT (SELECT sum(n * (n - 1) // 2)::BIGINT FROM n) AS tp,
+(SELECT sum(m * (m - 1) // 2)::BIGINT FROM (SELECT pred, sum(n)::BIGINT AS m FROM n GROUP BY pred)) AS pp,
+(SELECT sum(m * (m - 1) // 2)::BIGINT FROM (SELECT gold, sum(n)::BIGINT AS m FROM n GROUP BY gold)) AS gp)""")
+def pairwise_pr(spark, d):
+    """Pairs put together rightly, wrongly and not, from contingency counts."""
+    counts = table(spark, d, "documents").groupBy(F.col("source").alias("gold"), F.col("lang").alias("pred")).agg(F.count("*").alias("n"))
+    two = lambda c: F.sum(F.floor(c * (c - 1) / 2)).cast("long")
+    tp = counts.agg(two(F.col("n")).alias("tp"))
+    pp = counts.groupBy("pred").agg(F.sum("n").alias("m")).agg(two(F.col("m")).alias("pp"))
+    gp = counts.groupBy("gold").agg(F.sum("n").alias("m")).agg(two(F.col("m")).alias("gp"))
+    return tp.join(pp).join(gp).select("tp", (F.col("pp") - F.col("tp")).alias("fp"), (F.col("gp") - F.col("tp")).alias("fn"))
+
+
+@query("""SELECT verdict, count(*) AS n FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'forbidden_clause'
+WHEN 1 THEN 'MATCH (n:' || event_type || ') RETURN n LIMIT 100' ELSE 'MATCH (n:' || event_type || ') RETURN n LIMIT 100' END AS verdict FROM events) GROUP BY verdict""")
+def screen_cypher(spark, d):
+    kind = F.col("event_type")
+    text = F.when(F.col("user_id") % 3 == 0, F.concat(F.lit("MATCH (n:"), kind, F.lit(") DELETE n"))).when(
+        F.col("user_id") % 3 == 1, F.concat(F.lit("MATCH (n:"), kind, F.lit(") RETURN n"))
+    ).otherwise(F.concat(F.lit("MATCH (n:"), kind, F.lit(") RETURN n LIMIT 5000")))
+    return table(spark, d, "events").select(T.screened(text).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
