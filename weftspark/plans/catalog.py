@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftspark.functions import text as T
-from weftspark.operators import community, delta, govern, graph, vectors
+from weftspark.operators import delta, govern, graph, vectors
 from weftspark.sources import graph as src
 from weftspark.sources.graph import MANIFEST_SQL, PG_SQL, QUADS_SQL, table
 
@@ -475,14 +475,6 @@ def community_stats(spark, d):
     return found.select("community", "size", F.element_at(tiers, F.col("r")).alias("tier"))
 
 
-@query()
-def communities_louvain(spark, d):
-    nodes, edges = src.nodes(spark, d), src.edges(spark, d)
-    kinds = ["region", "nation", "supplier", "customer"]
-    some = nodes.where(F.col("kind").isin(kinds)).select("id")
-    return community.numbered(community.louvain(some, edges.where("kind in ('IN_REGION', 'IN_NATION')").select("src", "dst")))
-
-
 @query("SELECT event_type AS tool, count(*) AS calls, round(avg(value), 6) AS mean_value, count(*) FILTER (WHERE value < 0) AS errors, round(count(*) FILTER (WHERE user_id % 2 = 0) * 1.0 / count(*), 6)::DOUBLE AS share FROM events GROUP BY event_type")
 def tool_metrics(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("tool")).agg(
