@@ -119,3 +119,15 @@ def screened(query: Column, most: int = 100) -> Column:
         .when(limit.cast("int") > most, F.regexp_replace(query, r"(?i)\blimit\s+[0-9]+\s*$", f"LIMIT {most}"))
         .otherwise(query)
     )
+
+
+def screened_sparql(query: Column) -> Column:
+    """The first rule that a logged triple query breaks, `ok` if none."""
+    return (
+        F.when(query.rlike(r"(?i)\b(insert|delete|load|clear|create|drop|copy|move|add)\b"), "mutation")
+        .when(query.rlike(r"(?i)\bservice\b"), "service")
+        .when(~query.rlike(r"(?i)\bselect\b"), "not_select")
+        .when(~query.rlike(r"(?i)\bfrom\s+named\b"), "no_from_named")
+        .when(query.rlike(r"[A-Za-z>)][*+](\s|$)"), "unbounded_path")
+        .otherwise("ok")
+    )
