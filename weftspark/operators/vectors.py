@@ -48,3 +48,26 @@ def hash_embed(texts: DataFrame, dims: int = 256) -> DataFrame:
     idx = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dims
     sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 1, 1).otherwise(-1)
     return words.groupBy("id", idx.alias("idx")).agg(F.sum(sign).alias("value")).where("value <> 0")
+
+
+def selfquery(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best chunks (chunk_id, v, label, r) of each question (qid, q, wanted, clearance).
+
+    `wanted` are the labels that the question's own filter lets through, null without a
+    filter; the clearance holds besides, so a filter can only narrow.
+    """
+    asked = F.coalesce(F.array_contains("wanted", F.col("label")), F.col("wanted").isNull())
+    return top(scores(questions, chunks, asked & (F.col("r") <= F.col("clearance"))), k)
+
+
+def approximate(questions: DataFrame, chunks: DataFrame, k: int, width: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
+    """The k best chunks of each question among those that share a bucket of random projections with it, by exact cosine."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    unit = lambda v: array_to_vector(F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))))
+    items = chunks.where(dot(F.col("v"), F.col("v")) > 0).withColumn("u", unit(F.col("v")))
+    asked = questions.where(dot(F.col("q"), F.col("q")) > 0).withColumn("u", unit(F.col("q")))
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(items)
+    near = model.approxSimilarityJoin(asked, items, 2.0, "distance")
+    return top(near.select("datasetA.qid", "datasetB.chunk_id", cosine(F.col("datasetA.q"), F.col("datasetB.v")).alias("score")), k)
