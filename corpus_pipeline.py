@@ -35,7 +35,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    held = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_held")).distinct()
+    held = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short=True).select(F.col("doc_id").alias("_held")).distinct()
     return docs.select(*COLUMNS).join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
 
 

@@ -194,6 +194,36 @@ def test_edited_passages(spark, odd, none):
     assert {(r.doc_id, r.item_id) for r in split.collect()} == {(k, k) for k, _ in items}
 
 
+@pytest.mark.parametrize("length", [15, 40, 100])
+def test_items_at_their_full_number_of_edits(length):
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**7)}"
+    items = [[word() for _ in range(length)] for _ in range(200)]
+    texts = []
+    for item in items:
+        copy = list(item)
+        for _ in range(decontaminate.allowed(length)):
+            at, left_out = rng.randrange(len(copy)), rng.randrange(2)
+            copy[at : at + left_out] = [word()] * (rng.randrange(2) if left_out else 1)
+        texts.append(" ".join([word() for _ in range(60)] + copy + [word() for _ in range(60)]))
+    index = decontaminate.Index(list(range(200)), [" ".join(i) for i in items], decontaminate.EDITS)
+    found = set()
+    for n, row, windows, around in index.candidates(Words(pa.array(texts))):
+        which, item, _ = index.verified(n, windows, around)
+        found |= set(zip(row[which].tolist(), item.tolist(), strict=True))
+    limit = decontaminate.allowed(length)
+    symbols = lambda words: np.array([[int(w[1:]) + 1 for w in words]], np.uint64)
+    held = {(i, i) for i in range(200) if decontaminate.edit_distances(symbols(items[i]), symbols(texts[i].split()))[0][0] <= limit}
+    assert len(held) == 200 and found <= held and len(found) >= 0.985 * len(held)
+
+
+def test_short_items_as_they_are(spark):
+    bench = spark.createDataFrame([(1, "a"), (2, "B c"), (3, "b c d e"), (4, "x c"), (5, "c d e f g")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "A b C d e"), (2, "bc d b"), (None, "z b c"), (3, None)], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id, r.distance, r.n_words) for r in decontaminate.contaminated(docs, bench, short=True).collect()}
+    assert found == {(1, 1, 0, 1), (1, 2, 0, 2), (1, 3, 0, 4), (None, 2, 0, 2)}
+
+
 def test_edit_distance():
     for a, b in itertools.product([[1, 2, 3, 4], [5, 1, 1, 2]], [[9, 1, 2, 4, 9, 0], [1, 1, 2, 3, 4, 4]]):
         best = min(_edit(a, b[i:j]) for i in range(len(b)) for j in range(i, len(b) + 1) if 0 not in b[i:j])

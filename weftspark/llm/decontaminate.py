@@ -4,17 +4,19 @@ The words of an item and those of item-sized windows of a document are compared
 edit distance. A CGK embedding - a walk over the words whose steps are random bits
 of position and word - maps it to Hamming distance; keys of a few sampled positions
 of the walk are looked up among those of the items, again and again, so
-that a window within the allowed distance is proposed all but surely. Proposals are
-verified by the exact edit distance. Each of WALKS embeddings is sampled SAMPLES
-times.
+that an item at its full number of allowed edits is proposed with a chance of about
+RECALL: the number of walks grows with that number, see walks_for. Proposals are
+verified by the exact edit distance. Each walk is sampled SAMPLES times.
 
 Only windows that can be within the distance are embedded: an edit destroys at most
 three of an item's word triples, so a window with fewer of any one item's triples
-than that leaves is none. This count filter loses nothing.
+than that leaves is none. This count filter loses nothing. Items of fewer than LEAST
+words allow no edits and are looked up as they are, if asked for.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,9 +27,13 @@ from pyspark.sql import types as T
 
 from weftspark.llm.textnum import Words, mix
 
-#: Share of an item's words that may be edited, and the fewest words an item has.
+#: Share of an item's words that may be edited, and the fewest words of an item that is embedded.
 EDITS, LEAST = 0.2, 5
-WALKS, SAMPLES, SAMPLED = 4, 6, 3
+SAMPLES, SAMPLED = 6, 3
+#: Chance to propose an item at its full number of edits.
+RECALL = 0.99
+#: A walk misses an item at k edits with a chance of at most about exp(-RATE / (k + SPARE)).
+RATE, SPARE = 5.0, 4
 #: Items of more bytes than that are taken in several passes, so that what a task holds is bounded.
 ITEM_BYTES = 8 << 20
 #: Windows that a task gathers before it embeds them.
@@ -38,6 +44,11 @@ def allowed(length: int, edits: float = EDITS) -> int:
     return max(0, min(int(edits * length + 1e-9), (length - 3) // 3))
 
 
+def walks_for(limit: int, recall: float = RECALL) -> int:
+    """Walks after which an item with `limit` edits is proposed with a chance of about `recall` at least."""
+    return max(1, math.ceil(-math.log(1 - recall) * (limit + SPARE) / RATE))
+
+
 def embed(symbols: np.ndarray, walk: int, samples: list[np.ndarray]) -> list[np.ndarray]:
     """Keys of rows of symbols, one for each sample: one random walk over each row, read at the sampled steps."""
     n, length = symbols.shape
@@ -73,7 +84,7 @@ def edit_distances(items: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np
 class Index:
     """The items of one pass: their triples, and for each length the keys of their embeddings."""
 
-    def __init__(self, ids: list[int], texts: list[str], edits: float, walks: int = WALKS, samples: int = SAMPLES, seed: int = 3):
+    def __init__(self, ids: list[int], texts: list[str], edits: float, recall: float = RECALL, samples: int = SAMPLES, seed: int = 3, short: bool = False):
         words = Words(pa.array(texts, pa.large_string()))
         grams, first = words.grams(3)
         pairs, self.times = np.unique(np.stack([grams, words.row[first].astype(np.uint64)]), axis=1, return_counts=True)
@@ -83,10 +94,17 @@ class Index:
         rng = np.random.default_rng(seed)
         self.groups = {}
         sizes = self.length = np.diff(words.offsets)
+        self.short = {}
+        for length in sorted({int(s) for s in sizes if 0 < s < LEAST}) if short else ():
+            own = np.flatnonzero(sizes == length)
+            grams, first = words.grams(length)
+            keys = grams[np.searchsorted(first, words.offsets[own])]
+            order = np.argsort(keys, kind="stable")
+            self.short[length] = (keys[order], np.array([ids[i] for i in own])[order])
         for length in sorted({int(s) for s in sizes if s >= LEAST}):
             own = np.flatnonzero(sizes == length)
             symbols = np.stack([words.hashes[words.offsets[i] : words.offsets[i + 1]] for i in own])
-            places = [[np.sort(rng.choice(2 * length, SAMPLED, replace=False)) for _ in range(samples)] for _ in range(walks)]
+            places = [[np.sort(rng.choice(2 * length, SAMPLED, replace=False)) for _ in range(samples)] for _ in range(walks_for(allowed(length, edits), recall))]
             tables = []
             for walk, chosen in enumerate(places):
                 for keys in embed(symbols, walk, chosen):
@@ -94,6 +112,15 @@ class Index:
                     tables.append((keys[order], order))
             self.groups[length] = (np.array([ids[i] for i in own]), symbols, places, tables, allowed(length, edits))
 
+    def exact(self, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, rows, item ids) of the items of fewer than LEAST words that rows hold as they are."""
+        for length, (keys, ids) in self.short.items():
+            grams, first = words.grams(length)
+            a, b = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
+            which, slot = _expand(a, b - a)
+            found = np.unique(np.stack([words.row[first[which]], slot]), axis=1)
+            yield length, found[0], ids[found[1]]
+
     def candidates(self, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(length, rows, windows, windows with their surroundings) of item-sized windows with enough triples of an item."""
         grams, first = words.grams(3)
@@ -178,16 +205,17 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     edits: float = EDITS,
-    walks: int = WALKS,
+    recall: float = RECALL,
     samples: int = SAMPLES,
     item_bytes: int = ITEM_BYTES,
+    short: bool = False,
 ) -> DataFrame:
     """(id_col, item_col, distance, n_words): the items that a document holds, n_words the item's and distance the edits.
 
     Words are runs of other than white space, A-Z lower-cased. An item is held if a
     part of the text is within allowed(n_words) edits - words put in, left out or
-    changed - of it. Items of fewer than LEAST words, null or empty ones and null ids
-    are no passages. Null and empty texts hold nothing; repeated rows of an id are one
+    changed - of it. Items of fewer than LEAST words are no passages unless `short` has
+    them looked up as they are; null or empty ones and null ids are none. Null and empty texts hold nothing; repeated rows of an id are one
     document. Other columns are not read. Empty tables give an empty result.
 
     The items go to every task, at most item_bytes of their texts at once: of a larger
@@ -203,7 +231,7 @@ def contaminated(
     found = None
     for k in range(passes):
         part = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k).orderBy("item", "text").collect()
-        index = Index([r["item"] for r in part], [r["text"] for r in part], edits, walks, samples)
+        index = Index([r["item"] for r in part], [r["text"] for r in part], edits, recall, samples, short=short)
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             held: dict[int, list] = {}
@@ -221,7 +249,12 @@ def contaminated(
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     piece = batch.slice(at, 1000)
-                    for length, row, windows, around in index.candidates(Words(piece.column(1))):
+                    words = Words(piece.column(1))
+                    for length, row, item in index.exact(words):
+                        yield pa.RecordBatch.from_arrays(
+                            [piece.column(0).take(pa.array(row)), pa.array(item), *(pa.array(np.full(len(row), x)) for x in (0, length))], names=out.names
+                        )
+                    for length, row, windows, around in index.candidates(words):
                         held.setdefault(length, []).append((piece.column(0).take(pa.array(row)), windows, around))
                         size += len(row)
                     if size > HELD:
