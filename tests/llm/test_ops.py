@@ -129,6 +129,40 @@ def test_language(spark, odd, none):
     assert np.allclose(whole, language.Trees(*model).score(*_bytes(["x", "abc def über"]))[1:])
 
 
+def test_every_byte_has_its_own_code_length(spark):
+    rng = random.Random(4)
+    letters = {"el": "αβγδεζηθικλμνξοπρστυφχψω", "ru": "абвгдежзийклмнопрстуфхцчшщъыьэюя", "en": "abcdefghijklmnopqrstuvwxyz0123456789éüñçå-,.;:!?"}
+    text = lambda g, n: "".join(rng.choice(letters[g] + " ") for _ in range(n))
+    rows = [(i, text(g, 300 if g == "en" else 60), g) for i in range(12) for g in letters]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    trees = language.Trees(*model)
+    seen = {}
+    for _, t, g in rows:
+        raw = b"   " + t.encode()
+        for i in range(3, len(raw)):
+            for o in range(4):
+                context = seen.setdefault((g, raw[i - o : i]), {})
+                context[raw[i]] = context.get(raw[i], 0) + 1
+    asked = [text(g, 40) for g in letters] + ["日本語 and ünd", "", "βж7"]
+    want = np.zeros((len(asked), 3))
+    for a, t in enumerate(asked):
+        raw = b"   " + t.encode()
+        for k, g in enumerate(trees.languages):
+            for i in range(3, len(raw)):
+                p = 1.0
+                for o in range(3, -1, -1):
+                    context = seen.get((g, raw[i - o : i]), {})
+                    n, u = sum(context.values()), len(context)
+                    if raw[i] in context:
+                        p *= context[raw[i]] / (n + u)
+                        break
+                    p *= u / (n + u) if n else 1
+                else:
+                    p /= 256
+                want[a, k] -= np.log2(p)
+    assert np.allclose(trees.score(*_bytes(asked)), want, rtol=1e-4)
+
+
 def _bytes(texts):
     from weftspark.llm.textnum import string_buffers
 
