@@ -27,16 +27,28 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with the `_key` of each row: its id, null after all others, and a 64-bit digest of its text."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"))
+    return docs.select(*COLUMNS, key.alias("_key"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of repeated rows of an id one."""
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """The document with the smallest key of each group of near copies; of rows equal in id and text one."""
+    rows = keyed(docs)
+    kept = near_dedup.near_duplicates(rows, "_key").where("kept").select(F.col("_key").alias("_kept")).distinct()
+    found = rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("_rest")
+    return found.groupBy("_key").agg(F.first("text").alias("text"), rest).select(
+        F.col("_key.id").alias("doc_id"), "text", "_rest.lang", "_rest.source", "_rest.n_chars"
+    )
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    held = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), short=True).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.select(*COLUMNS).join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+    """Documents that hold no benchmark item; rows of one id stand for themselves."""
+    rows = keyed(docs)
+    held = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), "_key", short=True).select(F.col("_key").alias("_held")).distinct()
+    return rows.join(held, F.col("_key").eqNullSafe(F.col("_held")), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weftspark.llm import chat, decontaminate, html_text, language, line_dedup, mixing, near_dedup, neighbours, secrets, toxicity
 from weftspark.llm.components import components
 from weftspark.llm.textnum import Words, shingle_sets
@@ -310,3 +311,18 @@ def test_nearest(spark):
     few = df.where("vec_id < 5")
     assert neighbours.nearest(few, few.where("vec_id = 0")).count() == 4
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark, tmp_path):
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(30))
+    a, b, c, d, item = (text() for _ in range(5))
+    rows = [(1, a), (None, a), (None, b), (None, b), (2, c), (2, d), (None, f"{item} {c[:20]}"), (2, f"x {item}")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    held = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+    alone = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert alone.columns == corpus_pipeline.COLUMNS and [f.dataType for f in alone.schema] == [f.dataType for f in docs.schema]
+    clean = [(1, a), (0, b), (2, c), (2, d)]
+    assert [x for x in held(alone) if item not in x[1]] == sorted(clean)
+    assert held(corpus_pipeline.drop_benchmark(spark, alone, str(tmp_path))) == sorted(clean)
