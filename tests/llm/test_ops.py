@@ -209,6 +209,28 @@ def test_toxicity_gradients_and_learning(spark):
         assert abs((up - down) / 2e-3 - g[k][at]) < 2e-2 * max(1, abs(g[k][at]))
 
 
+def test_toxicity_reads_every_byte(spark):
+    texts = pa.array(["a\u00a0b\u2014c\u3002d \u00e9t\u00e9", "x" * 63 + "\u4e2d" * 40 + "yz", "\u0628" * 64, None, "q" * 65])
+    words = toxicity._words(texts)
+    raw = [words.raw[words.at[r] + s : words.at[r] + e].tobytes() for r, s, e in zip(words.row, words.start, words.end, strict=True)]
+    assert [w.decode() for w, r in zip(raw, words.row, strict=True) if r == 0] == ["a", "b", "c", "d", "\u00e9t\u00e9"]
+    for r in (1, 2, 4):
+        own = words.row == r
+        assert max(map(len, (w for w, o in zip(raw, own, strict=True) if o))) <= toxicity.PIECE + 6
+        read = {i for s, e in zip(words.start[own], words.end[own], strict=True) for i in range(s, e)}
+        assert read == set(range(len(texts[r].as_py().encode())))
+        assert all(w.decode() for w in raw)
+    assert Words(pa.array(["q" * 12]), toxicity._BETWEEN).hashes[0] == words.hashes[words.row == 4][0]
+    rng = np.random.default_rng(1)
+    letters = [chr(0x4E00 + i) for i in range(60)]
+    prose = lambda n: "".join(rng.choice(letters, n))
+    learned = [prose(60) + ("\u6bd2\u6bd2\u6bd2\u6bd2" if i % 3 == 0 else "") + prose(60) for i in range(300)]
+    net = toxicity.fit(learned, np.arange(300) % 3 == 0)
+    clean = [prose(200) for _ in range(20)]
+    logits = toxicity.text_logits(net, pa.array(clean + [c[:100] + "\u6bd2\u6bd2\u6bd2\u6bd2" + c[100:] for c in clean]))
+    assert np.mean(logits[20:] > logits[:20]) >= 0.9
+
+
 def test_edited_passages(spark, odd, none):
     rng = random.Random(2)
     item = lambda n: [f"i{rng.randrange(10_000)}" for _ in range(n)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -47,12 +49,14 @@ class Words:
     offsets: row i has the words offsets[i]:offsets[i + 1].
     """
 
-    def __init__(self, texts: pa.Array, between: np.ndarray = _SPACE):
-        """between: for each byte whether it stands between words; by default the six white-space characters."""
+    def __init__(self, texts: pa.Array, between: np.ndarray | Callable = _SPACE, split: Callable | None = None):
+        """between: for each byte whether it stands between words, or a function of the bytes that says so for each
+        of them; by default the six white-space characters. split: a function of the bytes and of where the words begin
+        and end, which gives both, in order, for the pieces to take in their place."""
         raw, at = string_buffers(texts)
         self.raw, self.at = raw, at
         edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))]
-        space = between[raw]
+        space = between(raw) if callable(between) else between[raw]
         first = ~space
         first[1:] &= space[:-1]
         first[edges] = ~space[edges]
@@ -60,6 +64,8 @@ class Words:
         last[:-1] &= space[1:]
         last[edges - 1] = ~space[edges - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if split is not None:
+            s, e = split(raw, s, e)
         self.hashes = np.empty(len(s), np.uint64)
         power = np.cumprod(np.full(_BLOCK + 1, _BASE, np.uint64))
         back = np.cumprod(np.full(_BLOCK + 1, _BACK, np.uint64))

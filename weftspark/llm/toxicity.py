@@ -1,5 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network, written in numpy.
 
+Words end at ASCII characters other than letters and digits and at Unicode spaces and
+punctuation. A run of more than LONGEST bytes is read as overlapping pieces, each a word.
 A word enters as two vectors: that of the word, if the training texts had it often
 enough, and the mean of its characters' vectors by position. One network reads a
 window of WINDOW words forwards, one backwards; attention pools their states, and
@@ -10,6 +12,7 @@ through a logistic curve that is fitted on the training texts.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +27,13 @@ from weftspark.llm.textnum import Words
 WINDOW, STRIDE = 32, 16
 DIM_WORD, DIM_CHAR, HIDDEN, ATTEND = 8, 8, 8, 8
 PLACES = 12
+#: Bytes of the longest word that is read whole; the pieces of a longer one begin every STEP bytes and have PIECE, whole characters each.
+LONGEST, PIECE, STEP = 64, 12, 6
 #: Bound on the training sample: texts of each label by smallest digest, none of more bytes than that.
 SAMPLE, SAMPLE_BYTES = 1500, 1 << 14
 EPOCHS = 12
+#: Characters that are scored at once.
+HELD = 1 << 21
 #: A word needs so many training texts for a vector of its own, and one of so many of all of them.
 OFTEN, OFTEN_SHARE = 5, 150
 #: One text of so many of the sample is not trained on: the logistic curve is fitted on these.
@@ -36,12 +43,48 @@ _BETWEEN = np.ones(256, bool)
 _BETWEEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _FOLD = np.arange(256)
 _FOLD[65:91] += 32
+#: For each code point whether it stands between words: spaces and punctuation.
+_APART = np.array([unicodedata.category(chr(c))[0] in "ZP" for c in range(0x110000)])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def between(raw: np.ndarray) -> np.ndarray:
+    """For each byte of UTF-8 whether it belongs to a character between words."""
+    out = _BETWEEN[raw]
+    for size, low, high in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF5)):
+        at = np.flatnonzero((raw >= low) & (raw < high))
+        code = raw[at].astype(np.int64) & (0x7F >> size)
+        for k in range(1, size):
+            code = code << 6 | raw[at + k] & 0x3F
+        at = at[_APART[code]]
+        for k in range(size):
+            out[at + k] = True
+    return out
+
+
+def pieces(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end, those of more than LONGEST bytes in overlapping pieces that leave no byte out."""
+    size = end - start
+    if not (size > LONGEST).any():
+        return start, end
+    count = np.where(size > LONGEST, -(-(size - PIECE) // STEP) + 1, 1)
+    word = np.repeat(np.arange(len(start)), count)
+    turn = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+    begin = start[word] + turn * STEP
+    stop = np.where(size[word] > LONGEST, np.minimum(begin + PIECE, end[word]), end[word])
+    for _ in range(3):  # to the edges of characters
+        begin = begin - ((raw[begin] & 0xC0 == 0x80) & (begin > start[word]))
+        stop = stop + ((stop < end[word]) & (raw[np.minimum(stop, len(raw) - 1)] & 0xC0 == 0x80))
+    return begin, stop
+
+
+def _words(texts: pa.Array) -> Words:
+    return Words(texts, between, pieces)
+
+
 class Network:
     """Parameters p, and the sorted hashes of the words with vectors of their own."""
 
@@ -69,12 +112,16 @@ class Network:
         distinct, first, which = np.unique(words.hashes, return_index=True, return_inverse=True)
         row = words.row[first]
         begin, end = words.at[row] + words.start[first], words.at[row] + words.end[first]
-        size = np.minimum(end - begin, 64)
-        at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        place = np.minimum(at - np.repeat(begin, size), PLACES - 1)
-        chars = _FOLD[words.raw[at]] + 256 * place
-        edges = np.concatenate([[0], np.cumsum(size)[:-1]])
-        mean = np.add.reduceat(self.p["char"][chars], edges, axis=0) / size[:, None]
+        size = end - begin
+        mean, chars = np.zeros((len(distinct), DIM_CHAR), self.p["char"].dtype), []
+        for a in range(0, len(distinct), 1 << 16):
+            part = size[a : a + (1 << 16)]
+            edges = np.concatenate([[0], np.cumsum(part)[:-1]])
+            place = np.arange(part.sum()) - np.repeat(edges, part)
+            own = _FOLD[words.raw[np.repeat(begin[a : a + (1 << 16)], part) + place]] + 256 * np.minimum(place, PLACES - 1)
+            mean[a : a + (1 << 16)] = np.add.reduceat(self.p["char"][own], edges, axis=0) / part[:, None]
+            chars.append(own.astype(np.int16))
+        chars = np.concatenate(chars)
         slot = np.searchsorted(self.vocabulary, distinct)
         known = slot < len(self.vocabulary)
         known[known] = self.vocabulary[slot[known]] == distinct[known]
@@ -162,7 +209,7 @@ def windows(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_logits(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
-    words = Words(texts, _BETWEEN)
+    words = _words(texts)
     if not len(words.hashes):
         return np.zeros(0, np.float32), np.zeros(0, np.int64), ()
     x, which, _ = net.inputs(words)
@@ -199,7 +246,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, epochs
         turn = np.zeros(len(labels), bool)
     everything, every_label = pa.array(texts, pa.large_string()), labels
     column, labels = everything.filter(pa.array(~turn)), labels[~turn]
-    words = Words(column, _BETWEEN)
+    words = _words(column)
     pairs = np.unique(np.stack([words.hashes, words.row.astype(np.uint64)]), axis=1)
     vocabulary, at, df = np.unique(pairs[0], return_index=True, return_counts=True)
     toxic = np.add.reduceat(labels[pairs[1].astype(np.int64)], at)
@@ -298,13 +345,18 @@ def score(model: Network | float) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out = np.empty(len(texts))
-            for at in range(0, len(texts), 256):
-                part = texts.iloc[at : at + 256]
+            size = np.cumsum(texts.str.len().fillna(0).to_numpy())
+            at = 0
+            while at < len(texts):
+                # at most 256 texts and about HELD characters at once, one text at least
+                end = max(at + 1, min(at + 256, int(np.searchsorted(size, (size[at - 1] if at else 0) + HELD, "right"))))
+                part = texts.iloc[at:end]
                 if isinstance(model, float):
-                    out[at : at + 256] = model
+                    out[at:end] = model
                 else:
                     logits = text_logits(model, pa.array(part.tolist(), pa.large_string(), from_pandas=True))
-                    out[at : at + 256] = sigmoid(model.curve[0] * logits + model.curve[1])
+                    out[at:end] = sigmoid(model.curve[0] * logits + model.curve[1])
+                at = end
             yield pd.Series(out)
 
     return run
