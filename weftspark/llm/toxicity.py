@@ -12,13 +12,14 @@ through a logistic curve that is fitted on the training texts.
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,8 +30,8 @@ DIM_WORD, DIM_CHAR, HIDDEN, ATTEND = 8, 8, 8, 8
 PLACES = 12
 #: Bytes of the longest word that is read whole; the pieces of a longer one begin every STEP bytes and have PIECE, whole characters each.
 LONGEST, PIECE, STEP = 64, 12, 6
-#: Bound on the training sample: texts of each label by smallest digest, none of more bytes than that.
-SAMPLE, SAMPLE_BYTES = 1500, 1 << 14
+#: Bound on the training sample: documents of each label by smallest digest, and the characters that are read of each.
+SAMPLE, SPAN = 1500, 1 << 14
 EPOCHS = 12
 #: Characters that are scored at once.
 HELD = 1 << 21
@@ -325,17 +326,36 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def train(labelled: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, seed: int = 1) -> Network | float:
-    """A network from at most `sample` texts of each label of at most SAMPLE_BYTES bytes, by smallest digest of the id."""
-    rows = labelled.where(F.col(label_col).isin(0, 1) & (F.octet_length(text_col) <= SAMPLE_BYTES)).select(
-        F.col(label_col).cast("int").alias("y"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")
-    )
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, seed: int = 1) -> Network | float:
+    """A network from the texts of at most `sample` documents of each label, by smallest digest of the id.
+
+    docs has id_col and text_col, labels id_col and label_col. Ids are drawn before any
+    text is read, by each task's smallest digests, and only the drawn documents' texts
+    are fetched. A text of more than SPAN characters gives one span of that many, drawn by digest.
+    The network is fitted in one task of the executors, which holds no more than that sample.
+
+    Labels other than 0 and 1 and null ids or labels teach nothing. An id with several labels counts
+    as the highest of them; of several texts of an id the smallest is read. Null and empty texts
+    teach nothing, as they have no window. Ties in the digest go by id. An empty table gives the score 0 to every text.
+    """
+    named = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    there = docs.select(F.col(id_col).alias("id"))
+    rows = named.join(there, "id", "left_semi").select("y", "id", F.xxhash64(F.lit(seed), "id").alias("h"))
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    order = Window.partitionBy("y").orderBy("h", "text")
-    chosen = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("h", "text", "y").toPandas()
-    chosen = chosen.sort_values(["h", "text"])
-    return fit(chosen.text.tolist(), chosen.y.to_numpy(), share, seed=seed)
+    drawn = [rows.where(F.col("y") == y).orderBy("h", "id").limit(sample) for y in (0, 1)]
+    # at most 2 * sample rows of three numbers, by limit()
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn[0].union(drawn[1])), "id")
+    room = F.greatest(F.length("text") - SPAN + 1, F.lit(1))
+    span = F.substr("text", (F.pmod(F.xxhash64(F.lit(seed), "h"), room) + 1).cast("int"), F.lit(SPAN))
+    texts = texts.select("y", "h", "id", span.alias("text")).groupBy("y", "h", "id").agg(F.min("text").alias("text"))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[pdf["text"].fillna("") != ""].sort_values(["h", "id"])
+        return pd.DataFrame({"model": [pickle.dumps(fit(pdf["text"].tolist(), pdf["y"].to_numpy(), share, seed=seed))]})
+
+    found = texts.groupBy(F.lit(0).alias("all")).applyInPandas(grow, "model binary").first()
+    return pickle.loads(found["model"]) if found is not None else 0.0
 
 
 def score(model: Network | float) -> Column:
