@@ -42,19 +42,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    probe = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turn = F.col("id")
+    probe = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text")
+    )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
     return chat.digest_chats(chat.format_chats(rows))
 
 
-def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    labels = labels.where(fold(5) != 0).withColumnRenamed("doc_id", "label_id")
-    return docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("label_id"))
-
-
 def toxic_model(spark: SparkSession, docs: DataFrame, sf_dir: str):
-    return toxicity.train(labelled(spark, docs, sf_dir), "doc_id", "text", "toxic")
+    labels = table(spark, sf_dir, "labels").where((fold(5) != 0) & F.col("toxic").isNotNull()).select("doc_id", "toxic")
+    return toxicity.train(docs, labels, "doc_id", "text", "toxic")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
