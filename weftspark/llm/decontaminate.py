@@ -36,8 +36,8 @@ RECALL = 0.99
 RATE, SPARE = 5.0, 4
 #: Items of more bytes than that are taken in several passes, so that what a task holds is bounded.
 ITEM_BYTES = 8 << 20
-#: Windows that a task gathers before it embeds them.
-HELD = 30_000
+#: Bytes of windows that a task gathers before it embeds them, of those it cuts at once, and cells of a block of distances.
+HELD, CUT, CELLS = 64 << 20, 16 << 20, 1 << 22
 
 
 def allowed(length: int, edits: float = EDITS) -> int:
@@ -161,12 +161,15 @@ class Index:
             limit, row = self.groups[length][4], words.row[starts]
             end = words.offsets[row + 1][:, None]
 
-            def cut(begin: np.ndarray, width: int, end: np.ndarray = end) -> np.ndarray:
+            def cut(begin: np.ndarray, width: int, end: np.ndarray) -> np.ndarray:
                 at = begin[:, None] + np.arange(width)
                 return np.where(at < end, words.hashes[np.minimum(at, len(words.hashes) - 1)], np.uint64(0))
 
-            around = cut(np.maximum(starts - limit, words.offsets[row]), length + 2 * limit)
-            yield int(length), row, cut(starts, length), around
+            step = max(1, CUT // (16 * (length + limit)))
+            for at in range(0, len(starts), step):
+                own, stop = starts[at : at + step], end[at : at + step]
+                first = np.maximum(own - limit, words.offsets[row[at : at + step]])
+                yield int(length), row[at : at + step], cut(own, length, stop), cut(first, length + 2 * limit, stop)
 
     def verified(self, length: int, windows: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item id, distance) of the windows that LSH proposes for an item and that are within its distance."""
@@ -183,8 +186,9 @@ class Index:
         a = np.searchsorted(of, same)
         which, slot = _expand(a, np.searchsorted(of, same, "right") - a)
         item = item[slot]
+        step = max(1, CELLS // around.shape[1])
         distance = np.concatenate(
-            [edit_distances(symbols[item[k : k + 4096]], around[which[k : k + 4096]])[0] for k in range(0, len(which), 4096)]
+            [edit_distances(symbols[item[k : k + step]], around[which[k : k + step]])[0] for k in range(0, len(which), step)]
             or [np.zeros(0, np.int64)]
         )
         near = distance <= limit
@@ -256,10 +260,10 @@ def contaminated(
                         )
                     for length, row, windows, around in index.candidates(words):
                         held.setdefault(length, []).append((piece.column(0).take(pa.array(row)), windows, around))
-                        size += len(row)
-                    if size > HELD:
-                        yield from flush()
-                        size = 0
+                        size += windows.nbytes + around.nbytes
+                        if size > HELD:
+                            yield from flush()
+                            size = 0
             yield from flush()
 
         one = rows.mapInArrow(run, out)
