@@ -4,7 +4,9 @@ Each page is cut into blocks of text. What an article or main element holds is t
 article, without the parts that are marked as something else (navigation, forms,
 advertising, comments ...). Where a page marks no article, its blocks are aligned by
 longest common subsequence with those of the page of the same host whose path is
-nearest, and the blocks both have - the site's frame - are deleted.
+nearest, and the blocks both have - the site's frame - are deleted. Differencing alone
+loses article lines that two pages share and keeps frame lines that differ from page to
+page, so it decides marked pages only if asked to.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ from __future__ import annotations
 import html
 import os
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -120,30 +122,71 @@ def blocks(page: str | None) -> tuple[list[str], list[str]]:
     return article, outside
 
 
+#: Cells of a table of common subsequences that are held at once, one bit each.
+CELLS = 1 << 27
+
+
 def unshared(own: list[str], other: list[str]) -> list[str]:
-    """The lines of own outside a longest common subsequence with other (Hunt and Szymanski's method)."""
-    places: dict[str, list[int]] = {}
-    for j, line in enumerate(other):
-        places.setdefault(line, []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i, line in enumerate(own):
-        for j in reversed(places.get(line, [])):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    shared = set()
-    link = links[-1] if links else None
-    while link:
-        shared.add(link[0])
-        link = link[1]
+    """The lines of own outside a longest common subsequence with other.
+
+    Lines that stand on one side alone go first. Rows of the table of common lengths are
+    kept as bits of one number each (Crochemore and others' method), so repeated lines
+    cost no more than others; beyond CELLS the table is halved by Hirschberg's method.
+    """
+    both = {*own} & {*other}
+    keep = [i for i, line in enumerate(own) if line in both]
+    shared = {keep[i] for i in _common([own[i] for i in keep], [line for line in other if line in both])}
     return [line for i, line in enumerate(own) if i not in shared]
 
 
+def _rows(own: list[str], other: list[str]) -> Iterator[int]:
+    """For each line of own a number whose bit j is 0 where the common length with other grows from j lines to j + 1."""
+    at: dict[str, bytearray] = {}
+    for j, line in enumerate(other):
+        at.setdefault(line, bytearray(len(other) // 8 + 1))[j >> 3] |= 1 << (j & 7)
+    masks = {line: int.from_bytes(bits, "little") for line, bits in at.items()}
+    every = (1 << len(other)) - 1
+    row = every
+    for line in own:
+        hit = row & masks.get(line, 0)
+        row = (row + hit | row - hit) & every
+        yield row
+
+
+def _common(own: list[str], other: list[str]) -> list[int]:
+    """Places in own of a longest common subsequence with other."""
+    head = 0
+    while head < min(len(own), len(other)) and own[head] == other[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(own), len(other)) - head and own[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    a, b = own[head : len(own) - tail], other[head : len(other) - tail]
+    found: list[int] = []
+    if a and b and len(a) > 1 and len(a) * len(b) > CELLS:
+        half = len(a) // 2
+        for row in _rows(a[:half], b):
+            pass
+        for back in _rows(a[:half - 1 : -1], b[::-1]):
+            pass
+        lengths = lambda r: np.concatenate([[0], np.cumsum(1 - np.unpackbits(np.frombuffer(r.to_bytes(len(b) // 8 + 1, "little"), np.uint8), count=len(b), bitorder="little").astype(np.int64))])
+        cut = int((lengths(row) + lengths(back)[::-1]).argmax())
+        found = _common(a[:half], b[:cut]) + [half + i for i in _common(a[half:], b[cut:])]
+    elif a and b:
+        rows = list(_rows(a, b))
+        i, j = len(a), len(b)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                found.append(i)
+        found.reverse()
+    return [*range(head), *(head + i for i in found), *range(len(own) - tail, len(own))]
+
+
 def _neighbours(keys: DataFrame) -> DataFrame:
     """(id, near): the page of the same host whose path shares the longest beginning; ties to the one before.
 
@@ -178,13 +221,19 @@ def _neighbours(keys: DataFrame) -> DataFrame:
     return rows.select("id", near.alias("near")).where("near is not null")
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_text(
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", trust_markup: bool = True
+) -> DataFrame:
     """(id_col, url_col, text), one row for each row of pages.
 
     text joins the blocks of the main text by \\n; it is empty for null or empty
     pages and where nothing is left. Pages with a null URL have a host of their own.
-    Rows that repeat an id are each extracted; as a neighbour the first of them by its
-    blocks counts. Other columns are not read. An empty table gives an empty result.
+    Rows that repeat an id are each extracted. Pages of a host with the same blocks are
+    copies: they count as one page at the first of their paths, so that none is its own
+    neighbour. Other columns are not read. An empty table gives an empty result. Very
+    long pages are whole; a page is one value, so one task holds it.
+
+    trust_markup: False lets differencing decide on every page, marked articles too.
     """
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).cast("string").alias("_html"))
     out = T.StructType(
@@ -198,28 +247,31 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [blocks(x) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    batch.column(1),
-                    pa.array(["\n".join(a) if a else None for a, _ in found], pa.string()),
-                    pa.array([None if a else o for a, o in found], pa.list_(pa.string())),
-                ],
-                names=out.names,
-            )
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [blocks(x) if trust_markup else ([], every_block(x)) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        part.column(1),
+                        pa.array(["\n".join(a) if a else None for a, _ in found], pa.string()),
+                        pa.array([None if a else o for a, o in found], pa.list_(pa.string())),
+                    ],
+                    names=out.names,
+                )
 
     parsed = settle(rows.mapInArrow(run, out))
     marked = parsed.where("text is not null").select("_id", "_url", "text")
     rest = parsed.where("text is null")
-    no_scheme = F.regexp_replace(F.coalesce("_url", F.concat(F.lit("//\x00"), F.col("_id").cast("string"))), r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
+    no_scheme = F.regexp_replace(F.coalesce("_url", F.concat(F.lit("//\x00"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), r"^[a-zA-Z][a-zA-Z0-9+.-]*:", "")
     host = F.lower(F.regexp_extract(no_scheme, r"^//([^/?#]*)", 1))
     path = F.regexp_replace(no_scheme, r"^//[^/?#]*", "")
-    keys = rest.select(F.col("_id").alias("id"), host.alias("host"), path.alias("path")).dropDuplicates(["id"])
-    other = rest.groupBy("_id").agg(F.min("open").alias("other")).withColumnRenamed("_id", "near")
-    paired = (
-        rest.join(_neighbours(keys), F.col("_id").eqNullSafe(F.col("id")), "left").drop("id").join(other, "near", "left")
-    )
+    digest = F.sha2(F.array_join("open", "\n"), 256)
+    rest = rest.select("_id", "_url", "open", F.sha2(F.concat_ws("\n", host, digest), 256).alias("copy"), host.alias("host"), path.alias("path"))
+    keys = rest.groupBy(F.col("copy").alias("id"), "host").agg(F.min("path").alias("path"))
+    near = _neighbours(keys).withColumnRenamed("id", "copy")
+    other = rest.groupBy(F.col("copy").alias("near")).agg(F.first("open").alias("other"))
+    paired = rest.join(near, "copy", "left").join(other, "near", "left")
 
     @F.pandas_udf("string")
     def difference(own: pd.Series, other: pd.Series) -> pd.Series:
@@ -227,3 +279,28 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     framed = paired.select("_id", "_url", difference("open", "other").alias("text"))
     return marked.union(framed).select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text")
+
+
+def every_block(page: str | None) -> list[str]:
+    """All blocks of text of a page, whatever marks them."""
+    lines: list[str] = []
+    text: list[str] = []
+    page, at = page or "", 0
+
+    def close() -> None:
+        block = " ".join(html.unescape("".join(text)).split())
+        text.clear()
+        if block:
+            lines.append(block)
+
+    for m in _TOKEN.finditer(page):
+        text.append(page[at : m.start()])
+        at = m.end()
+        name = (m[3] or "").lower()
+        if name == "br":
+            text.append(" ")
+        elif name and name not in _INLINE:
+            close()
+    text.append(page[at:])
+    close()
+    return lines
