@@ -20,11 +20,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftspark.llm.common import settle
 from weftspark.llm.textnum import string_buffers
 
 ORDER = 3
 #: Bound on the sample that the trees are counted on: texts of each language, by smallest digest of id and text.
 SAMPLE = 600
+#: How many times the expected share of digests is looked at for them.
+ROOM = 1.5
 NONE = "und"
 #: What Arrow batches are cut to before the per-byte arrays are made.
 _SLICE = 1 << 21
@@ -169,27 +172,28 @@ def context_codes(symbols: np.ndarray, at: np.ndarray, order: int) -> np.ndarray
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: int = SAMPLE) -> tuple:
     """(languages, for each the numbers of ORDER + 1 bytes and how often they occur) from at most `sample` whole texts of each.
 
-    Counting runs where the texts are; the driver gets the counts, no more of them
-    than the sample has bytes.
+    Null languages and texts teach nothing, empty texts have no byte to count; rows that repeat an id and text
+    count once. Counting runs where the texts are; the driver gets the counts, no more of
+    them than the sample has bytes. An empty table gives no language.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), F.col(id_col), F.col(text_col)).alias("h")
     )
+    # digests are spread evenly, so `sample` of a language's n texts lie below about sample / n of their range, and surely below ROOM times that
+    most = F.lit(ROOM * sample * 2.0**64) / F.col("count") - 2.0**63
+    sizes = F.broadcast(rows.groupBy("lang").count().select("lang", most.alias("most")))  # one row a language
+    low = rows.select("lang", "h").join(sizes, "lang").where(F.col("h").cast("double") <= F.col("most")).select("lang", "h").distinct()
     chosen = (
-        rows.select("lang", "h")
-        .withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+        low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .where(F.col("r") <= sample)
         .groupBy("lang")
         .agg(F.max("h").alias("last"))
     )
-    bounds = {r["lang"]: r["last"] for r in chosen.collect()}
-    languages = sorted(bounds)
+    chosen = settle(chosen)
+    languages = sorted(r["lang"] for r in chosen.collect())
     if not languages:
         return [], []
-    within = F.lit(False)
-    for name in languages:
-        within = within | ((F.col("lang") == name) & (F.col("h") <= bounds[name]))
-    texts = rows.where(within).select("lang", "text")
+    texts = rows.join(F.broadcast(chosen), "lang").where("h <= last").groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("lang", "code", "n")])
 
