@@ -202,6 +202,7 @@ def nearest(
 
     index = settle(
         points.select(number.alias("shard"), "v", "ids", F.element_at("ids", 1).alias("first"))
+        .repartition(4 * shards, "shard")  # a shard is little data and much work, so small partitions must not be joined
         .groupBy("shard")
         .applyInPandas(grow, "shard int, points binary, graph binary, entry int, sizes binary, ids binary, exact binary")
     )
