@@ -1,4 +1,8 @@
-"""A training corpus in five stages: each writes its documents as Parquet, and the next reads them."""
+"""A training corpus in five stages: each writes its documents as Parquet, and the next reads them.
+
+Every stage takes rows with nulls in any column, empty and very long texts, repeated rows
+and columns beside COLUMNS, which it leaves out; of an empty table it makes an empty one.
+"""
 
 from __future__ import annotations
 
@@ -16,13 +20,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below 0.5; the labels of the training folds teach the score."""
+    """Documents that score below 0.5; the labels of the training folds teach the score.
+
+    Null and empty texts score as texts without words; without labels of both kinds all score alike,
+    0 where nothing is labelled, and stay.
+    """
     score = toxicity.score(queries.toxic_model(spark, docs, sf_dir))
     return docs.select(*COLUMNS, score("text").alias("_score")).where("_score < 0.5").select(*COLUMNS)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that ten of them share; n_chars counts what is left."""
+    """Documents without the lines that ten of them share; n_chars counts what is left.
+
+    Null texts become empty. Rows of one id are one document to the count, null ids too; each stays.
+    """
     kept = line_dedup.dedup_lines(docs, keep=["lang", "source"])
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
@@ -34,7 +45,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest key of each group of near copies; of rows equal in id and text one."""
+    """The document with the smallest key of each group of near copies; of rows equal in id and text one.
+
+    Texts without words link with nothing and stay. Ties between equal keys fall to the smallest other columns.
+    """
     rows = keyed(docs)
     kept = near_dedup.near_duplicates(rows, "_key").where("kept").select(F.col("_key").alias("_kept")).distinct()
     found = rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
@@ -45,14 +59,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item; rows of one id stand for themselves."""
+    """Documents that hold no benchmark item; rows of one id stand for themselves, null ids too. Null texts hold none."""
     rows = keyed(docs)
     held = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"), "_key", short=True).select(F.col("_key").alias("_held")).distinct()
     return rows.join(held, F.col("_key").eqNullSafe(F.col("_held")), "left_anti").select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes; every document has its row."""
+    """How many words of each document the mix takes; every row has its row, null and empty texts with 0 words, null sources as one source."""
     return queries.mixed(spark, docs, sf_dir).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
