@@ -43,6 +43,8 @@ SLACK = 4.5
 LONG, LEADERS = 16, 6
 #: Classes and shingles that a block of a pool has about.
 POOL_ROWS, POOL_SHINGLES = 256, 200_000
+#: Parts that the classes of a pool are dealt to when they learn the pool's facts.
+SALT = 32
 
 
 def least_overlap(size: int, k: int, similarity: float) -> int:
@@ -53,17 +55,20 @@ def least_overlap(size: int, k: int, similarity: float) -> int:
     return max(1, math.floor(similarity * kept - SLACK * math.sqrt(kept * similarity * (1 - similarity))))
 
 
-def _digest(values: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(values.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _digest(values: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set as two numbers."""
+    both = hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+    return int.from_bytes(both[:8], "little", signed=True), int.from_bytes(both[8:], "little", signed=True)
 
 
 def sketched(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """(_id, n, cls, sketch) of docs (_id, _text): n the set's size, cls a 64-bit digest of the set (null when empty)."""
+    """(_id, n, cls, alt, sketch) of docs (_id, _text): n the set's size, cls and alt a 128-bit digest of the set (null when empty)."""
     out = T.StructType(
         [
             docs.schema["_id"],
             T.StructField("n", T.LongType()),
             T.StructField("cls", T.LongType()),
+            T.StructField("alt", T.LongType()),
             T.StructField("sketch", T.ArrayType(T.LongType())),
         ]
     )
@@ -73,7 +78,7 @@ def sketched(docs: DataFrame, words: int, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 sets = shingle_sets(part.column(1), words)
-                digest = [_digest(s) if len(s) else None for s in sets]
+                digest = [_digest(s) if len(s) else (None, None) for s in sets]
                 heads = [s[:k] for s in sets]
                 flat = np.concatenate(heads) if heads else np.zeros(0, np.uint64)
                 ends = np.cumsum([0, *(len(h) for h in heads)]).astype(np.int32)
@@ -81,7 +86,8 @@ def sketched(docs: DataFrame, words: int, k: int) -> DataFrame:
                     [
                         part.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(digest, pa.int64()),
+                        pa.array([a for a, _ in digest], pa.int64()),
+                        pa.array([b for _, b in digest], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64))),
                     ],
                     names=out.names,
@@ -121,15 +127,16 @@ def _shared():
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(cls, set) of docs (cls, _text): the sorted hashes of the whole set in binary, of texts that belong to cls."""
+    """(cls, set) of docs (cls, first, alt, _text): the sorted hashes of the whole set in binary, of texts that belong to cls."""
     out = T.StructType([T.StructField("cls", T.LongType()), T.StructField("set", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                sets = shingle_sets(part.column(1), words)
-                own = [(c, s.tobytes()) for c, s in zip(part.column(0).to_pylist(), sets, strict=True) if _digest(s) == c]
+                sets = shingle_sets(part.column(3), words)
+                named = zip(*(part.column(i).to_pylist() for i in range(3)), sets, strict=True)
+                own = [(c, s.tobytes()) for c, a, b, s in named if _digest(s) == (a, b)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c for c, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())],
                     names=out.names,
@@ -138,16 +145,19 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, out).dropDuplicates(["cls"])
 
 
-def _pool_links(pooled: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of pooled (cls, n, root, pool, set): links that join what all links within the pools would join.
+def _pool_links(pooled: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of pooled (cls, n, root, pool) and sets (cls, set): links that join what all links within the pools would join.
 
     The classes of a pool outside its largest component, and those inside, are dealt
     to blocks by hash; each outer block meets every block of the pool in a group of its own.
-    A group reports a spanning forest of its links between different roots.
+    A group reports a spanning forest of its links between different roots. A pool's
+    facts meet its classes salted, and sets come to the groups by class, so no task holds a pool.
     """
+    pooled = pooled.withColumn("salt", F.pmod(F.xxhash64(F.lit(31), "cls"), F.lit(SALT)))
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     members = pooled.groupBy("pool", "root").agg(F.count("*").alias("m"))
     major = members.groupBy("pool").agg(F.max_by("root", F.struct("m", "root")).alias("major"))
-    rows = pooled.join(major, "pool").withColumn("outer", F.col("root") != F.col("major")).drop("major")
+    rows = pooled.join(salted(major), ["pool", "salt"]).withColumn("outer", F.col("root") != F.col("major")).drop("major")
     sizes = rows.groupBy("pool").agg(
         *[
             F.ceil(
@@ -158,7 +168,7 @@ def _pool_links(pooled: DataFrame, similarity: float) -> DataFrame:
             for name, own in (("outs", F.col("outer")), ("ins", ~F.col("outer")))
         ]
     )
-    rows = rows.join(sizes, "pool")
+    rows = rows.join(salted(sizes), ["pool", "salt"])
     spread = F.xxhash64(F.lit(23), "cls")
     block = F.when(F.col("outer"), F.pmod(spread, "outs")).otherwise(F.pmod(spread, F.greatest("ins", F.lit(1))))
     meets = lambda last: F.sequence(F.lit(0).cast("long"), last - 1)
@@ -211,7 +221,8 @@ def _pool_links(pooled: DataFrame, similarity: float) -> DataFrame:
 
     return (
         rows.withColumn("block", block)
-        .select("pool", "cls", "root", "set", F.explode(groups).alias("g"))
+        .select("pool", "cls", "root", F.explode(groups).alias("g"))
+        .join(sets, "cls")
         .groupBy("pool", "g")
         .applyInPandas(forest, "a long, b long")
     )
@@ -230,15 +241,21 @@ def near_duplicates(
     class_id is the smallest id among documents with the same set, component_id the
     smallest id reachable over links, kept whether the row's id is that. Empty sets
     link with nothing and keep their own id. Repeated rows are copies of one another;
-    rows with a null id take part and never name a component that has other ids.
-    Columns other than the two named are not read. An empty table gives an empty result.
+    rows with a null id take part and never name a component that has other ids. Null
+    texts are empty, and texts of any length are read whole. Columns other than the two named are not read. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     sketches = settle(sketched(rows, words, k))
-    classes = sketches.where("cls is not null").groupBy("cls").agg(
+    classes = sketches.where("cls is not null").groupBy("cls", "alt").agg(
         F.min("_id").alias("rep"), F.min("n").alias("n"), F.min("sketch").alias("sketch")
     )
-    classes = settle(classes)
+    classes = settle(classes.withColumn("first", F.col("cls")))
+    # different sets whose first 64 bits are the same: hardly ever any; all but one take another name
+    twins = classes.groupBy("cls").agg(F.count("*").alias("m"), F.min("alt").alias("kept")).where("m > 1").select("cls", "kept")
+    if not twins.isEmpty():
+        name = F.when(F.col("kept") != F.col("alt"), F.xxhash64("cls", "alt")).otherwise(F.col("cls"))
+        renamed = lambda df: df.join(twins, "cls", "left").withColumn("cls", name).drop("kept")
+        classes, sketches = settle(renamed(classes)), settle(renamed(sketches))
     limit = F.lit(int(round(similarity * 100)))
     prefix = {s: min(s, k) - least_overlap(s, k, similarity) + 1 for s in range(1, k + 1)}
     fit = lambda x, y: (F.lit(100) * F.least(x, y) >= limit * F.greatest(x, y))
@@ -286,8 +303,8 @@ def near_duplicates(
 
     def sets_of(asked: DataFrame) -> DataFrame:
         """(cls, set) of the classes asked for."""
-        chosen = classes.join(asked.distinct(), "cls", "left_semi").select("cls", F.col("rep").alias("_id"))
-        texts = chosen.join(rows, chosen["_id"].eqNullSafe(rows["_id"])).select("cls", "_text")
+        chosen = classes.join(asked.distinct(), "cls", "left_semi").select("cls", "first", "alt", F.col("rep").alias("_id"))
+        texts = chosen.join(rows, chosen["_id"].eqNullSafe(rows["_id"])).select("cls", "first", "alt", "_text")
         return _full_sets(texts, words)
 
     def confirmed(candidates: DataFrame) -> DataFrame:
@@ -330,7 +347,7 @@ def near_duplicates(
         pools = components(placed.join(first, "v").select("a", F.col("cls").alias("b"))).toDF("cls", "pool")
         pooled = settle(placed.select("cls", "n", "root").distinct().join(pools, "cls"))
         sets = settle(sets_of(pooled.select("cls")))
-        more = settle(_pool_links(pooled.join(sets, "cls"), similarity))
+        more = settle(_pool_links(pooled, sets, similarity))
         found = settle(components(links.union(more)))
 
     named = (
