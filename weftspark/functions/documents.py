@@ -10,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftspark.functions.questions import template
+
+__all__ = ["claims", "classify", "field", "front_fields", "markdown", "template", "type_of_path", "yaml_json"]
+
 # Document types with the words that a path names them by, in the order in which they are tried.
 PATH_WORDS = [
     ("policy", r"(?i)polic(?:y|ies)"),
@@ -21,6 +25,9 @@ PATH_WORDS = [
 ]
 CLASS_NAMES = {"policy": "Policy", "standard": "Standard", "guideline": "Guideline", "sop": "SOP", "jobaid": "JobAid", "transcript": "Transcript"}
 NORMATIVE = ["policy", "standard", "guideline"]
+# The leading block of simple fields and a field's line.
+BLOCK = r"(?s)^---\s*\n(.*?)\n---"
+FIELD = r"(?md)^(\w+)\s*:\s*(.+)$"
 
 
 def _strip(text: Column) -> Column:
@@ -29,8 +36,8 @@ def _strip(text: Column) -> Column:
 
 def front_fields(text: Column) -> Column:
     """Array of (k, v) of the simple `key: value` lines of a leading block between `---` lines; keys in lower case."""
-    block = F.regexp_extract(text, r"(?s)^---\s*\n(.*?)\n---", 1)
-    part = lambda i: F.regexp_extract_all(block, F.lit(r"(?md)^(\w+)\s*:\s*(.+)$"), F.lit(i))
+    block = F.regexp_extract(text, BLOCK, 1)
+    part = lambda i: F.regexp_extract_all(block, F.lit(FIELD), F.lit(i))
     return F.arrays_zip(F.transform(part(1), F.lower).alias("k"), F.transform(part(2), _strip).alias("v"))
 
 
@@ -114,20 +121,6 @@ def yaml_json(blocks: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(one, na_action=None).astype(object)
 
 
-def template(question: Column) -> Column:
-    """The template that a question asks for by the kinds it mentions and its cues; null if none fits."""
-    lower = F.lower(question)
-    sig, kep, person = question.rlike(r"(?i)\bsig[\s-]+[a-z]"), question.rlike(r"(?i)\bkep[\s-]?[0-9]+"), question.rlike(r"(^|[^A-Za-z0-9_])@[A-Za-z]")
-    says = lambda *cues: F.greatest(F.lit(False), *[F.contains(lower, F.lit(c)) for c in cues])
-    return (
-        F.when(sig & says("tech-lead", "tech lead"), "sig_tech_leads")
-        .when(sig & says("own", "kep"), "sig_owned_keps")
-        .when(kep & says("own", "sig"), "kep_owning_sig")
-        .when(person & says("sig", "lead", "chair"), "person_led_sigs")
-        .when(sig, "sig_owned_keps")
-    )
-
-
 # What prose says of relations, by the kind of document; no match holds a full stop.
 RULES = {
     "sig": [("COLLABORATES_WITH", r"(?i)collaborat\w*\s+(?:closely\s+)?with\s+(SIG[\s-][A-Za-z][\w-]*)")],

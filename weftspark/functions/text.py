@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The detectors and header rules whose results are compared.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"\+?[0-9]{1,3}[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}"
-SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-CARD = r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}"
-HEADER = r"^(?:[Pp]age [0-9]+(?: of [0-9]+)?|[0-9]+|- [0-9]+ -|(?:Confidential|Proprietary|Internal Use Only).*)$"
+# The detectors, header rules, control characters and bounds whose results are compared.
+EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+PHONE = r"(?:\+?1?[\s\-.]?\(?\d{3}\)?[\s\-.]?\d{3}[\s\-.]?\d{4}|\+44\s?\d{2,4}\s?\d{3,4}\s?\d{3,4}|\+\d{1,3}[\s\-]?\d{6,14})"
+SSN = r"\b\d{3}[\-\s]\d{2}[\-\s]\d{4}\b"
+CARD = r"(?:4[0-9]{3}|5[1-5][0-9]{2}|3[47][0-9]{2}|6(?:011|5[0-9]{2}))[\s\-]?(?:[0-9]{4}[\s\-]?){2,3}[0-9]{1,4}"
+UK_NI = r"(?i)\b[A-CEGHJ-PR-TW-Z]{2}\s?\d{2}\s?\d{2}\s?\d{2}\s?[ABCD]\b"
+AU_TFN = r"\b\d{3}[\s\-]?\d{3}[\s\-]?\d{3}\b"
+DETECTORS = {"email": EMAIL, "phone": PHONE, "ssn": SSN, "credit_card": CARD, "uk_ni": UK_NI, "au_tfn": AU_TFN}
+HEADER = r"(?i)^(?:Page\s+\d+\s+of\s+\d+$|Page\s+\d+$|\d+\s*$|-+\s*\d+\s*-+$|Confidential\b|Proprietary\b|Internal\s+Use\s+Only\b)"
+LINE_END = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+HEADING = r"(?m)^#{1,6}\s+"
+PARAGRAPH = r"\S[^\n]{10,}\S"
+CONTROL = r"[\x00-\x08\x0E-\x1F\x7F-\x{9F}]"
+CONTROL_SHARE = 0.15
 LEAST_CHARS = 200
-COUNT_CUES = ["how many", "count", "total", "average"]
-THEME_CUES = ["overview", "themes", "summar", "across"]
-
-
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -30,22 +34,106 @@ def numbered(text: Column) -> Column:
     return F.concat(F.lit("kep-"), F.when(bare.rlike("^[0-9]+$"), F.coalesce(F.nullif(F.regexp_replace(bare, "^0+", ""), F.lit("")), F.lit("0"))).otherwise(bare))
 
 
+def sig_id(text: Column) -> Column:
+    """sig:<slug>, the slug with one leading `sig-`."""
+    bare = slug(text)
+    return F.concat(F.lit("sig:"), F.when(bare.startswith("sig-"), bare).otherwise(F.concat(F.lit("sig-"), bare)))
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def pii_counts(text: Column) -> dict[str, Column]:
-    return {f"n_{k}": F.regexp_count(text, F.lit(p)).cast("long") for k, p in (("email", EMAIL), ("phone", PHONE), ("ssn", SSN), ("card", CARD))}
+    """n_<kind> of each detector; kinds may overlap."""
+    return {f"n_{k}": F.regexp_count(text, F.lit(p)).cast("long") for k, p in DETECTORS.items()}
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text; the end of a last line begins no further one."""
+    found = F.split(text, LINE_END, -1)
+    return F.when(F.element_at(found, -1) == "", F.slice(found, F.lit(1), F.size(found) - 1)).otherwise(found)
+
+
+def is_header(line: Column) -> Column:
+    return stripped(line).rlike(HEADER)
 
 
 def without_headers(text: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x: ~F.trim(x).rlike(HEADER)), "\n")
+    return F.array_join(F.filter(lines(text), lambda x: ~is_header(x)), "\n")
+
+
+def headers(text: Column) -> Column:
+    """How many lines `without_headers` drops."""
+    return F.size(F.filter(lines(text), is_header)).cast("long")
+
+
+def has_residue(text: Column) -> Column:
+    """Whether a text is binary residue by its share of control characters."""
+    return F.regexp_count(text, F.lit(CONTROL)) / F.greatest(F.length(text), F.lit(1)) >= CONTROL_SHARE
+
+
+def without_residue(text: Column) -> Column:
+    return F.when(has_residue(text), F.regexp_replace(text, CONTROL, "")).otherwise(text)
 
 
 def gate(text: Column) -> Column:
     """The first failing gate of a cleansed text, null if it passes."""
-    trimmed = F.length(F.btrim(text, F.lit(" \t\n\r")))
-    return F.when(trimmed < LEAST_CHARS, F.concat(F.lit("min_content:"), trimmed.cast("string"))).when(
-        ~F.exists(F.split(text, "\n", -1), lambda x: x.startswith("#") | (F.length(x) >= 12)), F.lit("structure")
+    size = F.length(stripped(text))
+    return F.when(size < LEAST_CHARS, F.concat(F.lit("min_content (observed: "), size.cast("string"), F.lit(" chars)"))).when(
+        ~text.rlike(HEADING) & ~text.rlike(PARAGRAPH), F.lit("structure")
     )
 
 
+def cleansed(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs with clean_text and the report of each: sizes, gates passed and failed, what was stripped, personal data.
+
+    Headers go first, then binary residue, then the gates in order; only a text that passes
+    them is looked at for personal data, which never fails it. Null texts are empty.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    step = docs.withColumn("_plain", without_headers(text)).withColumn("clean_text", without_residue(F.col("_plain")))
+    step = step.withColumn("gate_failed", gate(F.col("clean_text")))
+    found = F.when(F.col("gate_failed").isNull(), sum(pii_counts(F.col("clean_text")).values())).otherwise(0).cast("long")
+    passed = F.when(F.col("gate_failed").isNull(), "min_content,structure").when(F.col("gate_failed") == "structure", "min_content").otherwise("")
+    return step.select(
+        *docs.columns, "clean_text", F.length(text).cast("long").alias("chars_raw"), F.length("clean_text").cast("long").alias("chars_clean"), headers(text).alias("headers_stripped"),
+        has_residue(F.col("_plain")).cast("long").alias("binary_stripped"), passed.alias("gates_passed"), "gate_failed", F.col("gate_failed").isNotNull().alias("quarantined"),
+        found.alias("pii_entities"), (found > 0).alias("pii_flagged"),
+    )
+
+
+def sections(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(*keys, section, heading, text): the parts of each text between heading lines, whose text is kept as the heading; blank ones left out."""
+    lead = lambda x: F.regexp_replace(x, r"(?U)^\s+", "")
+    is_heading = lambda x: lead(x).startswith("#")
+    ends = lambda ls: F.filter(F.sequence(F.lit(1), F.size(ls) + 1), lambda i: (i > F.size(ls)) | is_heading(F.try_element_at(ls, i)))
+    part = lambda ls, begin, end: stripped(F.array_join(F.slice(ls, begin, F.greatest(end - begin, F.lit(0))), "\n"))
+
+    def cut(ls: Column) -> Column:
+        def one(e: Column) -> Column:
+            before = lambda i: F.when(i > 0, F.element_at(e, F.greatest(i, F.lit(1)))).otherwise(0)
+            heading = lambda i: F.when(i > 0, stripped(F.regexp_replace(stripped(F.element_at(ls, F.greatest(before(i), F.lit(1)))), "^#+", ""))).otherwise("")
+            found = F.transform(e, lambda end, i: F.struct(i.alias("section"), heading(i).alias("heading"), part(ls, before(i) + 1, end).alias("text")))
+            return F.filter(found, lambda x: x["text"] != "")
+
+        return F.element_at(F.transform(F.array(ends(ls)), one), 1)
+
+    body = F.element_at(F.transform(F.array(lines(F.coalesce(F.col(text_col), F.lit("")))), cut), 1)
+    return docs.select(*keys, F.inline(body))
+
+
+def section_chunks(docs: DataFrame, keys: list[str], text_col: str = "text", size: int = 1000, overlap: int = 150) -> DataFrame:
+    """(*keys, ordinal, heading, text): windows over the sections of each text; blank windows take no ordinal."""
+    parts = sections(docs, keys, text_col)
+    starts = F.when(F.length("text") <= size, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length("text"), F.lit(size - overlap)))
+    pieces = F.transform(starts, lambda i: stripped(F.substr(F.col("text"), i, F.lit(size))))
+    cut = parts.select(*keys, "section", "heading", F.posexplode(pieces).alias("window", "piece")).where("piece <> ''")
+    order = Window.partitionBy(*keys).orderBy("section", "window")
+    return cut.select(*keys, (F.row_number().over(order) - 1).alias("ordinal"), "heading", F.col("piece").alias("text"))
+
+
 def windows(docs: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
     """(doc_id, ordinal, text): sliding windows over each whole text; blank pieces use no ordinal."""
     starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(size - overlap))
@@ -54,20 +142,31 @@ def windows(docs: DataFrame, size: int = 1000, overlap: int = 150) -> DataFrame:
 
 
 def sentences(docs: DataFrame, size: int = 2048, carry: int = 256) -> DataFrame:
-    """(doc_id, ordinal, text): sentences filled greedily to `size` characters, the last ones of up to `carry` repeated."""
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"))
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
+    """(doc_id, ordinal, text): sentences filled greedily to `size` characters, the last ones of up to `carry` repeated.
+
+    Sentence lengths count without the spaces between them; an over-long sentence stands alone.
+    """
+    part = F.array().cast("array<string>")
+    empty = F.struct(part.alias("done"), part.alias("open"), F.lit(0).alias("chars"))
 
     def step(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["open"]) > 0) & (chars(acc["open"]) + F.length(x) > size)
-        back = F.reverse(acc["open"])
-        fits = F.filter(back, lambda y, i: chars(F.slice(back, F.lit(1), i + 1)) <= carry)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(F.reverse(fits), F.array(x))).otherwise(F.concat(acc["open"], F.array(x))).alias("open"),
-        )
-
-    parts = F.filter(F.split("text", r"(?<=[.!?])\s+", -1), lambda x: x != "")
+        n = F.length(x)
+        full = (F.size(acc["open"]) > 0) & (acc["chars"] + n > size)
+        start = F.struct(part.alias("kept"), F.lit(0).alias("chars"), F.lit(True).alias("going"))
+
+        def back(a: Column, y: Column) -> Column:
+            fits = a["going"] & (a["chars"] + F.length(y) <= carry)
+            return F.struct(
+                F.when(fits, F.concat(F.array(y), a["kept"])).otherwise(a["kept"]).alias("kept"), (a["chars"] + F.when(fits, F.length(y)).otherwise(0)).alias("chars"), fits.alias("going")
+            )
+
+        tail = F.aggregate(F.reverse(acc["open"]), start, back)
+        return F.when(
+            full,
+            F.struct(F.concat(acc["done"], F.array(F.array_join(acc["open"], " "))).alias("done"), F.concat(tail["kept"], F.array(x)).alias("open"), (tail["chars"] + n).alias("chars")),
+        ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(x)).alias("open"), (acc["chars"] + n).alias("chars")))
+
+    parts = F.filter(F.split("text", r"(?<=[.!?])\s+", -1), lambda x: stripped(x) != "")
     filled = F.aggregate(parts, empty, step, lambda acc: F.concat(acc["done"], F.array(F.array_join(acc["open"], " "))))
     return docs.select("doc_id", F.posexplode(filled).alias("ordinal", "text"))
 
@@ -80,29 +179,6 @@ def has_cue(text: Column, cues: list[str]) -> Column:
     return found
 
 
-def engine(text: Column) -> Column:
-    """Where a question goes: an anchor (a mention or a number) beats a corpus cue."""
-    anchor, cue = text.rlike("@[A-Za-z]|[0-9]"), has_cue(text, THEME_CUES)
-    return (
-        F.when(anchor & ~cue, "hybrid:anchor_no_cue")
-        .when(anchor & cue, "hybrid:anchor_beats_cue")
-        .when(cue, "global:cue_no_anchor")
-        .otherwise("hybrid:default_local")
-    )
-
-
-def strategy(text: Column) -> Column:
-    uris = F.size(F.array_distinct(F.regexp_extract_all(text, F.lit("urn:[a-z]+:[A-Za-z0-9]+"), F.lit(0))))
-    return (
-        F.when(has_cue(text, COUNT_CUES), "structured")
-        .when(has_cue(text, ["related", "connect", "depend"]) & (uris > 0), "graph_expand")
-        .when(uris >= 2, "ambiguous")
-        .when(uris == 1, "hybrid_graph")
-        .when(has_cue(text, THEME_CUES), "global")
-        .otherwise("vector_only")
-    )
-
-
 READ_ONLY = r"(?i)\b(create|merge|delete|set|remove|drop|call)\b"
 
 

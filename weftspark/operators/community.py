@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the session's shared checkpoint folder; only a local master may lack one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not (context.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftspark-"))
-    return df.checkpoint()
+from weftspark.operators.state import settle
 
 
 def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 4) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftspark.operators.state import publish, published
+
+__all__ = ["cached", "cascaded", "diff", "moves", "publish", "published", "reconcile", "reconcile_rows", "with_moves"]
+
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """(doc_id, action, old_hash, new_hash): added, changed or deleted, by one full outer join."""
@@ -48,27 +52,55 @@ def reconcile(store: DataFrame, scratch: DataFrame, removed: DataFrame, keys: li
 
     store and scratch are (*keys, doc); docs = store's without the removed, and scratch's.
     Rows without a document are deleted, new or altered ones upserted, others left out.
+    Only keys that a removed document or the scratch touches can change, so only their rows are grouped.
     """
-    old = store.groupBy(*keys).agg(F.array_sort(F.collect_set("doc")).alias("had"))
-    kept = store.join(removed.select("doc"), "doc", "left_anti").select(*keys, "doc").unionByName(scratch.select(*keys, "doc"))
-    new = kept.groupBy(*keys).agg(F.array_sort(F.collect_set("doc")).alias("docs"))
-    both = old.join(new, keys, "full_outer")
-    action = F.when(F.col("docs").isNull(), "delete").when(~F.col("docs").eqNullSafe(F.col("had")), "upsert")
-    return both.withColumn("action", action).where("action is not null").select(*keys, "action", "docs")
+    gone = removed.select("doc").distinct()
+    touched = store.join(gone, "doc", "left_semi").select(*keys).unionByName(scratch.select(*keys)).distinct()
+    mine = store.join(touched, keys, "left_semi").join(gone.withColumn("gone", F.lit(True)), "doc", "left")
+    old = mine.select(*keys, "doc", F.lit(True).alias("had"), F.col("gone").isNull().alias("has"))
+    both = old.unionByName(scratch.select(*keys, "doc", F.lit(False).alias("had"), F.lit(True).alias("has")))
+    docs = both.groupBy(*keys, "doc").agg(F.max("had").alias("had"), F.max("has").alias("has")).groupBy(*keys)
+    found = docs.agg(
+        F.array_sort(F.collect_list(F.when(F.col("has"), F.col("doc")))).alias("docs"), F.count_if("had").alias("n_had"), F.count_if(F.col("had") != F.col("has")).alias("n_changed")
+    )
+    action = F.when(F.size("docs") == 0, F.when(F.col("n_had") > 0, "delete")).when(F.col("n_changed") > 0, "upsert")
+    return found.withColumn("action", action).where("action is not null").select(*keys, "action", "docs")
 
 
-def cached(current: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses) of documents (doc_id, fp, hash) in a cache by fingerprint and content."""
-    keys = cache.select("fp", "hash").distinct()
-    return current.join(keys, ["fp", "hash"], "left_semi"), current.join(keys, ["fp", "hash"], "left_anti")
+def reconcile_rows(store: DataFrame, scratch: DataFrame, removed: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, action, props, docs, sources): as `reconcile`, of rows (*keys, doc, props) whose properties a delta may change.
 
+    A row's properties in the store are those of all its rows there; the scratch's override
+    them key by key, and what a lost document alone had said stays until a rebuild. sources
+    are what stands before the first / of the surviving documents. Rows that neither lose nor gain anything are left out.
+    """
+    plan = reconcile(store, scratch, removed, keys)
+    pairs = lambda df: df.select(*keys, F.explode("props").alias("k", "v")).groupBy(*keys, "k").agg(F.max("v").alias("v"))
+    told = scratch.select(*keys, "props")
+    concerned = plan.select(*keys).unionByName(told.select(*keys)).distinct()
+    old = pairs(store.join(concerned, keys, "left_semi")).withColumnRenamed("v", "was")
+    both = old.join(pairs(told).withColumnRenamed("v", "now"), [*keys, "k"], "full_outer")
+    props = both.groupBy(*keys).agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", F.coalesce("now", "was").alias("v"))))).alias("props"),
+        F.count_if(F.col("now").isNotNull() & ~F.col("now").eqNullSafe(F.col("was"))).alias("n_props"),
+    )
+    surviving = store.join(concerned, keys, "left_semi").join(removed.select("doc").distinct(), "doc", "left_anti").select(*keys, "doc").unionByName(scratch.select(*keys, "doc"))
+    docs = surviving.groupBy(*keys).agg(F.array_sort(F.collect_set("doc")).alias("docs"))
+    found = concerned.join(props, keys, "left").join(docs, keys, "left").join(plan.select(*keys, F.col("action").alias("planned")), keys, "left")
+    action = F.when(F.col("docs").isNull(), F.when(F.col("planned") == "delete", "delete")).when((F.col("planned") == "upsert") | (F.col("n_props") > 0), "upsert")
+    sources = F.array_sort(F.array_distinct(F.transform("docs", lambda x: F.substring_index(x.cast("string"), "/", 1))))
+    return found.withColumn("action", action).where("action is not null").select(*keys, "action", "props", "docs", sources.alias("sources"))
 
-def publish(df: DataFrame, root: str, version: int) -> None:
-    """Writes a snapshot and then, last, the pointer to it; a crash in between leaves the old pointer."""
-    df.write.mode("overwrite").parquet(f"{root}/v={version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("append").json(f"{root}/pointer")
 
+def cascaded(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges (src, kind, dst) that go with deleted nodes (id): those that leave them, and of the rest those that reach them."""
+    ids = gone.select("id").distinct()
+    out = edges.join(ids.toDF("src"), "src", "left_semi").select(*edges.columns)
+    into = edges.join(ids.toDF("src"), "src", "left_anti").join(ids.toDF("dst"), "dst", "left_semi").select(*edges.columns)
+    return out.unionByName(into)
 
-def published(spark, root: str) -> DataFrame:
-    version = spark.read.schema("version long").json(f"{root}/pointer").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{root}/v={version}")
+
+def cached(current: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hits, misses) of documents (doc_id, fp, hash) in a cache by fingerprint and content."""
+    keys = cache.select("fp", "hash").distinct()
+    return current.join(keys, ["fp", "hash"], "left_semi"), current.join(keys, ["fp", "hash"], "left_anti")

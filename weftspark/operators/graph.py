@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftspark.functions.questions import method
+from weftspark.operators.state import settle
+
 RANKS = {"public": 1, "internal": 2, "restricted": 3}
 
 
@@ -56,21 +59,35 @@ def expand(seeds: DataFrame, adj: DataFrame, hops: int = 2, cap: int = 50, clear
 
     A hop's new nodes are sorted by id and cut at `cap`; nodes that are cut aren't
     visited and may come in the next hop.
+
+    Of a node's neighbours in the order of their ids none beyond the first `cap` unseen
+    ones can survive the cut, and a question has seen no more than its seeds and `cap`
+    nodes a hop. So neighbours are numbered once for all hops, and of a hub only that many are kept.
     """
-    edges = allowed(adj, clearance).select("src", "dst").distinct()
-    seen = seeds.select("qid", "id", F.lit(0).alias("hop")).distinct()
-    front = seen
+    start = seeds.select("qid", "id", F.lit(0).alias("hop")).distinct()
+    most = (start.groupBy("qid").count().agg(F.max("count")).first()[0] or 0) + cap * hops
+    order = Window.partitionBy("src").orderBy("dst")
+    edges = allowed(adj, clearance).select("src", "dst").distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n")
+    edges = settle(edges)
+    seen = front = start
     for hop in range(1, hops + 1):
-        reached = front.join(edges, front["id"] == edges["src"]).select("qid", F.col("dst").alias("id")).distinct()
+        reached = front.join(edges, F.col("id") == F.col("src")).select("qid", F.col("dst").alias("id")).distinct()
         fresh = reached.join(seen, ["qid", "id"], "left_anti")
         order = Window.partitionBy("qid").orderBy("id")
-        front = (
-            fresh.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select("qid", "id", F.lit(hop).alias("hop"))
-        )
+        front = fresh.withColumn("n", F.row_number().over(order)).where(F.col("n") <= cap).select("qid", "id", F.lit(hop).alias("hop"))
+        front = settle(front) if hop < hops else front
         seen = seen.unionByName(front)
     return seen.where("hop > 0")
 
 
+def hop_kinds(seeds: DataFrame, expanded: DataFrame, adj: DataFrame) -> DataFrame:
+    """(qid, hop, kinds, methods): the edge kinds between each hop's nodes (as of `expand`) and those of the hop before, and how such edges are found."""
+    before = seeds.select("qid", "id", F.lit(1).alias("hop")).distinct().unionByName(expanded.select("qid", "id", F.col("hop") + 1).toDF("qid", "id", "hop"))
+    ends = expanded.select("qid", F.col("id").alias("dst"), "hop")
+    used = before.join(adj.select("src", "dst", "kind"), F.col("id") == F.col("src")).join(ends, ["qid", "dst", "hop"])
+    return used.groupBy("qid", "hop").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.array_sort(F.collect_set(method(F.col("kind")))).alias("methods"))
+
+
 def neighbours(ids: DataFrame, adj: DataFrame, clearance: int | None = None) -> DataFrame:
     """(id, kind, dir, neighbour) for every id, over all kinds and both directions."""
     return ids.join(allowed(adj, clearance), ids["id"] == adj["src"]).select("id", "kind", "dir", F.col("dst").alias("neighbour"))

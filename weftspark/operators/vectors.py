@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -14,31 +20,96 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """0 if either vector is zero."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+    size = F.least(F.size(a), F.size(b))  # of unequal lengths the product is over the shorter one
+    return F.when(norm == 0, 0.0).otherwise(dot(F.slice(a, F.lit(1), size), F.slice(b, F.lit(1), size)) / norm)
 
 
 def scores(questions: DataFrame, chunks: DataFrame, where: Column | None = None) -> DataFrame:
-    """(qid, chunk_id, score, *rest) of every question (qid, q) with every chunk (chunk_id, v, ...) that `where` lets through.
+    """(qid, chunk_id, score, *rest) of every question (qid, q) with every chunk (chunk_id, v, ...) that `where` lets through, as expressions.
 
-    The questions are the stated, small side: Spark sends them to the chunks if their
-    size allows it. The filter stands below any ranking.
+    For few questions: they are sent to the chunks, so more than ASKED are an error; `knn` takes any number.
     """
-    pairs = chunks.join(questions, where if where is not None else F.lit(True))
+    if questions.count() > ASKED:
+        raise ValueError(f"more than {ASKED} questions: use knn")
+    pairs = chunks.join(F.broadcast(questions), where if where is not None else F.lit(True))
     return pairs.withColumn("score", cosine(F.col("q"), F.col("v"))).drop("q", "v")
 
 
+#: Questions and chunks of a block.
+ASKED, HELD = 4096, 32768
+
+
+def knn(questions: DataFrame, chunks: DataFrame, k: int, least: float | None = None, by: str | None = None, extra: list[str] | None = None) -> DataFrame:
+    """(qid, rank, chunk_id, score, *extra): the k chunks (chunk_id, v, ...) nearest to each question (qid, q, ...) by cosine; k <= 0 finds none.
+
+    If the questions have `wanted`, an array of labels or null, only chunks with one of
+    them in `label` count; if they have `clearance`, a rank or null, only those with `r`
+    within it. Both hold before the ranking. least: the smallest score that counts.
+    by: a column of chunks by which they are grouped; each group then stands for its
+    best chunk. Ties go to the smaller chunk_id (group). extra: columns of chunks to carry.
+
+    Both sides are dealt to blocks, and every block of questions meets every block of
+    chunks in a group of its own, as one product of matrices; a group gives k rows a question.
+    """
+    if k <= 0:
+        return knn(questions, chunks.limit(0), 1, least, by, extra)
+    carry = [*(extra or []), *([by] if by and by not in (extra or []) else [])]
+    conditions = [c for c in ("wanted", "clearance") if c in questions.columns]
+    facts = {"wanted": "label", "clearance": "r"}
+    own = list(dict.fromkeys(["chunk_id", "v", *carry, *(facts[c] for c in conditions)]))
+    asked = max(1, -(-questions.count() // ASKED))
+    held = max(1, -(-chunks.count() // HELD))
+    dealt = lambda column, n: F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = questions.where("q is not null").select("qid", "q", *conditions).withColumn("bq", dealt("qid", asked)).withColumn("bv", spread(held))
+    right = chunks.where("v is not null").select(*own).withColumn("bv", dealt(by or "chunk_id", held)).withColumn("bq", spread(asked))
+    found_type = T.StructType([questions.schema["qid"], chunks.schema["chunk_id"], *(chunks.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
+
+    def block(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({f.name: [] for f in found_type}).astype({"score": "float64"})
+        q, v = np.array(a.q.tolist(), np.float64), np.array(b.v.tolist(), np.float64)
+        ids, groups = b.chunk_id.to_numpy(), b[by].to_numpy() if by else None
+        norms = np.sqrt((v**2).sum(1))
+        rows, places, values = [], [], []
+        for low in range(0, len(q), 256):
+            part = q[low : low + 256]
+            both = np.sqrt((part**2).sum(1))[:, None] * norms
+            score = np.divide(part @ v.T, both, out=np.zeros_like(both), where=both > 0)
+            fits = np.ones(score.shape, bool) if least is None else score >= least
+            for i in range(len(part)):
+                row = a.iloc[low + i]
+                if "wanted" in conditions and row.wanted is not None:
+                    fits[i] &= b.label.isin(list(row.wanted)).to_numpy()
+                if "clearance" in conditions and not pd.isna(row.clearance):
+                    fits[i] &= (b.r <= row.clearance).to_numpy()
+                at = np.flatnonzero(fits[i])
+                if groups is not None and len(at):
+                    at = at[np.lexsort((ids[at], -score[i, at], groups[at]))]
+                    at = at[np.concatenate([[True], groups[at[1:]] != groups[at[:-1]]])]
+                if len(at) > k:
+                    at = at[score[i, at] >= np.partition(score[i, at], len(at) - k)[len(at) - k]]
+                at = at[np.lexsort(((ids if groups is None else groups)[at], -score[i, at]))][:k]
+                rows.append(np.full(len(at), low + i))
+                places.append(at)
+                values.append(score[i, at])
+        at = np.concatenate(places)
+        out = {"qid": a.qid.to_numpy()[np.concatenate(rows)], "chunk_id": ids[at], **{c: b[c].to_numpy()[at] for c in carry}, "score": np.concatenate(values)}
+        return pd.DataFrame(out)
+
+    found = left.groupBy("bq", "bv").cogroup(right.groupBy("bq", "bv")).applyInPandas(block, found_type)
+    return top(found, k, by or "chunk_id").select("qid", "rank", "chunk_id", "score", *carry)
+
+
 def top(scored: DataFrame, k: int, by: str = "chunk_id") -> DataFrame:
     """The k best rows of each question with their rank; ties go to the smaller id."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), by)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def parents(scored: DataFrame, k: int) -> DataFrame:
-    """(qid, parent_id, score, child, rank): each parent by its best child, the first one on ties."""
-    best = scored.groupBy("qid", "parent_id").agg(
-        F.max("score").alias("score"), F.max_by("chunk_id", F.struct("score", -F.col("chunk_id"))).alias("child")
-    )
-    return top(best, k, "parent_id")
+def parents(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, parent_id, child, score): the k parents nearest to each question, each by its best child, the first one on ties."""
+    return knn(questions, chunks, k, by="parent_id").select("qid", "rank", "parent_id", F.col("chunk_id").alias("child"), "score")
 
 
 def hash_embed(texts: DataFrame, dims: int = 256) -> DataFrame:
@@ -56,18 +127,33 @@ def selfquery(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     `wanted` are the labels that the question's own filter lets through, null without a
     filter; the clearance holds besides, so a filter can only narrow.
     """
-    asked = F.coalesce(F.array_contains("wanted", F.col("label")), F.col("wanted").isNull())
-    return top(scores(questions, chunks, asked & (F.col("r") <= F.col("clearance"))), k)
+    return knn(questions, chunks, k)
+
+
+def unit(rows: DataFrame) -> DataFrame:
+    """(id, idx, value) of a table like `hash_embed` makes, each id's vector scaled to length 1; one of zeros stays empty."""
+    lengths = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    return rows.join(lengths, "id").select("id", "idx", (F.col("value") / F.col("norm")).alias("value"))
+
+
+def fingerprint(kind: str, **facts: object) -> str:
+    """16 digits of the digest of what decides a model's output, as canonical JSON; descriptions are left out."""
+    told = {k: v for k, v in facts.items() if k != "description"}
+    return hashlib.sha256(json.dumps({"kind": kind, **told}, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]
 
 
 def approximate(questions: DataFrame, chunks: DataFrame, k: int, width: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
-    """The k best chunks of each question among those that share a bucket of random projections with it, by exact cosine."""
+    """The k best chunks of each question among those that share a bucket of random projections with it, by exact cosine.
+
+    (qid, rank, chunk_id, score, seen): seen is how many chunks shared one, the share of the work that is left.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    unit = lambda v: array_to_vector(F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))))
-    items = chunks.where(dot(F.col("v"), F.col("v")) > 0).withColumn("u", unit(F.col("v")))
-    asked = questions.where(dot(F.col("q"), F.col("q")) > 0).withColumn("u", unit(F.col("q")))
+    scaled = lambda v: array_to_vector(F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))))
+    items = chunks.where(dot(F.col("v"), F.col("v")) > 0).withColumn("u", scaled(F.col("v")))
+    asked = questions.where(dot(F.col("q"), F.col("q")) > 0).withColumn("u", scaled(F.col("q")))
     model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=width, numHashTables=tables, seed=seed).fit(items)
     near = model.approxSimilarityJoin(asked, items, 2.0, "distance")
-    return top(near.select("datasetA.qid", "datasetB.chunk_id", cosine(F.col("datasetA.q"), F.col("datasetB.v")).alias("score")), k)
+    scored = near.select("datasetA.qid", "datasetB.chunk_id", cosine(F.col("datasetA.q"), F.col("datasetB.v")).alias("score"))
+    return top(scored.withColumn("seen", F.count("*").over(Window.partitionBy("qid"))), k)

@@ -6,44 +6,48 @@ from pyspark.sql import functions as F
 
 from weftspark.functions import text as T
 from weftspark.operators import graph, grounding, hybrid, vectors
-from weftspark.plans.catalog import _V_SQL, ORACLES, QUERIES, _graph, _questions, _vectors, query
+from weftspark.plans.catalog import _V_SQL, ORACLES, QUERIES, _graph, _rounded, _vectors, query
 from weftspark.sources import graph as src
 from weftspark.sources.graph import PG_SQL, QUADS_SQL, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
-_TOP = "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s)"
+_TOP = "top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s)"
 
 
 def _owner(column: str = "chunk_id"):
     return src.node_id("nation", F.col(column) % 25)
 
 
-@query(_V_SQL + ", " + _TOP.replace("FROM s", "FROM s WHERE label % 2 = qid % 2") + " SELECT qid, rank, chunk_id, label, round(score, 6) AS score FROM r WHERE rank <= 10")
+@query(_V_SQL + ", " + _TOP.replace("FROM s", "FROM s WHERE label % 2 = qid // 20 % 2") + " SELECT qid, rank, chunk_id, label, round(score, 6) AS score FROM top WHERE rank <= 10")
 def search_typed(spark, d):
-    """The ten nearest of the question's type, with the type that a hit has."""
-    found = vectors.scores(*_vectors(spark, d), F.col("label") % 2 == F.col("qid") % 2)
-    return vectors.top(found, 10).select("qid", "rank", "chunk_id", "label", F.round("score", 6).alias("score"))
+    """The ten nearest of the question's types, with the type that a hit has."""
+    asked, chunks = _vectors(spark, d)
+    odd = F.floor(F.col("qid") / 20) % 2
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: (i * 2 + odd).cast("int"))
+    found = vectors.knn(asked.withColumn("wanted", wanted), chunks, 10, extra=["label"])
+    return found.select("qid", "rank", "chunk_id", "label", F.round("score", 6).alias("score"))
 
 
 def _seed_tables(spark, d):
     """Seeds of each question: a nation it names, and the owners of its five nearest chunks."""
     asked, chunks = _vectors(spark, d)
-    named = asked.select(F.col("qid").cast("long").alias("qid"), src.node_id("nation", F.col("qid").cast("long") * 3).alias("id"), F.lit(1).alias("pos"))
-    near = vectors.top(vectors.scores(asked, chunks), 5)
+    nation = F.floor(F.col("qid") / 20) % 9 * 3
+    named = asked.select(F.col("qid").cast("long").alias("qid"), src.node_id("nation", nation).alias("id"), F.lit(1).alias("pos"))
+    near = vectors.knn(asked, chunks, 5)
     return named, near.select(F.col("qid").cast("long").alias("qid"), _owner().alias("id"), F.col("rank").alias("pos"))
 
 
 _SEED_SQL = f"""{PG_SQL}, {_V_SQL.removeprefix('WITH ')}, {_TOP},
-named AS (SELECT qid::BIGINT AS qid, 'nation:' || (qid * 3) AS id FROM q),
-near AS (SELECT qid::BIGINT AS qid, 'nation:' || (chunk_id % 25) AS id, rank FROM r WHERE rank <= 5)"""
+named AS (SELECT qid::BIGINT AS qid, 'nation:' || (qid // 20 % 9 * 3) AS id FROM q),
+near AS (SELECT qid::BIGINT AS qid, 'nation:' || (chunk_id % 25) AS id, rank FROM top WHERE rank <= 5)"""
 
 
 def _hybrid_sql(limit: int) -> str:
     seeds = f"""seeds AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY source, pos, id) AS n FROM (
       SELECT qid, id, min(source) AS source, min_by(pos, source * 1000 + pos) AS pos FROM (
-        SELECT qid, id, 0 AS source, 1 AS pos FROM named JOIN ranked rk USING (id) WHERE rk.r <= {limit} UNION ALL SELECT qid, id, 1, rank FROM near) GROUP BY qid, id)) WHERE n <= 4)"""
-    return f"""WITH {_SEED_SQL.replace(', r AS (SELECT *', ', top AS (SELECT *').replace('FROM r WHERE rank', 'FROM top WHERE rank')}, {seeds},
+        SELECT qid, id, 0 AS source, 1 AS pos FROM named JOIN ranked rk USING (id) WHERE rk.r <= {limit} UNION ALL SELECT qid, id, 1, rank FROM near) GROUP BY qid, id)) WHERE n <= 8)"""
+    return f"""WITH {_SEED_SQL}, {seeds},
     e AS (SELECT DISTINCT src, dst FROM adj WHERE r <= {limit}),
     h1 AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS n FROM (
       SELECT DISTINCT s.qid, e.dst AS id FROM seeds s JOIN e ON e.src = s.id) c WHERE (qid, id) NOT IN (SELECT qid, id FROM seeds)) WHERE n <= 50),
@@ -57,23 +61,23 @@ def _hybrid_sql(limit: int) -> str:
 @query(_hybrid_sql(3))
 def hybrid_seed_expand(spark, d):
     nodes, _, adj = _graph(spark, d)
-    return hybrid.seed_and_expand(*_seed_tables(spark, d), nodes, adj, seed_cap=4).select("qid", "id", "hop")
+    return hybrid.seed_and_expand(*_seed_tables(spark, d), nodes, adj).select("qid", "id", "hop")
 
 
 @query(_hybrid_sql(2))
 def hybrid_clearance(spark, d):
     nodes, _, adj = _graph(spark, d)
-    return hybrid.seed_and_expand(*_seed_tables(spark, d), nodes, adj, seed_cap=4, clearance=2).select("qid", "id", "hop")
+    return hybrid.seed_and_expand(*_seed_tables(spark, d), nodes, adj, clearance=2).select("qid", "id", "hop")
 
 
 @query(f"SELECT mode, qid, count(*) AS n FROM (SELECT 'hybrid' AS mode, qid, id FROM ({_hybrid_sql(3)}) UNION ALL "
-       f"SELECT 'vector', qid, id FROM (WITH {_SEED_SQL.replace(', r AS (SELECT *', ', top AS (SELECT *').replace('FROM r WHERE rank', 'FROM top WHERE rank')} SELECT DISTINCT qid, id FROM near) UNION ALL "
-       f"SELECT 'graph', qid, dst FROM (WITH {_SEED_SQL.replace(', r AS (SELECT *', ', top AS (SELECT *').replace('FROM r WHERE rank', 'FROM top WHERE rank')} SELECT DISTINCT qid, dst FROM named JOIN adj ON adj.src = named.id)) GROUP BY mode, qid")
+       f"SELECT 'vector', qid, id FROM (WITH {_SEED_SQL} SELECT DISTINCT qid, id FROM near) UNION ALL "
+       f"SELECT 'graph', qid, dst FROM (WITH {_SEED_SQL} SELECT DISTINCT qid, dst FROM named JOIN adj ON adj.src = named.id)) GROUP BY mode, qid")
 def compare_modes(spark, d):
     """How many nodes each question gets from vectors alone, from the graph alone, and from both."""
     nodes, _, adj = _graph(spark, d)
     named, near = _seed_tables(spark, d)
-    both = hybrid.seed_and_expand(named, near, nodes, adj, seed_cap=4).select(F.lit("hybrid").alias("mode"), "qid", "id")
+    both = hybrid.seed_and_expand(named, near, nodes, adj).select(F.lit("hybrid").alias("mode"), "qid", "id")
     alone = near.select(F.lit("vector").alias("mode"), "qid", "id").distinct()
     linked = named.join(adj, named["id"] == adj["src"]).select(F.lit("graph").alias("mode"), "qid", F.col("dst").alias("id")).distinct()
     return both.unionByName(alone).unionByName(linked).groupBy("mode", "qid").agg(F.count("*").alias("n"))
@@ -175,39 +179,11 @@ def route_fraction(spark, d):
     return taken.groupBy("day").agg(F.round(F.count_if(F.col("decided_by") == "model") / F.count("*"), 6).alias("share"))
 
 
-def _bound(spark, d):
-    """Parameters of each conversation's template: its first turn that names an existing nation."""
-    named = table(spark, d, "conversations").select(F.col("conv_id").alias("qid"), src.node_id("nation", (F.col("conv_id") + F.col("turn") * 11) % 60).alias("id"), F.col("turn").alias("pos"))
-    return grounding.first_confirmed(named, src.nodes(spark, d), "nation")
-
-
-_BIND_SQL = f"""{PG_SQL}, named AS (SELECT conv_id AS qid, 'nation:' || ((conv_id + turn * 11) % 60) AS id, turn AS pos FROM conversations),
-bound AS (SELECT n.qid, arg_min(n.id, n.pos) FILTER (WHERE k.id IS NOT NULL) AS bound, count(*) FILTER (WHERE k.id IS NULL) AS unconfirmed
-  FROM named n LEFT JOIN (SELECT id FROM nodes WHERE kind = 'nation') k ON k.id = n.id GROUP BY n.qid)"""
-
-
-@query(f"WITH {_BIND_SQL} SELECT qid, bound, unconfirmed FROM bound")
-def bind_params(spark, d):
-    return _bound(spark, d)
-
-
-@query(f"""WITH {_BIND_SQL}, a AS (SELECT qid, src AS id FROM bound JOIN edges ON dst = bound AND edges.kind = 'IN_NATION' AND src LIKE 'supplier:%')
-SELECT b.qid, CASE WHEN bound IS NULL THEN 'refused' ELSE 'answered' END AS outcome, count(a.id) AS n, coalesce(string_agg(a.id, ',' ORDER BY a.id), '') AS ids FROM bound b LEFT JOIN a USING (qid) GROUP BY b.qid, bound""")
-def governed_query(spark, d):
-    """A template run for each conversation that binds its parameter; others are refused without a query."""
-    bound = _bound(spark, d)
-    led = src.edges(spark, d).where("kind = 'IN_NATION' and src like 'supplier:%'").select(F.col("dst").alias("bound"), F.col("src").alias("id"))
-    return bound.join(led, "bound", "left").groupBy("qid", "bound").agg(
-        F.count("id").alias("n"), F.array_join(F.array_sort(F.collect_set("id")), ",").alias("ids")
-    ).select("qid", F.when(F.col("bound").isNull(), "refused").otherwise("answered").alias("outcome"), "n", "ids")
-
-
-@query(_V_SQL + """, h AS (SELECT qid, rank, chunk_id, label FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 10)
-SELECT qid, left(string_agg('[' || label || '] chunk ' || chunk_id, chr(10) ORDER BY rank), 120) AS context FROM h GROUP BY qid""")
+@query(_V_SQL + ", " + _TOP + """ SELECT qid, left(string_agg('[' || label || '] chunk ' || chunk_id, chr(10) ORDER BY rank), 24000) AS context FROM top WHERE rank <= 10 GROUP BY qid""")
 def context_text(spark, d):
-    hits = vectors.top(vectors.scores(*_vectors(spark, d)), 10)
+    hits = vectors.knn(*_vectors(spark, d), 10, extra=["label"])
     body = F.concat(F.lit("chunk "), F.col("chunk_id").cast("string"))
-    return grounding.contexts(hits.select("qid", "rank", F.col("label").cast("string").alias("label"), body.alias("body")), most=120)
+    return grounding.contexts(hits.select("qid", "rank", F.col("label").cast("string").alias("label"), body.alias("body")))
 
 
 @query(f"""WITH {QUADS_SQL}, l AS (SELECT s, p, o, o_type FROM quads), n AS (SELECT s AS id, p, o AS other, o_type <> 'iri' AS leaf FROM l UNION SELECT o, p, s, false FROM l WHERE o_type = 'iri')
@@ -232,25 +208,3 @@ def screen_sparql(spark, d):
     ]
     text = F.element_at(F.array(*logged), (F.col("user_id") % 6 + 1).cast("int"))
     return table(spark, d, "events").select(T.screened_sparql(text).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
-
-
-@query("""WITH e AS (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL), w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, unnest(w) AS value FROM w WHERE len(list_intersect(w, (SELECT list(lang) FROM e))) > 0 INTERSECT
-SELECT conv_id, turn, lang FROM w, e WHERE list_contains(w, lang)""")
-def metadata_filter(spark, d):
-    """The values of the field `lang` that a question names as words; what the field does not declare is no filter."""
-    words = _questions(spark, d).select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("question"), F.lit("[a-z]+"), F.lit(0)))).alias("value"))
-    declared = table(spark, d, "documents").select(F.col("lang").alias("value")).where("lang is not null").distinct()
-    return words.join(declared, "value").select("conv_id", "turn", "value")
-
-
-@query("""WITH s AS (SELECT d.doc_id, unnest(list_distinct(regexp_extract_all(lower(d.text), '[a-z]{4,}'))) AS w FROM documents d),
-b AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS w FROM benchmark), f AS (SELECT w FROM b GROUP BY w HAVING count(*) = 1)
-SELECT item_id, count(DISTINCT doc_id) AS docs, count(*) AS shared FROM s JOIN b USING (w) JOIN f USING (w) GROUP BY item_id""")
-def overlap_guard(spark, d):
-    """For each item how many documents use words that only this item has, and how often: wording that gives an answer away."""
-    words = lambda df, key: df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))).alias("w"))
-    own = words(table(spark, d, "benchmark"), "item_id").groupBy("w").agg(F.min("item_id").alias("item_id"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return words(table(spark, d, "documents"), "doc_id").join(own, "w").groupBy("doc_id", "item_id").agg(F.count("*").alias("n")).groupBy("item_id").agg(
-        F.count("*").alias("docs"), F.sum("n").alias("shared")
-    )

@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from weftspark.functions import documents as D
 from weftspark.operators import vectors
-from weftspark.plans.catalog import _V_SQL, ORACLES, QUERIES, _questions, _vectors, query
+from weftspark.plans.catalog import _V_SQL, ORACLES, QUERIES, _rounded, _vectors, query
 from weftspark.sources.graph import table
 
 __all__ = ["ORACLES", "QUERIES"]
 
 #: Front matter that a page gets by its id, and what a question or a document gets to say by its number.
 FRONT = ["", "---\ntype: Policies\ntitle: T\n---\n", "---\ntype: memo\nscope: all\n---\n", "---\ntype: sops\neffective_date: 2024-01-02\n---\n"]
-ASKS = ["", "Tech lead of SIG Node? ", "KEPs of sig-apps ", "Who owns KEP-12? ", "What does @ann chair? ", "About SIG Node. "]
 SAYS = ["", "We collaborate closely with SIG Node. ", "This supersedes the older KEP-12 and KEP-13. ", "It builds on KEP-7; it depends on KEP-8. "]
 
 
@@ -42,16 +41,6 @@ def classify_docs(spark, d):
     return pages.select("page_id", *[c.alias(k) for k, c in D.classify(F.col("url"), F.col("text")).items()])
 
 
-@query(f"""WITH q AS (SELECT conv_id, turn, {_pick_sql(ASKS, 'conv_id')} || text AS t FROM conversations WHERE role = 'user'),
-k AS (SELECT *, lower(t) AS l, regexp_matches(t, '(?i)\\bsig[\\s-]+[a-z]') AS s, regexp_matches(t, '(?i)\\bkep[\\s-]?[0-9]+') AS k, regexp_matches(t, '(^|[^A-Za-z0-9_])@[A-Za-z]') AS p FROM q)
-SELECT conv_id, turn, CASE WHEN s AND (contains(l, 'tech-lead') OR contains(l, 'tech lead')) THEN 'sig_tech_leads' WHEN s AND (contains(l, 'own') OR contains(l, 'kep')) THEN 'sig_owned_keps'
-WHEN k AND (contains(l, 'own') OR contains(l, 'sig')) THEN 'kep_owning_sig' WHEN p AND (contains(l, 'sig') OR contains(l, 'lead') OR contains(l, 'chair')) THEN 'person_led_sigs'
-WHEN s THEN 'sig_owned_keps' END AS template FROM k""")
-def select_template(spark, d):
-    asked = _questions(spark, d).withColumn("t", F.concat(_pick(ASKS, F.col("conv_id")), "question"))
-    return asked.select("conv_id", "turn", D.template(F.col("t")).alias("template"))
-
-
 def _claim_sql(kind: str) -> str:
     parts = [
         f"SELECT doc_id, {i} AS rule, piece, unnest(regexp_extract_all(s, '{words}', 1)) AS object, generate_subscripts(regexp_extract_all(s, '{words}', 1), 1) AS pos, "
@@ -80,21 +69,22 @@ def markdown_parts(spark, d):
     return pages.select("page_id", m["block"].isNotNull().alias("has_front"), F.get(m["headings"], 0).alias("first_heading"), F.size(m["headings"]).cast("long").alias("n_headings"))
 
 
-@query(_V_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s
-WHERE chunk_id % 3 + 1 <= 2 AND (qid % 3 = 0 OR label IN (qid, (qid + 1) % 10)))
-SELECT qid, rank, chunk_id, round(score, 6) AS score FROM r WHERE rank <= 10""")
+@query(_V_SQL + """, b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s
+WHERE r <= 2 AND (qid // 20 % 3 = 0 OR label IN (ql, (ql + 1) % 10)))
+SELECT qid, rank, chunk_id, round(score, 6) AS score FROM b WHERE rank <= 10""")
 def selfquery_filtered(spark, d):
     asked, chunks = _vectors(spark, d)
-    wanted = F.when(F.col("qid") % 3 != 0, F.array(F.col("qid"), (F.col("qid") + 1) % 10))
+    wanted = F.when(F.floor(F.col("qid") / 20) % 3 != 0, F.array(F.col("ql"), (F.col("ql") + 1) % 10))
     asked = asked.select("qid", "q", wanted.alias("wanted"), F.lit(2).alias("clearance"))
-    found = vectors.selfquery(asked, chunks.withColumn("r", F.col("chunk_id") % 3 + 1), 10)
-    return found.select("qid", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    return _rounded(vectors.selfquery(asked, chunks, 10))
 
 
 @query()
 def knn_lsh_recall(spark, d):
-    """Which share of its ten nearest the approximate search finds for each question."""
+    """Which share of its ten nearest the approximate search finds for each question, and how many chunks it looked at."""
     asked, chunks = _vectors(spark, d)
-    exact = vectors.top(vectors.scores(asked, chunks), 10).select("qid", "chunk_id")
-    found = vectors.approximate(asked, chunks, 10).select("qid", "chunk_id", F.lit(1).alias("hit"))
-    return exact.join(found, ["qid", "chunk_id"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+    exact = vectors.knn(asked, chunks, 10).select("qid", "chunk_id")
+    near = vectors.approximate(asked, chunks, 10)
+    found = near.select("qid", "chunk_id", F.lit(1).alias("hit"))
+    seen = near.groupBy("qid").agg(F.max("seen").alias("seen"))
+    return exact.join(found, ["qid", "chunk_id"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall")).join(seen, "qid", "left")
