@@ -167,7 +167,7 @@ def sentences(docs: DataFrame, size: int = 2048, carry: int = 256) -> DataFrame:
         ).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.array(x)).alias("open"), (acc["chars"] + n).alias("chars")))
 
     parts = F.filter(F.split("text", r"(?<=[.!?])\s+", -1), lambda x: stripped(x) != "")
-    filled = F.aggregate(parts, empty, step, lambda acc: F.concat(acc["done"], F.array(F.array_join(acc["open"], " "))))
+    filled = F.aggregate(parts, empty, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(F.array_join(acc["open"], " ")))).otherwise(acc["done"]))
     return docs.select("doc_id", F.posexplode(filled).alias("ordinal", "text"))
 
 

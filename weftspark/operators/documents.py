@@ -32,7 +32,7 @@ def shapes(spark: SparkSession) -> DataFrame:
 
 def decoded(files: DataFrame) -> DataFrame:
     """files (path, content) with text: UTF-8, what is none replaced."""
-    return files.withColumn("text", F.make_valid_utf8(F.decode("content", "UTF-8")))
+    return files.withColumn("text", F.make_valid_utf8(F.col("content").cast("string")))
 
 
 def is_scanned(text: Column) -> Column:
