@@ -36,8 +36,10 @@ RECALL = 0.99
 RATE, SPARE = 5.0, 4
 #: Items of more bytes than that are taken in several passes, so that what a task holds is bounded.
 ITEM_BYTES = 8 << 20
+#: Rows that a task hashes at once.
+SLICE = 250
 #: Bytes of windows that a task gathers before it embeds them, of those it cuts at once, and cells of a block of distances.
-HELD, CUT, CELLS = 64 << 20, 16 << 20, 1 << 22
+HELD, CUT, CELLS = 24 << 20, 8 << 20, 1 << 20
 
 
 def allowed(length: int, edits: float = EDITS) -> int:
@@ -251,8 +253,8 @@ def contaminated(
                 held.clear()
 
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    piece = batch.slice(at, 1000)
+                for at in range(0, batch.num_rows, SLICE):
+                    piece = batch.slice(at, SLICE)
                     words = Words(piece.column(1))
                     for length, row, item in index.exact(words):
                         yield pa.RecordBatch.from_arrays(

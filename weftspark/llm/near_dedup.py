@@ -43,6 +43,8 @@ SLACK = 4.5
 LONG, LEADERS = 16, 6
 #: Classes and shingles that a block of a pool has about.
 POOL_ROWS, POOL_SHINGLES = 256, 200_000
+#: Rows that a task hashes at once.
+SLICE = 250
 #: Parts that the classes of a pool are dealt to when they learn the pool's facts.
 SALT = 32
 
@@ -75,8 +77,8 @@ def sketched(docs: DataFrame, words: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 sets = shingle_sets(part.column(1), words)
                 digest = [_digest(s) if len(s) else (None, None) for s in sets]
                 heads = [s[:k] for s in sets]
@@ -132,8 +134,8 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 sets = shingle_sets(part.column(3), words)
                 named = zip(*(part.column(i).to_pylist() for i in range(3)), sets, strict=True)
                 own = [(c, s.tobytes()) for c, a, b, s in named if _digest(s) == (a, b)]

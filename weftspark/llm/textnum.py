@@ -15,7 +15,7 @@ _BYTE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Bytes that are hashed at once: the working arrays take about 40 times as much.
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:

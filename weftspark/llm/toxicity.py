@@ -33,8 +33,10 @@ LONGEST, PIECE, STEP = 64, 12, 6
 #: Bound on the training sample: documents of each label by smallest digest, and the characters that are read of each.
 SAMPLE, SPAN = 1500, 1 << 14
 EPOCHS = 12
+#: Windows that a network takes at once.
+AT_ONCE = 2048
 #: Characters that are scored at once.
-HELD = 1 << 21
+HELD = 1 << 20
 #: A word needs so many training texts for a vector of its own, and one of so many of all of them.
 OFTEN, OFTEN_SHARE = 5, 150
 #: One text of so many of the sample is not trained on: the logistic curve is fitted on these.
@@ -216,9 +218,9 @@ def window_logits(net: Network, texts: pa.Array) -> tuple[np.ndarray, np.ndarray
     x, which, _ = net.inputs(words)
     places, row = windows(words.offsets)
     out = np.empty(len(row), np.float32)
-    for at in range(0, len(row), 4096):
-        part = places[at : at + 4096]
-        out[at : at + 4096] = net.forward(x, np.where(part >= 0, which[part], -1))
+    for at in range(0, len(row), AT_ONCE):
+        part = places[at : at + AT_ONCE]
+        out[at : at + AT_ONCE] = net.forward(x, np.where(part >= 0, which[part], -1))
     return out, row, (words, places)
 
 
@@ -248,9 +250,9 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, epochs
     everything, every_label = pa.array(texts, pa.large_string()), labels
     column, labels = everything.filter(pa.array(~turn)), labels[~turn]
     words = _words(column)
-    pairs = np.unique(np.stack([words.hashes, words.row.astype(np.uint64)]), axis=1)
-    vocabulary, at, df = np.unique(pairs[0], return_index=True, return_counts=True)
-    toxic = np.add.reduceat(labels[pairs[1].astype(np.int64)], at)
+    own = [np.unique(words.hashes[a:b]) for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
+    vocabulary, which, df = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    toxic = np.bincount(which, np.repeat(labels, [len(o) for o in own]), len(vocabulary))
     mean = labels.mean()
     odds = np.log((toxic + 0.5 * mean) / (df - toxic + 0.5 * (1 - mean))) - np.log(mean / (1 - mean))
     often = df >= max(OFTEN, len(labels) // OFTEN_SHARE)
@@ -263,7 +265,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float | None = None, epochs
     for _ in range(epochs):
         x, which, _ = net.inputs(words)
         logits = np.concatenate(
-            [net.forward(x, np.where(places[a : a + 4096] >= 0, which[places[a : a + 4096]], -1)) for a in range(0, len(row), 4096)]
+            [net.forward(x, np.where(places[a : a + AT_ONCE] >= 0, which[places[a : a + AT_ONCE]], -1)) for a in range(0, len(row), AT_ONCE)]
         )
         chosen = []
         for i in range(len(labels)):
