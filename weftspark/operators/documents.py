@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftspark.functions import documents as D
 from weftspark.functions import questions as Q
 from weftspark.functions import text as T
-from weftspark.operators.state import settle
+from weftspark.operators.state import publish, settle
 
 # Which converter takes a file by its extension, classes of documents, and what a node of each class must have.
 ROUTES = [(".docx", "pandoc"), (".pdf", "docling"), (".pptx", "markitdown"), (".xlsx", "markitdown"), (".md", "passthrough"), (".txt", "passthrough"), (".rst", "passthrough")]
@@ -183,6 +183,22 @@ def medallion(store: DataFrame, changes: DataFrame, files: DataFrame, spark: Spa
     return after, outcomes.select("s", "path", "sha", "outcome", "reason").unionByName(missing)
 
 
+def write_artifacts(root: str, version: int, outcomes: DataFrame, quads: DataFrame, chunks: DataFrame) -> None:
+    """Publishes what a run made, as three tables by document and commit: outcomes with their reports, triples, chunks."""
+    commits = outcomes.select("s", "sha").distinct()
+    publish(outcomes, f"{root}/reports", version)
+    publish(quads.join(commits, "s", "left"), f"{root}/triples", version)
+    publish(chunks.join(commits, "s", "left"), f"{root}/chunks", version)
+
+
+def ontology(spark: SparkSession, loaded_at: str) -> tuple[DataFrame, DataFrame]:
+    """(classes, quads): the classes (kind), and the activity that loaded them."""
+    classes = spark.createDataFrame([(c,) for c in CLASSES], "kind string")
+    facts = [("type", "Activity", "iri"), ("endedAtTime", loaded_at, "dateTime")]
+    rows = [("ontology", "urn:activity:load-ontology", p, o, t) for p, o, t in facts]
+    return classes, spark.createDataFrame(rows, "g string, s string, p string, o string, o_type string")
+
+
 def pending(outcomes: DataFrame) -> DataFrame:
     """(action, path): what the next run takes in again besides its own changes, since the mark moves on past documents that failed."""
     return outcomes.where("outcome = 'error'").select(F.lit("modified").alias("action"), "path")

@@ -37,6 +37,25 @@ def allowed(adj: DataFrame, clearance: int | None) -> DataFrame:
     return adj if clearance is None else adj.where(F.col("r") <= clearance)
 
 
+def traced(seeds: DataFrame, adj: DataFrame, steps: list[str], most: int = 2, cap: int = 50, clearance: int | None = None) -> DataFrame:
+    """(qid, hop, reached, truncated, kinds, methods): what `traverse` meets hop by hop; more steps than `most` are an error."""
+    if len(steps) > most:
+        raise ValueError(f"{len(steps)} steps, {most} at most")
+    front = seeds.select("qid", "id", F.lit(1).alias("pos"))
+    out = None
+    for n, step in enumerate(steps, 1):
+        direction, kind = ("<", step[1:]) if step.startswith("<") else (">", step[:-1])
+        hop = allowed(adj, clearance).where((F.col("kind") == kind) & (F.col("dir") == direction)).select("src", "dst")
+        reached = settle(front.join(hop, front["id"] == hop["src"]).groupBy("qid", "dst").agg(F.min("pos").alias("from")))
+        found = F.lit(kind)
+        row = reached.groupBy("qid").agg(F.least(F.count("*"), F.lit(cap)).alias("reached"), (F.count("*") > cap).alias("truncated"))
+        row = row.select("qid", F.lit(n).alias("hop"), "reached", "truncated", F.array(found).alias("kinds"), F.array(method(found)).alias("methods"))
+        out = row if out is None else out.unionByName(row)
+        order = Window.partitionBy("qid").orderBy("from", "dst")
+        front = reached.select("qid", F.col("dst").alias("id"), F.row_number().over(order).alias("pos")).where(F.col("pos") <= cap)
+    return out
+
+
 def traverse(seeds: DataFrame, adj: DataFrame, steps: list[str], cap: int = 50, clearance: int | None = None) -> DataFrame:
     """(qid, id, pos): the last frontier of a fixed path from seeds (qid, id).
 

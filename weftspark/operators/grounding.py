@@ -53,6 +53,14 @@ def reply_triples(replies: DataFrame, most: int = 20) -> DataFrame:
     return replies.select("rid", F.posexplode(F.slice(listed, 1, most)).alias("n", "t")).where("t is not null").select("rid", "n", "t.*")
 
 
+def reply_filters(replies: DataFrame) -> DataFrame:
+    """(rid, field, pos, value): what the JSON object in each reply (rid, reply) filters by, a text or a list of texts a field; garbled ones give nothing."""
+    told = F.from_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0), "map<string,string>")
+    listed = replies.select("rid", F.explode(told).alias("field", "said"))
+    values = F.when(F.ltrim("said").startswith("["), F.from_json("said", "array<string>")).otherwise(F.array("said"))
+    return listed.select("rid", "field", F.posexplode(values).alias("pos", "value")).where("value is not null")
+
+
 def checked_decisions(decisions: DataFrame, allowed: list[str]) -> DataFrame:
     """decisions (proposed, fallback, ...) with decision and decided_by: what lies outside the closed set falls back to the rule's."""
     good = F.coalesce(F.col("proposed").isin(allowed), F.lit(False))
@@ -70,6 +78,20 @@ def first_confirmed(candidates: DataFrame, nodes: DataFrame, kind: str) -> DataF
     )
 
 
+def cut_question(question: Column, most: int = 4_000) -> Column:
+    """A question as a prompt may hold it."""
+    return F.substring(question, 1, most)
+
+
+def contexts_with_facts(hits: DataFrame, facts: DataFrame, most: int = 24_000) -> DataFrame:
+    """(qid, context): as `contexts`, and after the hits the facts (qid, pos, id, kind, title) of each question, one a line."""
+    title = F.when(F.coalesce("title", F.lit("")) != "", F.concat(F.lit(" - "), "title")).otherwise("")
+    lines = hits.select("qid", F.struct(F.lit(0).alias("part"), F.col("rank").cast("long").alias("at"), F.concat(F.lit("["), "label", F.lit("] "), "body").alias("line")).alias("x"))
+    lines = lines.unionByName(facts.select("qid", F.struct(F.lit(1).alias("part"), F.col("pos").cast("long").alias("at"), F.concat(F.lit("* "), "id", F.lit(" ("), "kind", F.lit(")"), title).alias("line")).alias("x")))
+    told = lines.groupBy("qid").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return told.select("qid", F.substring(F.array_join(F.transform("x", lambda y: y["line"]), "\n"), 1, most).alias("context"))
+
+
 def contexts(hits: DataFrame, most: int = 24_000) -> DataFrame:
     """(qid, context): the hits (qid, rank, label, body) of each question in their order, at most `most` characters."""
     order = F.array_sort(F.collect_list(F.struct("rank", F.concat(F.lit("["), "label", F.lit("] "), "body").alias("line"))))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ def scores(questions: DataFrame, chunks: DataFrame, where: Column | None = None)
 ASKED, HELD = 4096, 32768
 
 
-def knn(questions: DataFrame, chunks: DataFrame, k: int, least: float | None = None, by: str | None = None, extra: list[str] | None = None) -> DataFrame:
+def knn(questions: DataFrame, chunks: DataFrame, k: int, least: float | None = None, by: str | None = None, extra: list[str] | None = None, digits: int | None = None) -> DataFrame:
     """(qid, rank, chunk_id, score, *extra): the k chunks (chunk_id, v, ...) nearest to each question (qid, q, ...) by cosine; k <= 0 finds none.
 
     If the questions have `wanted`, an array of labels or null, only chunks with one of
@@ -47,12 +49,13 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int, least: float | None = N
     within it. Both hold before the ranking. least: the smallest score that counts.
     by: a column of chunks by which they are grouped; each group then stands for its
     best chunk. Ties go to the smaller chunk_id (group). extra: columns of chunks to carry.
+    digits: how many digits of a score count, so that scores that differ by rounding alone are ties.
 
     Both sides are dealt to blocks, and every block of questions meets every block of
     chunks in a group of its own, as one product of matrices; a group gives k rows a question.
     """
     if k <= 0:
-        return knn(questions, chunks.limit(0), 1, least, by, extra)
+        return knn(questions, chunks.limit(0), 1, least, by, extra, digits)
     carry = [*(extra or []), *([by] if by and by not in (extra or []) else [])]
     conditions = [c for c in ("wanted", "clearance") if c in questions.columns]
     facts = {"wanted": "label", "clearance": "r"}
@@ -76,6 +79,7 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int, least: float | None = N
             part = q[low : low + 256]
             both = np.sqrt((part**2).sum(1))[:, None] * norms
             score = np.divide(part @ v.T, both, out=np.zeros_like(both), where=both > 0)
+            score = score if digits is None else np.round(score, digits)
             fits = np.ones(score.shape, bool) if least is None else score >= least
             for i in range(len(part)):
                 row = a.iloc[low + i]
@@ -130,6 +134,39 @@ def selfquery(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return knn(questions, chunks, k)
 
 
+def embedded(texts: DataFrame, keep: list[str], text_col: str = "text", dims: int = 256) -> DataFrame:
+    """texts' columns `keep` and v, the same vectors as `unit` of `hash_embed` in dense form; without words one of zeros."""
+
+    @F.pandas_udf("array<double>")
+    def embed(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, tuple[int, int]] = {}  # of the words seen last
+        for series in column:
+            out = []
+            for text in series:
+                v = np.zeros(dims)
+                for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()):
+                    if not w:
+                        continue
+                    if w not in places:
+                        if len(places) > 50_000:
+                            places.clear()
+                        digest = hashlib.sha256(w.encode()).digest()
+                        places[w] = (int.from_bytes(digest[:4], "big") % dims, 1 if digest[4] & 1 else -1)
+                    at, sign = places[w]
+                    v[at] += sign
+                norm = np.sqrt((v**2).sum())
+                out.append(v / norm if norm else v)
+            yield pd.Series(out)
+
+    return texts.select(*keep, embed(F.col(text_col)).alias("v"))
+
+
+def vector_search(questions: DataFrame, texts: DataFrame, k: int, extra: list[str] | None = None) -> DataFrame:
+    """(qid, rank, chunk_id, score, *extra): the k texts (chunk_id, text, ...) nearest to each question (qid, question) by the vectors of their words."""
+    asked = embedded(questions, ["qid"], "question").withColumnRenamed("v", "q")
+    return knn(asked, embedded(texts, ["chunk_id", *(extra or [])]), k, extra=extra, digits=9)
+
+
 def unit(rows: DataFrame) -> DataFrame:
     """(id, idx, value) of a table like `hash_embed` makes, each id's vector scaled to length 1; one of zeros stays empty."""
     lengths = rows.groupBy("id").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
