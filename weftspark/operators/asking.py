@@ -10,6 +10,8 @@ from weftspark.functions import text as T
 
 #: Personas with the highest rank that each may see.
 PERSONAS = [("public-reader", 1), ("member", 2), ("maintainer", 3)]
+#: Strategies that a decision may name.
+STRATEGIES = ["structured", "graph_expand", "hybrid_graph", "global", "vector_only"]
 #: Templates with the kind of entity each takes, the edges it follows and in which direction.
 TEMPLATES = [
     ("sig_owned_keps", "sig", ["OWNS"], ">"),
@@ -79,6 +81,31 @@ def checked_filters(raw: DataFrame, aliases: DataFrame, choices: list[str]) -> D
     return found.unionByName(rest).distinct()
 
 
+def matching(filters: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(qid, chunk_id): the chunks (chunk_id, field, value: one row for each value) that each question's filters (qid, field, value) let through.
+
+    A field is met by any of its values, and all of a question's fields must be met. A
+    question without a filter lets all through and has no rows here.
+    """
+    asked = filters.select("qid", "field", "value").distinct()
+    fields = asked.groupBy("qid").agg(F.count_distinct("field").alias("fields"))
+    met = asked.join(chunks.select("chunk_id", "field", "value").distinct(), ["field", "value"]).groupBy("qid", "chunk_id").agg(F.count_distinct("field").alias("met"))
+    return met.join(fields, "qid").where(F.col("met") == F.col("fields")).select("qid", "chunk_id")
+
+
+def decided(questions: DataFrame, proposals: DataFrame) -> DataFrame:
+    """(qid, strategy, decided_by) of questions (qid, question): the rule's strategy, and where that is ambiguous what was proposed (qid, proposed).
+
+    A proposal outside the closed set falls back to hybrid_graph; an ambiguous question without a proposal is an error.
+    """
+    rows = questions.select("qid", Q.strategy(F.col("question")).alias("rule")).join(proposals.select("qid", "proposed"), "qid", "left")
+    open_ = F.col("rule") == "ambiguous"
+    good = F.col("proposed").isin(STRATEGIES)
+    missing = F.raise_error(F.concat(F.lit("no decision for "), F.col("qid"))).cast("string")
+    found = F.when(~open_, F.col("rule")).when(F.col("proposed").isNull(), missing).when(good, F.col("proposed")).otherwise("hybrid_graph")
+    return rows.select("qid", found.alias("strategy"), F.when(open_ & good, "model").otherwise("rule").alias("decided_by"))
+
+
 def bind_entities(chosen: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, template, id, via, dropped): for each (qid, template) the first linked entity of the template's kind that is a node.
 

@@ -106,6 +106,32 @@ def metadata_filter(spark, d):
     return asking.checked_filters(raw, org.aliases(spark, d), ["community", "enhancements"])
 
 
+@query(f"""WITH {_LINK_SQL}, f AS (SELECT conv_id || ':' || turn AS qid, 'source' AS field, 'src' || (conv_id % 20) AS value FROM conversations WHERE role = 'user' AND conv_id % 3 = 0
+  UNION ALL SELECT qid, 'entity_ids', entity_id FROM linked WHERE kind = 'sig'), n AS (SELECT qid, count(DISTINCT field) AS n FROM f GROUP BY qid),
+c AS (SELECT doc_id AS chunk_id, 'source' AS field, source AS value FROM documents UNION ALL SELECT doc_id, 'entity_ids', 'sig:sig-nation-' || (doc_id % 25) FROM documents UNION ALL SELECT doc_id, 'entity_ids', 'sig:sig-nation-' || (doc_id % 7) FROM documents)
+SELECT f.qid, c.chunk_id FROM f JOIN c USING (field, value) JOIN n USING (qid) GROUP BY f.qid, c.chunk_id, n.n HAVING count(DISTINCT f.field) = n.n""")
+def filtered_chunks(spark, d):
+    """The documents that each question's filters let through: any value of a field, all of its fields."""
+    linked = _linked(spark, d)[1].where("kind = 'sig'").select("qid", F.lit("entity_ids").alias("field"), F.col("entity_id").alias("value"))
+    turns = table(spark, d, "conversations").where("role = 'user' and conv_id % 3 = 0")
+    stated = turns.select(F.concat_ws(":", "conv_id", "turn").alias("qid"), F.lit("source").alias("field"), F.concat(F.lit("src"), (F.col("conv_id") % 20).cast("string")).alias("value"))
+    docs = table(spark, d, "documents").withColumnRenamed("doc_id", "chunk_id")
+    owners = F.explode(F.array(org.sig_of(F.col("chunk_id") % 25), org.sig_of(F.col("chunk_id") % 7)))
+    values = docs.select("chunk_id", F.lit("source").alias("field"), F.col("source").alias("value")).unionByName(docs.select("chunk_id", F.lit("entity_ids").alias("field"), owners.alias("value")))
+    return asking.matching(linked.unionByName(stated), values)
+
+
+@query(f"""WITH {QUESTIONS_SQL}, u AS (SELECT *, len(list_distinct(regexp_extract_all(question, '{Q.URI}'))) AS u FROM q),
+r AS (SELECT qid, CASE WHEN {_cue(Q.AGGREGATION)} THEN 'structured' WHEN {_cue(Q.RELATION)} AND u > 0 THEN 'graph_expand' WHEN u >= 2 THEN 'ambiguous' WHEN u = 1 THEN 'hybrid_graph' WHEN {_cue(Q.THEMATIC)} THEN 'global' ELSE 'vector_only' END AS s FROM u),
+p AS (SELECT conv_id || ':' || turn AS qid, CASE conv_id % 3 WHEN 0 THEN 'global' WHEN 1 THEN 'sql' ELSE 'vector_only' END AS p FROM conversations WHERE role = 'user')
+SELECT qid, CASE WHEN s <> 'ambiguous' THEN s WHEN p = 'sql' THEN 'hybrid_graph' ELSE p END AS strategy, CASE WHEN s = 'ambiguous' AND p <> 'sql' THEN 'model' ELSE 'rule' END AS decided_by FROM r JOIN p USING (qid)""")
+def decide_strategy(spark, d):
+    """The strategy of each question; ambiguous ones take a proposal if it is one of the closed set."""
+    turns = table(spark, d, "conversations").where("role = 'user'")
+    proposed = F.when(F.col("conv_id") % 3 == 0, "global").when(F.col("conv_id") % 3 == 1, "sql").otherwise("vector_only")
+    return asking.decided(org.questions(spark, d), turns.select(F.concat_ws(":", "conv_id", "turn").alias("qid"), proposed.alias("proposed")))
+
+
 @query(f"""WITH {QUESTIONS_SQL}, i AS (SELECT qid, list_filter(list_transform(regexp_extract_all(question, '\\b(\\d+)\\b', 1), lambda x: try_cast(x AS BIGINT)), lambda x: x BETWEEN 5 AND 1000) AS l FROM q)
 SELECT qid, CASE WHEN regexp_matches(question, '(?i)\\breview\\b') THEN 'review' WHEN regexp_matches(question, '(?i)\\boverall\\b') THEN 'overall' WHEN regexp_matches(question, '(?i)\\btop\\b') THEN 'top' END AS choice,
 l[1] AS number FROM q JOIN i USING (qid)""")

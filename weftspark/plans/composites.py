@@ -83,6 +83,32 @@ def compare_modes(spark, d):
     return both.unionByName(alone).unionByName(linked).groupBy("mode", "qid").agg(F.count("*").alias("n"))
 
 
+_ROWS_SQL = (f"SELECT 'hybrid' AS mode, qid, id FROM ({_hybrid_sql(3)}) UNION ALL SELECT 'vector', qid, id FROM (WITH {_SEED_SQL} SELECT DISTINCT qid, id FROM near) UNION ALL "
+             f"SELECT 'graph', qid, dst FROM (WITH {_SEED_SQL} SELECT DISTINCT qid, dst FROM named JOIN adj ON adj.src = named.id)")
+
+
+@query(_ROWS_SQL)
+def mode_rows(spark, d):
+    """The nodes that each question gets by each mode."""
+    nodes, _, adj = _graph(spark, d)
+    named, near = _seed_tables(spark, d)
+    both = hybrid.seed_and_expand(named, near, nodes, adj).select(F.lit("hybrid").alias("mode"), "qid", "id")
+    alone = near.select(F.lit("vector").alias("mode"), "qid", "id").distinct()
+    linked = named.join(adj, named["id"] == adj["src"]).select(F.lit("graph").alias("mode"), "qid", F.col("dst").alias("id")).distinct()
+    return both.unionByName(alone).unionByName(linked)
+
+
+@query(_hybrid_sql(2).replace("AS rank FROM s)", "AS rank FROM s WHERE r <= 2 AND label IN (ql, (ql + 1) % 10))"))
+def selfquery_hybrid(spark, d):
+    """Hybrid retrieval whose near chunks pass the question's own filter and a member's clearance."""
+    nodes, _, adj = _graph(spark, d)
+    asked, chunks = _vectors(spark, d)
+    named = _seed_tables(spark, d)[0]
+    asked = asked.withColumn("wanted", F.array(F.col("ql"), (F.col("ql") + 1) % 10)).withColumn("clearance", F.lit(2))
+    near = vectors.knn(asked, chunks, 5).select(F.col("qid").cast("long").alias("qid"), _owner().alias("id"), F.col("rank").alias("pos"))
+    return hybrid.seed_and_expand(named, near, nodes, adj, clearance=2).select("qid", "id", "hop")
+
+
 _COMMUNITY_SQL = f"""{PG_SQL}, com AS (SELECT e.dst AS community, count(*) AS size, max(k.r) AS r FROM edges e JOIN ranked k ON k.id = e.src WHERE e.kind = 'IN_NATION' GROUP BY e.dst),
 asked AS (SELECT DISTINCT conv_id AS qid, conv_id % 3 + 1 AS level FROM conversations),
 served AS (SELECT qid, community, size, rank FROM (SELECT l.level, c.community, c.size, row_number() OVER (PARTITION BY l.level ORDER BY c.size DESC, c.community) AS rank
