@@ -68,7 +68,16 @@ def louvain(nodes: DataFrame, edges: DataFrame, levels: int = 2, rounds: int = 4
 
 
 def numbered(member: DataFrame) -> DataFrame:
-    """(id, community) with names community-1, ... by size, then first member; one row for each community is ranked."""
+    """(id, community) with names community-1, ... by size, then first member.
+
+    Communities, which isolates make as many as nodes, are sorted over the cluster by
+    range; each range counts its own, and one row a range tells where its numbers begin.
+    """
     sizes = member.groupBy("community").agg(F.count("*").alias("size"), F.min("id").alias("first"))
-    names = sizes.withColumn("name", F.concat(F.lit("community-"), F.row_number().over(Window.orderBy(F.desc("size"), "first")).cast("string")))
-    return member.join(names.select("community", "name"), "community").select("id", F.col("name").alias("community"))
+    ranged = settle(sizes.repartitionByRange(F.desc("size"), "first").withColumn("part", F.spark_partition_id()))
+    own = ranged.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("size"), "first")))
+    begins = ranged.groupBy("part").agg(F.count("*").alias("held"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.select("part", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("begin"))
+    names = own.join(F.broadcast(begins), "part").select("community", F.concat(F.lit("community-"), (F.col("begin") + F.col("n")).cast("string")).alias("name"))
+    return member.join(names, "community").select("id", F.col("name").alias("community"))

@@ -33,6 +33,10 @@ def _kinds(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, Colum
         ("supplier", read("supplier"), F.col("s_suppkey"), F.col("s_name"), tier_of(F.col("s_suppkey"))),
         ("part", read("part"), F.col("p_partkey"), F.col("p_name"), public),
         ("order", read("orders"), F.col("o_orderkey"), F.col("o_orderstatus"), public),
+        *(
+            (kind, read(of).where(F.col(key).isNotNull()).select(key).distinct(), F.col(key), F.col(key).cast("string"), public)
+            for kind, of, key in (("user", "events", "user_id"), ("event_type", "events", "event_type"), ("source", "documents", "source"), ("lang", "documents", "lang"))
+        ),
     ]
 
 
@@ -64,6 +68,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
             edge(read("orders"), ("customer", "o_custkey"), "PLACED", ("order", "o_orderkey")),
             edge(lines.select("l_orderkey", "l_partkey").distinct(), ("order", "l_orderkey"), "CONTAINS", ("part", "l_partkey")),
             edge(lines.select("l_suppkey", "l_partkey").distinct(), ("supplier", "l_suppkey"), "SUPPLIES", ("part", "l_partkey")),
+            edge(read("events").select("user_id", "event_type").distinct(), ("user", "user_id"), "DID", ("event_type", "event_type")),
         ],
     )
 
@@ -74,14 +79,19 @@ PG_SQL = """nodes AS (
   UNION ALL SELECT 'customer:' || c_custkey, 'customer', c_name, (['public','internal','restricted'])[c_custkey % 3 + 1] FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, 'supplier', s_name, (['public','internal','restricted'])[s_suppkey % 3 + 1] FROM supplier
   UNION ALL SELECT 'part:' || p_partkey, 'part', p_name, 'public' FROM part
-  UNION ALL SELECT 'order:' || o_orderkey, 'order', o_orderstatus, 'public' FROM orders),
+  UNION ALL SELECT 'order:' || o_orderkey, 'order', o_orderstatus, 'public' FROM orders
+  UNION ALL SELECT DISTINCT 'user:' || user_id, 'user', user_id::VARCHAR, 'public' FROM events WHERE user_id IS NOT NULL
+  UNION ALL SELECT DISTINCT 'event_type:' || event_type, 'event_type', event_type, 'public' FROM events WHERE event_type IS NOT NULL
+  UNION ALL SELECT DISTINCT 'source:' || source, 'source', source, 'public' FROM documents WHERE source IS NOT NULL
+  UNION ALL SELECT DISTINCT 'lang:' || lang, 'lang', lang, 'public' FROM documents WHERE lang IS NOT NULL),
 edges AS (
   SELECT 'nation:' || n_nationkey AS src, 'IN_REGION' AS kind, 'region:' || n_regionkey AS dst FROM nation
   UNION ALL SELECT 'customer:' || c_custkey, 'IN_NATION', 'nation:' || c_nationkey FROM customer
   UNION ALL SELECT 'supplier:' || s_suppkey, 'IN_NATION', 'nation:' || s_nationkey FROM supplier
   UNION ALL SELECT 'customer:' || o_custkey, 'PLACED', 'order:' || o_orderkey FROM orders
   UNION ALL SELECT DISTINCT 'order:' || l_orderkey, 'CONTAINS', 'part:' || l_partkey FROM lineitem
-  UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'SUPPLIES', 'part:' || l_partkey FROM lineitem),
+  UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'SUPPLIES', 'part:' || l_partkey FROM lineitem
+  UNION ALL SELECT DISTINCT 'user:' || user_id, 'DID', 'event_type:' || event_type FROM events),
 ranked AS (SELECT id, list_position(['public','internal','restricted'], tier) AS r FROM nodes),
 adj AS (
   SELECT e.src, e.dst, e.kind, '>' AS dir, greatest(a.r, b.r) AS r FROM edges e JOIN ranked a ON a.id = e.src JOIN ranked b ON b.id = e.dst
