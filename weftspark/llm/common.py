@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftspark.operators.state import settle
+
+__all__ = ["SPACES", "WORD", "ascii_lower", "settle", "table", "word_count"]
+
 #: The six white-space characters of the word rule: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,18 +26,3 @@ def ascii_lower(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage through the shared checkpoint folder.
-
-    The folder is the session's spark.checkpoint.dir. Only a local master may go
-    without one (as in tests); it then gets a folder of its own.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not (context.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftspark-"))
-    return df.checkpoint()
