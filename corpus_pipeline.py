@@ -83,7 +83,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents`, by way of Parquet in the folder that all executors share."""
+    """The stages applied to `documents`, by way of Parquet in the folder that all executors share; each stage's files go when the next one's are written."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not (spark.sparkContext.master or "").startswith("local"):
@@ -91,7 +91,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         shared = tempfile.mkdtemp(prefix="weftspark-")
     docs = table(spark, sf_dir, "documents")
     at = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
+        if before is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{before}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        before = name
     return docs
