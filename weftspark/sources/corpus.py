@@ -114,10 +114,9 @@ def extract(docs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     # charters
     charters = docs.where("kind = 'sig_readme'").select(*tag, text("payload", "slug").alias("slug"), D.yaml_json(D.markdown(F.col("text"))["block"]).alias("front"))
 
-    # proposals with YAML: the folder's number counts only where the key is absent
+    # proposals with YAML: the folder's number counts only where the YAML states none
     keps = docs.where("kind = 'kep_yaml'").select(*tag, "payload", D.yaml_json("text").alias("y"))
-    has_number = F.array_contains(F.json_object_keys("y"), "kep-number")
-    number = F.when(has_number, F.coalesce(text("y", "kep-number"), F.lit("None"))).otherwise(text("payload", "dir_number"))
+    number = F.coalesce(text("y", "kep-number"), text("payload", "dir_number"))  # a null number counts as none
     keps = keps.select(
         *tag, "y", T.numbered(number).alias("kep"), F.coalesce(F.nullif(text("y", "owning-sig"), F.lit("")), text("payload", "owning_sig_dir")).alias("owner"),
     )
