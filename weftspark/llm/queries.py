@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.llm import chat, decontaminate, html_text, language, line_dedup, mixing, near_dedup, neighbours, secrets, toxicity
-from weftspark.llm.common import table, word_count
+from weftspark.llm import (
+    chat, decontaminate, exact_dedup, html_text, infill, language, line_dedup, mixing, near_dedup, neighbours, periodic, secrets, toxicity,
+)
+from weftspark.llm.common import WORD, new_folder, table, word_count
 
 
 def fold(n: int, id_col: str = "doc_id"):
@@ -91,12 +93,61 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), new_folder(spark, "digests"))
+
+
+def repeating(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a tenth of docs, by crc32 of the id, the words from some place on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    hit = docs.select("doc_id", F.col("text").alias("_text"), F.when((h % 10 == 0) & F.col("text").rlike(WORD), F.floor(h / 10)).alias("_g"))
+    words = hit.withColumn("_words", F.when(F.col("_g").isNotNull(), F.regexp_extract_all("_text", F.lit(WORD), 0)))
+    n = F.size("_words")
+    placed = words.withColumn("_a", (F.col("_g") % n).cast("int"))
+    room = n - F.col("_a")
+    placed = placed.withColumn("_p", (F.floor(room / (3 + F.col("_g") % 8)) + 1).cast("int"))
+    unit = F.slice("_words", F.col("_a") + 1, F.col("_p"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil(room / F.col("_p")).cast("int"))), F.lit(1), room)
+    return placed.select(
+        "doc_id", F.when(F.col("_g").isNull(), F.col("_text")).otherwise(F.array_join(F.concat(F.slice("_words", F.lit(1), F.col("_a")), tail), " ")).alias("text")
+    )
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("q"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    return found.withColumn("_top", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_top.s")).alias("start"),
+        F.col("_top.length").alias("length"),
+        (-F.col("_top.q")).alias("period"),
+        F.floor(1000 * F.col("_top.length") / -F.col("_top.q")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mix_sources, op2_line_dedup, op3_near_duplicates, op4_chat_format, op5_toxicity, op6_secrets, op7_decontaminate,
-        op8_html_text, op9_nearest, op10_language,
+        op8_html_text, op9_nearest, op10_language, op11_exact_dedup, op12_periodic_runs, op13_fill_in_middle,
     )
 }
 
-ORACLES = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op4_chat_format": chat.ORACLE}
+ORACLES = {"op1_mix_sources": mixing.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op4_chat_format": chat.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op13_fill_in_middle": infill.ORACLE}
