@@ -163,6 +163,16 @@ def test_language_learns_from_odd_rows(spark):
     assert all(n.sum() <= 10 * 30 for _, n in few[1])
 
 
+def test_language_learns_all_of_repeated_rows(spark):
+    same = spark.range(20_000).select(F.lit(1).alias("doc_id"), F.lit("ein und derselbe satz").alias("text"), F.lit("de").alias("lang"))
+    many = spark.range(20_000).select((F.col("id") % 500).alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 500).alias("text"), F.lit("en").alias("lang"))
+    languages, counts = language.train(same.unionByName(many), "doc_id", "text", "lang")
+    assert languages == ["de", "en"] and [int(n.sum()) for _, n in counts] == [21, sum(len(f"text {i}") for i in range(500))]
+    # more digests than the sample: exactly the sample is learned
+    languages, counts = language.train(many.withColumn("text", F.lit("gleich")), "doc_id", "text", "lang", sample=40)
+    assert [int(n.sum()) for _, n in counts] == [240]
+
+
 def test_neighbours_of_repeated_ids_and_clashing_columns(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.standard_normal(8).tolist(), 1.0, 2) for i in range(60)] + [(3, [9.0] * 8, 1.0, 2)]

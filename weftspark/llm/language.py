@@ -26,8 +26,8 @@ from weftspark.llm.textnum import string_buffers
 ORDER = 3
 #: Bound on the sample that the trees are counted on: texts of each language, by smallest digest of id and text.
 SAMPLE = 600
-#: How many times the expected share of digests is looked at for them.
-ROOM = 1.5
+#: Digests that are ranked of each language: about ROOM times the sample and SPARE more, so that fewer than the sample is out of the question.
+ROOM, SPARE = 1.5, 50
 NONE = "und"
 #: What Arrow batches are cut to before the per-byte arrays are made.
 _SLICE = 1 << 21
@@ -179,10 +179,11 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample: in
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(5), F.col(id_col), F.col(text_col)).alias("h")
     )
-    # digests are spread evenly, so `sample` of a language's n texts lie below about sample / n of their range, and surely below ROOM times that
-    most = F.lit(ROOM * sample * 2.0**64) / F.col("count") - 2.0**63
-    sizes = F.broadcast(rows.groupBy("lang").count().select("lang", most.alias("most")))  # one row a language
-    low = rows.select("lang", "h").join(sizes, "lang").where(F.col("h").cast("double") <= F.col("most")).select("lang", "h").distinct()
+    digests = settle(rows.select("lang", "h").distinct())
+    # distinct digests are spread evenly over their range: those below that share of it are ROOM * sample + SPARE, give or take a few dozen, or all there are
+    most = F.lit((ROOM * sample + SPARE) * 2.0**64) / F.col("count") - 2.0**63
+    sizes = F.broadcast(digests.groupBy("lang").count().select("lang", most.alias("most")))  # one row a language
+    low = digests.join(sizes, "lang").where(F.col("h").cast("double") <= F.col("most")).select("lang", "h")
     chosen = (
         low.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .where(F.col("r") <= sample)
