@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from weftspark.llm.common import SPACES, ascii_lower
 
 
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(SPACES)))
+def line_keys(text: Column) -> Column:
+    """The key of each line of a text."""
+    return F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)))
 
 
-def _hashed(line: Column) -> Column:
-    """128 bits of a line's key in two seeds."""
-    key = line_key(line)
-    return F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g"))
+def _hashed(key: Column, min_chars: int) -> Column:
+    """128 bits of a line's key in two seeds; null for keys that are too short to count."""
+    return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")))
 
 
 def dedup_lines(
@@ -35,36 +35,35 @@ def dedup_lines(
     repeated rows count once; a null id is one document. Other columns are not read,
     whatever their names. An empty table gives an empty result.
 
-    Only 16-byte hashes of lines are shuffled to be counted, each document's line
-    once; the texts move once, to meet the set of hashes that their document loses.
+    Hashes of lines are shuffled, not lines: once to be counted, each document's line once,
+    and once with their positions to meet the hashes that are common. The texts move once,
+    to meet the positions that they lose. A row is known by a 128-bit digest of its id and
+    text, so that null ids don't meet in one task; all is linear in the lines of a text.
     """
     keep = keep or []
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(
         F.col(id_col).alias("_id"),
-        F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1).alias("_lines"),
+        text.alias("_text"),
+        F.xxhash64(F.col(id_col), text).alias("_k1"),
+        F.xxhash64(F.lit(2), F.col(id_col), text).alias("_k2"),
         *[F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)],
     )
-    counted = F.filter("_lines", lambda x: F.length(line_key(x)) >= min_chars) if min_chars > 0 else F.col("_lines")
-    present = rows.select("_id", F.explode(F.array_distinct(F.transform(counted, _hashed))).alias("_line"))
-    present = present.select("_id", "_line.h", "_line.g").distinct()
+    split = F.split("_text", "\n", -1)
+    lines = rows.select("_id", "_k1", "_k2", F.posexplode(F.transform(line_keys(F.col("_text")), lambda x: _hashed(x, min_chars))).alias("_pos", "_line"))
+    lines = lines.where(F.col("_line").isNotNull()).select("_id", "_k1", "_k2", "_pos", "_line.h", "_line.g")
+    present = lines.select("_id", "h", "g").distinct()
     frequent = present.groupBy("h", "g").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= threshold)
-    lost = (
-        present.join(frequent.select("h", "g"), ["h", "g"], "left_semi")
-        .groupBy("_id")
-        .agg(F.collect_set(F.struct("h", "g")).alias("_lost"))
-        .withColumnRenamed("_id", "_lost_id")
-    )
-    long_enough = lambda x: F.length(line_key(x)) >= min_chars
-    kept = F.when(F.col("_lost").isNull(), F.col("_lines")).otherwise(
-        F.filter("_lines", lambda x: ~(long_enough(x) & F.array_contains(F.col("_lost"), _hashed(x))))
-    )
-    joined = rows.join(lost, F.col("_id").eqNullSafe(F.col("_lost_id")), "left").withColumn("_kept", kept)
+    lost = lines.join(frequent.select("h", "g"), ["h", "g"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_lost"))
+    joined = rows.join(lost, ["_k1", "_k2"], "left").withColumn("_lines", split)
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
+    kept = F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
     return joined.select(
         F.col("_id").alias(id_col),
         *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
         F.size("_lines").cast("long").alias("n_lines"),
-        (F.size("_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-        F.array_join("_kept", "\n").alias("kept_text"),
+        F.coalesce(F.size("_lost"), F.lit(0)).cast("long").alias("n_dropped"),
+        kept.alias("kept_text"),
     )
 
 
