@@ -40,6 +40,8 @@ ITEM_BYTES = 8 << 20
 SLICE = 250
 #: Bytes of windows that a task gathers before it embeds them, of those it cuts at once, and cells of a block of distances.
 HELD, CUT, CELLS = 24 << 20, 8 << 20, 1 << 20
+#: Pairs of a place or window and an item that are held at once; items that begin alike share triples and keys.
+PAIRS = 1 << 20
 
 
 def allowed(length: int, edits: float = EDITS) -> int:
@@ -130,8 +132,28 @@ class Index:
         if not self.groups or not len(maybe):
             return
         a, b = np.searchsorted(self.triples, grams[maybe], "left"), np.searchsorted(self.triples, grams[maybe], "right")
-        which, slot = _expand(a, b - a)
-        hits, hit_item = first[maybe[which]], self.triple_item[slot]
+        for low, high in _pieces(b - a, words.row[first[maybe]], PAIRS):
+            yield from self._with_items(words, first[maybe[low:high]], a[low:high], b[low:high])
+
+    def _with_items(self, words: Words, places: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """`candidates` of some rows, by ranges of items if there are many pairs: the triples at places[i] are a[i]:b[i] of the index."""
+        shares = -(-int((b - a).sum()) // PAIRS)
+        starts: dict[int, list] = {}
+        for k in range(shares):
+            if shares == 1:
+                which, slot = _expand(a, b - a)
+            else:
+                own = np.concatenate([[0], np.cumsum(self.triple_item % shares == k)])  # triples of this range before each place of the index
+                which, at = _expand(own[a], own[b] - own[a])
+                slot = np.flatnonzero(self.triple_item % shares == k)[at]
+            for length, found in self._starts(words, places[which], slot):
+                starts.setdefault(length, []).append(found)
+        for length, found in starts.items():
+            yield from self._cut(words, length, np.unique(np.concatenate(found)))
+
+    def _starts(self, words: Words, hits: np.ndarray, slot: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(length, first words of windows) from places and the triples of items that stand there."""
+        hit_item = self.triple_item[slot]
         by = np.argsort(hit_item, kind="stable")
         hits, hit_item, slot = hits[by], hit_item[by], slot[by]
         # of a run of one triple, a window that reaches beyond it has the first or the last ones; more than the item has don't count
@@ -158,43 +180,64 @@ class Index:
             row = words.row[high]
             low = np.maximum(low, words.offsets[row])
             high = np.minimum(high, np.maximum(words.offsets[row + 1] - length, words.offsets[row]))
-            low = np.minimum(low, high)
+            spans = np.unique(np.minimum(low, high) << np.int64(32) | high)  # the same for all items that begin alike
+            low, high = spans >> np.int64(32), spans & np.int64(0xFFFFFFFF)
             starts = np.unique(_expand(low, high - low + 1)[1])
-            limit, row = self.groups[length][4], words.row[starts]
-            end = words.offsets[row + 1][:, None]
+            yield int(length), starts
 
-            def cut(begin: np.ndarray, width: int, end: np.ndarray) -> np.ndarray:
-                at = begin[:, None] + np.arange(width)
-                return np.where(at < end, words.hashes[np.minimum(at, len(words.hashes) - 1)], np.uint64(0))
+    def _cut(self, words: Words, length: int, starts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        limit, row = self.groups[length][4], words.row[starts]
+        end = words.offsets[row + 1][:, None]
 
-            step = max(1, CUT // (16 * (length + limit)))
-            for at in range(0, len(starts), step):
-                own, stop = starts[at : at + step], end[at : at + step]
-                first = np.maximum(own - limit, words.offsets[row[at : at + step]])
-                yield int(length), row[at : at + step], cut(own, length, stop), cut(first, length + 2 * limit, stop)
+        def cut(begin: np.ndarray, width: int, end: np.ndarray) -> np.ndarray:
+            at = begin[:, None] + np.arange(width)
+            return np.where(at < end, words.hashes[np.minimum(at, len(words.hashes) - 1)], np.uint64(0))
+
+        step = max(1, CUT // (16 * (length + limit)))
+        for at in range(0, len(starts), step):
+            own, stop = starts[at : at + step], end[at : at + step]
+            first = np.maximum(own - limit, words.offsets[row[at : at + step]])
+            yield int(length), row[at : at + step], cut(own, length, stop), cut(first, length + 2 * limit, stop)
 
     def verified(self, length: int, windows: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item id, distance) of the windows that LSH proposes for an item and that are within its distance."""
         ids, symbols, places, tables, limit = self.groups[length]
         distinct, same = np.unique(windows, axis=0, return_inverse=True)
-        proposed = []
-        keyed = (keys for walk, chosen in enumerate(places) for keys in embed(distinct, walk, chosen))
-        for (keys, order), own in zip(tables, keyed, strict=True):
-            a, b = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-            which, slot = _expand(a, b - a)
-            proposed.append(which * len(ids) + order[slot])
-        proposed = np.unique(np.concatenate(proposed))
-        of, item = proposed // len(ids), proposed % len(ids)
-        a = np.searchsorted(of, same)
-        which, slot = _expand(a, np.searchsorted(of, same, "right") - a)
-        item = item[slot]
-        step = max(1, CELLS // around.shape[1])
-        distance = np.concatenate(
-            [edit_distances(symbols[item[k : k + step]], around[which[k : k + step]])[0] for k in range(0, len(which), step)]
-            or [np.zeros(0, np.int64)]
-        )
-        near = distance <= limit
-        return which[near], ids[item[near]], distance[near]
+        of_window = np.argsort(same, kind="stable")
+        first = np.searchsorted(same[of_window], np.arange(len(distinct) + 1))
+        keyed = [keys for walk, chosen in enumerate(places) for keys in embed(distinct, walk, chosen)]
+        ranges = [(np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")) for (keys, _), own in zip(tables, keyed, strict=True)]
+        many = sum(b - a for a, b in ranges)
+        out = []
+        for low, high in _pieces(many, np.arange(len(distinct)), PAIRS):
+            proposed = []
+            for (a, b), (_, order) in zip(ranges, tables, strict=True):
+                which, slot = _expand(a[low:high], (b - a)[low:high])
+                proposed.append(np.unique((which + low) * len(ids) + order[slot]))
+            proposed = np.unique(np.concatenate(proposed))
+            of, item = proposed // len(ids), proposed % len(ids)
+            for x, y in _pieces(np.diff(first)[of], np.arange(len(of)), PAIRS):
+                pair, at = _expand(first[of[x:y]], np.diff(first)[of[x:y]])
+                which, chosen = of_window[at], item[x:y][pair]
+                step = max(1, CELLS // around.shape[1])
+                for k in range(0, len(which), step):
+                    distance = edit_distances(symbols[chosen[k : k + step]], around[which[k : k + step]])[0]
+                    near = distance <= limit
+                    out.append((which[k : k + step][near], ids[chosen[k : k + step][near]], distance[near]))
+        return tuple(np.concatenate([x[i] for x in out]) if out else np.zeros(0, np.int64) for i in range(3))
+
+
+def _pieces(sizes: np.ndarray, group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(begin, end) of runs of places, cut between groups, whose sizes add up to about `most`; a larger group stands alone."""
+    if not len(sizes):
+        return
+    edges = np.append(np.flatnonzero(np.diff(group, prepend=group[0] - 1)), len(sizes))
+    total = np.concatenate([[0], np.cumsum(sizes)])[edges]
+    low = 0
+    while low < len(edges) - 1:
+        high = max(low + 1, int(np.searchsorted(total, total[low] + most, "right")) - 1)
+        yield int(edges[low]), int(edges[high])
+        low = high
 
 
 def _expand(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
