@@ -14,6 +14,8 @@ from __future__ import annotations
 import html
 import os
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +27,10 @@ from pyspark.sql import types as T
 
 from weftspark.llm.common import settle
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(script|style|textarea|noscript|template|svg|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-_ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+_OPEN = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+#: Elements whose content is no markup.
+_RAW = {name: re.compile(rf"</{name}\s*+>", re.I) for name in "script style textarea noscript template svg iframe title".split()}
+_ATTRIBUTE = re.compile(r"(?<![a-zA-Z_:-])([a-zA-Z_:-]++)\s*+=\s*+(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _ARTICLE = {"article", "main"}
 _OTHER = set("nav footer aside form button select option dialog menu head object embed canvas audio video map fieldset".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +44,71 @@ _MARKS = set(
 )
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _WORD = re.compile(r"[a-zA-Z]+")
+#: Elements of running text: their class says nothing about the page's parts, only that of what holds them does.
+_PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+
+
+class _TagEnds:
+    """Where tags end: the first > outside quotes. Each page is looked through once, however its quotes and brackets are nested."""
+
+    def __init__(self, page: str):
+        self.at = [m.start() for m in re.finditer("[>\"']", page)]
+        self.end: list[int] = [-1] * (len(self.at) + 1)
+        later = {'"': len(self.at), "'": len(self.at)}  # the next quote of each kind
+        for k in range(len(self.at) - 1, -1, -1):
+            what = page[self.at[k]]
+            if what == ">":
+                self.end[k] = self.at[k]
+            else:
+                self.end[k] = self.end[later[what] + 1] if later[what] < len(self.at) else -1
+                later[what] = k
+
+    def __call__(self, begin: int) -> int:
+        """The place of the > that ends a tag whose name ends at `begin`; -1 if none does."""
+        return self.end[bisect_left(self.at, begin)]
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, name, whether it closes, attributes) of the tags of a page; comments, declarations and elements without markup have no name.
+
+    What is never closed is text, but for comments and such elements, which reach to the end.
+    """
+    ends, at, size = None, 0, len(page)
+    last_data, last_end = page.rfind("]]>"), page.rfind(">")
+    while True:
+        at = page.find("<", at)
+        if at < 0 or (at > last_end and not page.startswith("<!--", at)):
+            if at >= 0:
+                at = page.find("<!--", at)
+            if at < 0:
+                return
+        m = _OPEN.match(page, at)
+        if not m:
+            at += 1
+            continue
+        begin, name = at, (m[5] or "").lower()
+        if m[1]:
+            end = page.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
+            yield begin, at, "", False, ""
+        elif m[2] and last_data >= m.end():
+            at = page.find("]]>", m.end()) + 3
+            yield begin, at, "", False, ""
+        elif m[2] or m[3]:
+            at = page.find(">", at) + 1
+            yield begin, at, "", False, ""
+        else:
+            ends = ends or _TagEnds(page)
+            end = ends(m.end())
+            if end < 0:
+                at += 1
+            elif name in _RAW and not m[4]:
+                close = _RAW[name].search(page, end + 1)
+                at = close.end() if close else size
+                yield begin, at, "", False, ""
+            else:
+                at = end + 1
+                yield begin, at, name, bool(m[4]), page[m.end() : end]
 
 
 def _other(name: str, attributes: str, inside: bool) -> bool:
@@ -60,8 +124,10 @@ def _other(name: str, attributes: str, inside: bool) -> bool:
         return name == "article" and bool({"comment", "comments", "related", "promo"} & set(_WORD.findall(found.get("class", "").lower())))
     if found.get("role", "").lower() == "main":
         return False
+    if name in _PROSE:
+        return False
     words = set(_WORD.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")).lower()))
-    if name.startswith("h") and name[1:].isdigit() or name == "header":
+    if name == "header":
         words -= {"header"}
     return bool(words & _MARKS)
 
@@ -86,36 +152,40 @@ def blocks(page: str | None) -> tuple[list[str], list[str]]:
                 (article if stack and stack[-1][1] else outside).append(block)
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at and not (stack and stack[-1][2]):
-            text.append(page[at : m.start()])
-        at = m.end()
-        name = (m[3] or "").lower()
+    open_: Counter[str] = Counter()
+    for begin, end, name, closes, attributes in tokens(page):
+        if begin > at and not (stack and stack[-1][2]):
+            text.append(page[at:begin])
+        at = end
         if not name:
             continue
-        if name in _INLINE and not (m[4] and not m[2] and name not in _VOID and _other(name, m[4], True)):
+        if name in _INLINE and not (attributes and not closes and name not in _VOID and _other(name, attributes, True)):
             if name == "br":
                 text.append(" ")
-            if m[2] and stack and stack[-1][0] == name and name not in _VOID:
+            if closes and stack and stack[-1][0] == name and name not in _VOID:
                 close()
                 stack.pop()
+                open_[name] -= 1
             continue
-        if m[2]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
+        if closes:
+            if open_[name]:
                 close()
-                del stack[k:]
+                gone = ""
+                while gone != name:
+                    gone = stack.pop()[0]
+                    open_[gone] -= 1
             elif name not in _INLINE:
                 close()
             continue
         close()
-        if name in _VOID or m[4].rstrip().endswith("/") and name not in ("p", "div"):
+        if name in _VOID or attributes.rstrip().endswith("/") and name not in ("p", "div"):
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-            stack.pop()  # these end where the next one begins
+            open_[stack.pop()[0]] -= 1  # these end where the next one begins
         inside, other = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        inside = inside or name in _ARTICLE or bool(re.search(r"role\s*=\s*[\"']?main\b", m[4], re.I))
-        stack.append((name, inside, other or _other(name, m[4], inside)))
+        inside = inside or name in _ARTICLE or bool(re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I))
+        open_[name] += 1
+        stack.append((name, inside, other or _other(name, attributes, inside)))
     if not (stack and stack[-1][2]):
         text.append(page[at:])
     close()
