@@ -94,5 +94,5 @@ def test_corpus_is_read_in_order_and_extracted(spark, tmp_path):
 def test_filtered_questions_only_narrow(spark):
     chunks = spark.createDataFrame([(1, [1.0, 0.0], "a", 1), (2, [0.9, 0.1], "b", 1), (3, [1.0, 0.0], "a", 3)], "chunk_id long, v array<double>, label string, r int")
     asked = spark.createDataFrame([("all", [1.0, 0.0], None, 3), ("b", [1.0, 0.0], ["b"], 3), ("low", [1.0, 0.0], ["a"], 1), ("none", [1.0, 0.0], [], 3)], "qid string, q array<double>, wanted array<string>, clearance int")
-    got = sorted((r.qid, r["rank"], r.chunk_id) for r in vectors.selfquery(asked, chunks, 2).collect())
+    got = sorted((r.qid, r["rank"], r.chunk_id) for r in vectors.knn(asked, chunks, 2).collect())
     assert got == [("all", 1, 1), ("all", 2, 3), ("b", 1, 2), ("low", 1, 1)]

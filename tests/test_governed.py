@@ -65,9 +65,9 @@ def test_policies(spark):
     assert got() == {"a"} and got(include_future=True) == {"a", "b", "c"} and got(domain="Ops") == {"a"} and got(domain="X") == set()
     with pytest.raises(ValueError, match="unknown domain"):
         got(domain="X", domains=["HR", "Ops"])
-    hits = spark.createDataFrame([("a", "Policy", 0.9, False), ("z", "Policy", 0.8, True), ("z", "Policy", 0.7, True)], "s string, kind string, score double, pii boolean")
-    legs = {(r.s, r.leg, r.withheld) for r in documents.retrieve(documents.normative(quads, "2024-06-30"), hits).collect()}
-    assert legs == {("a", "structured", False), ("z", "vector", True)}
+    hits = spark.createDataFrame([("q", "a", "Policy", 0.9, False), ("q", "z", "Policy", 0.8, True), ("q", "z", "Policy", 0.7, True)], "qid string, s string, kind string, score double, pii boolean")
+    legs = {(r.qid, r.s, r.leg, r.relevance, r.withheld) for r in documents.retrieve(documents.normative(quads, "2024-06-30"), hits).collect()}
+    assert legs == {(None, "a", "structured", None, False), ("q", "z", "vector", 0.8, True)}
     with pytest.raises(Exception, match="domain is required"):
         documents.policies_by_domain(quads, spark.createDataFrame([(1, None)], "qid int, domain string")).collect()
     nodes, edges = documents.subgraph(spark.createDataFrame([(1, "a")], "qid int, uri string"), quads)
@@ -153,4 +153,4 @@ def test_communities_of_two_triangles(spark):
     nodes = spark.createDataFrame([(x,) for x in ("a1", "a2", "a3", "b1", "b2", "b3", "lone")], "id string")
     rows = community.numbered(community.louvain(nodes, spark.createDataFrame(edges, "src string, dst string"))).collect()
     found = {r.id: r.community for r in rows}
-    assert len(rows) == 7 and found["a1"] == found["a2"] == found["a3"] == "community-1" and found["b1"] == found["b2"] == found["b3"] == "community-2" and found["lone"] == "community-3"
+    assert len(rows) == 7 and found["a1"] == found["a2"] == found["a3"] == "community-0" and found["b1"] == found["b2"] == found["b3"] == "community-1" and found["lone"] == "community-2"

@@ -113,8 +113,9 @@ def parent_key(chunk: Column) -> Column:
 
 
 def ordinal(chunk: Column) -> Column:
-    """The number after the last #, 0 where there is none."""
-    return F.coalesce(F.nullif(F.regexp_extract(chunk, r"#(\d+)$", 1), F.lit("")).cast("long"), F.lit(0))
+    """The number after the last #, 0 where there is none; the largest one if it has more than 18 digits."""
+    digits = F.regexp_replace(F.regexp_extract(chunk, r"#(\d+)$", 1), "^0+", "")
+    return F.when(F.length(digits) > 18, F.lit(2**63 - 1)).otherwise(F.coalesce(digits.try_cast("long"), F.lit(0)))
 
 
 def encoded(segment: Column) -> Column:

@@ -20,6 +20,10 @@ PARAGRAPH = r"\S[^\n]{10,}\S"
 CONTROL = r"[\x00-\x08\x0E-\x1F\x7F-\x{9F}]"
 CONTROL_SHARE = 0.15
 LEAST_CHARS = 200
+#: White space of any kind.
+BLANK = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -42,7 +46,7 @@ def sig_id(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space of any kind at the ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def pii_counts(text: Column) -> dict[str, Column]:
@@ -93,12 +97,13 @@ def cleansed(docs: DataFrame, text_col: str = "text") -> DataFrame:
     them is looked at for personal data, which never fails it. Null texts are empty.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    step = docs.withColumn("_plain", without_headers(text)).withColumn("clean_text", without_residue(F.col("_plain")))
+    step = docs.withColumn("_lines", lines(text)).withColumn("_bare", F.filter("_lines", lambda x: ~is_header(x)))
+    step = step.withColumn("_plain", F.array_join("_bare", "\n")).withColumn("clean_text", without_residue(F.col("_plain")))
     step = step.withColumn("gate_failed", gate(F.col("clean_text")))
     found = F.when(F.col("gate_failed").isNull(), sum(pii_counts(F.col("clean_text")).values())).otherwise(0).cast("long")
     passed = F.when(F.col("gate_failed").isNull(), "min_content,structure").when(F.col("gate_failed") == "structure", "min_content").otherwise("")
     return step.select(
-        *docs.columns, "clean_text", F.length(text).cast("long").alias("chars_raw"), F.length("clean_text").cast("long").alias("chars_clean"), headers(text).alias("headers_stripped"),
+        *docs.columns, "clean_text", F.length(text).cast("long").alias("chars_raw"), F.length("clean_text").cast("long").alias("chars_clean"), (F.size("_lines") - F.size("_bare")).cast("long").alias("headers_stripped"),
         has_residue(F.col("_plain")).cast("long").alias("binary_stripped"), passed.alias("gates_passed"), "gate_failed", F.col("gate_failed").isNotNull().alias("quarantined"),
         found.alias("pii_entities"), (found > 0).alias("pii_flagged"),
     )
@@ -179,21 +184,45 @@ def has_cue(text: Column, cues: list[str]) -> Column:
     return found
 
 
-READ_ONLY = r"(?i)\b(create|merge|delete|set|remove|drop|call)\b"
+# The words and forms that the screening of graph queries goes by.
+FORBIDDEN = r"(?iU)\b(create|merge|set|delete|remove|detach|drop|call)\b"
+BRACKET = r"\[[^\]]*\*[^\]]*\]"
+ROW_LIMIT = r"(?iU)\bLIMIT\s+(\d+)\b"
+
+
+def unbounded_path(query: Column) -> Column:
+    """Whether a relation of variable length has no upper bound: `*`, `*..` or `*2..` in its bracket."""
+    count = lambda b: F.replace(F.regexp_extract(b, r"^[^*]*\*([0-9. ]*)", 1), F.lit(" "), F.lit(""))
+    return F.exists(F.regexp_extract_all(query, F.lit(BRACKET), F.lit(0)), lambda b: (count(b) == "") | count(b).endswith(".."))
+
+
+def limited(query: Column, most: int = 100) -> Column:
+    """A query with a row limit of at most `most`: its first limit lowered, or one put behind it; closing semicolons go."""
+    bare = F.rtrim(F.rtrim(query, F.lit(BLANK)), F.lit(";"))
+    bare = F.rtrim(bare, F.lit(BLANK))
+    digits = F.regexp_replace(F.regexp_extract(bare, ROW_LIMIT, 1), "^0+", "")
+    over = (F.length(digits) > len(str(most))) | (F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(0)) > most)
+    return (
+        F.when(~bare.rlike(ROW_LIMIT), F.concat(bare, F.lit(f" LIMIT {most}")))
+        .when(over, F.regexp_replace(bare, r"(?isU)^(.*?\bLIMIT\s+)\d+\b(.*)$", f"$1{most}$2"))
+        .otherwise(bare)
+    )
 
 
 def screened(query: Column, most: int = 100) -> Column:
-    """The verdict on a logged graph query: the first rule it breaks, or its text with a row limit of at most `most`."""
-    limit = F.regexp_extract(query, r"(?i)\blimit\s+([0-9]+)\s*$", 1)
+    """The verdict on a logged graph query: the first rule it breaks, or its text with a row limit of at most `most`.
+
+    Rules look at the bare text, so a forbidden word in a string literal breaks one. A closing semicolon is none.
+    """
+    bare = stripped(query)
+    said = F.filter(F.split(bare, ";", -1), lambda x: stripped(x) != "")
     return (
-        F.when(F.trim(query) == "", "empty")
-        .when(F.regexp_replace(query, r";\s*$", "").contains(";"), "multiple_statements")
-        .when(query.rlike(READ_ONLY), "forbidden_clause")
-        .when(F.regexp_count(query, F.lit(r"(?i)\breturn\b")) != 1, "one_return")
-        .when(query.rlike(r"\*\s*(\]|\.\.\s*\])"), "unbounded_path")
-        .when(limit == "", F.concat(query, F.lit(f" LIMIT {most}")))
-        .when(limit.cast("int") > most, F.regexp_replace(query, r"(?i)\blimit\s+[0-9]+\s*$", f"LIMIT {most}"))
-        .otherwise(query)
+        F.when(bare == "", "empty")
+        .when(F.size(said) != 1, "multiple_statements")
+        .when(bare.rlike(FORBIDDEN), "forbidden_clause")
+        .when(F.regexp_count(bare, F.lit(r"(?iU)\breturn\b")) != 1, "one_return")
+        .when(unbounded_path(bare), "unbounded_path")
+        .otherwise(limited(bare, most))
     )
 
 

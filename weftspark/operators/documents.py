@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftspark.functions import documents as D
 from weftspark.functions import questions as Q
 from weftspark.functions import text as T
+from weftspark.operators import similar
 from weftspark.operators.state import publish, settle
 
 # Which converter takes a file by its extension, classes of documents, and what a node of each class must have.
@@ -252,15 +253,25 @@ def normative(quads: DataFrame, today: str, domain: str | None = None, domains:
     return rows.select("s", "kind", "name", "scope", "day", "pii")
 
 
+def near_documents(contexts: DataFrame, chunks: DataFrame, held: DataFrame, least: float = 0.7) -> DataFrame:
+    """(qid, s, kind, score, pii): the documents (s, kind, pii) with a chunk (chunk_id, s, v) at a cosine of `least` or more to a context (qid, q), each with its best score.
+
+    There is no limit on how many: all pairs above the bound are found, see `similar.within`.
+    """
+    hits = similar.within(contexts, chunks, least, extra=["s"])
+    return hits.groupBy("qid", "s").agg(F.max("score").alias("score")).join(held, "s").select("qid", "s", "kind", "score", "pii")
+
+
 def retrieve(structured: DataFrame, hits: DataFrame, include_pii: bool = False) -> DataFrame:
-    """(s, kind, leg, relevance, withheld): the structured leg and what the vector leg (s, kind, score, pii) adds to it.
+    """(qid, s, kind, leg, relevance, withheld): the structured leg, the same for every context (qid null), and what the vector leg (qid, s, kind, score, pii) adds to it.
 
     Hits only add documents, each with its best score; those with personal data stay as
     rows that are marked withheld, so that their number can be told, unless `include_pii`.
     """
-    extra = hits.groupBy("s").agg(F.max("score").alias("relevance"), F.min("kind").alias("kind"), F.bool_or("pii").alias("pii")).join(structured.select("s"), "s", "left_anti")
-    legs = structured.select("s", "kind", F.lit("structured").alias("leg"), F.lit(None).cast("double").alias("relevance"), "pii").unionByName(extra.select("s", "kind", F.lit("vector").alias("leg"), "relevance", "pii"))
-    return legs.select("s", "kind", "leg", "relevance", (F.col("pii") & ~F.lit(include_pii)).alias("withheld"))
+    extra = hits.groupBy("qid", "s").agg(F.max("score").alias("relevance"), F.min("kind").alias("kind"), F.bool_or("pii").alias("pii")).join(structured.select("s"), "s", "left_anti")
+    own = structured.select(F.lit(None).cast(hits.schema["qid"].dataType).alias("qid"), "s", "kind", F.lit("structured").alias("leg"), F.lit(None).cast("double").alias("relevance"), "pii")
+    legs = own.unionByName(extra.select("qid", "s", "kind", F.lit("vector").alias("leg"), "relevance", "pii"))
+    return legs.select("qid", "s", "kind", "leg", "relevance", (F.col("pii") & ~F.lit(include_pii)).alias("withheld"))
 
 
 def get_policies(quads: DataFrame, params: DataFrame | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from weftspark.functions import questions as Q
 from weftspark.operators import delta, state
 from weftspark.operators.graph import rank
 from weftspark.operators.state import settle
+from weftspark.operators.store import Artifacts, Store, united
 
 Extract = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
@@ -59,10 +60,10 @@ def report(nodes: DataFrame, edges: DataFrame, docs: DataFrame) -> DataFrame:
 class Delta:
     """What changes between two manifests (doc_id, hash): the classified documents, those to read anew and those to drop."""
 
-    def __init__(self, before: DataFrame | None, after: DataFrame):
-        """before: null where nothing was ingested yet; then every document is added."""
+    def __init__(self, before: DataFrame | None, after: DataFrame, changes: DataFrame | None = None):
+        """before: null where nothing was ingested yet; then every document is added. changes: the difference, if it is known."""
         empty = after.limit(0)
-        changes = settle(delta.diff(before if before is not None else empty, after))
+        changes = settle(delta.diff(before if before is not None else empty, after)) if changes is None else changes
         self.classified = delta.with_moves(changes)
         self.read = changes.where("action in ('added', 'changed')").select("doc_id")
         self.drop = changes.where("action in ('changed', 'deleted')").select(F.col("doc_id").alias("doc"))
@@ -87,6 +88,87 @@ def incremental(store: tuple[DataFrame, DataFrame], docs: DataFrame, change: Del
     return keep(nodes).unionByName(fresh_nodes), keep(edges).unionByName(fresh_edges), node_plan, edge_plan
 
 
+#: The tables of an ingested corpus and what their rows are replaced by; said_... tell which document says what.
+TABLES = {"manifest": ["doc_id"], "nodes": ["id"], "edges": ["src", "kind", "dst"], "said_nodes": ["doc"], "said_edges": ["doc"]}
+KEYS = {"nodes": TABLES["nodes"], "edges": TABLES["edges"]}
+
+
+def ingest(store: Store, docs: DataFrame, extract: Extract) -> int:
+    """Ingests a corpus (doc_id, hash, ...) from nothing into a store of TABLES; the version."""
+    said = dict(zip(("nodes", "edges"), map(settle, extract(docs)), strict=True))
+    rows = {"manifest": docs.select("doc_id", "hash")}
+    for name, keys in KEYS.items():
+        rows[name] = merged(said[name], keys)
+        rows[f"said_{name}"] = said[name].select("doc", *keys).distinct()
+    return store.commit(rows, whole=True)
+
+
+class Maintained:
+    """What a delta between a store's manifest and docs (doc_id, hash, ...) changes in the store, worked out from the difference alone.
+
+    rows(table), gone(table): what it gains and loses. Only the documents of the delta are extracted; merged nodes and
+    edges are taken up only where such a document speaks of them, and their documents updated by
+    difference. What one has lost alone is deleted; edges at deleted nodes go with them.
+    `commit` writes all of it under one pointer, `after` is a table as it then is.
+    """
+
+    def __init__(self, store: Store, docs: DataFrame, extract: Extract, version: int | None = None):
+        """docs are met with the manifest once, and only what differs is kept, content and all."""
+        self.store, self.version = store, version
+        old = store.read("manifest", version).select("doc_id", F.col("hash").alias("old_hash"))
+        both = old.join(docs.withColumnRenamed("hash", "new_hash"), "doc_id", "full_outer")
+        action = F.when(F.col("old_hash").isNull(), "added").when(F.col("new_hash").isNull(), "deleted").when(F.col("old_hash") != F.col("new_hash"), "changed")
+        changed = settle(both.withColumn("action", action).where("action is not null"))
+        self.change = Delta(None, docs, changed)
+        self.read = changed.where("action <> 'deleted'").withColumnRenamed("new_hash", "hash").select(*docs.columns)
+        self.said = dict(zip(KEYS, extract(self.read), strict=True))
+        self._found: dict[str, DataFrame] = {}
+
+    def found(self, name: str) -> DataFrame:
+        """The rows of a merged table that the delta touches, as they become."""
+        if name not in self._found:
+            lost = self.store.read(f"said_{name}", self.version).join(self.change.drop, "doc", "left_semi")
+            self._found[name] = settle(united(self.store.read(name, self.version), self.said[name], lost, KEYS[name]))
+        return self._found[name]
+
+    def rows(self, name: str) -> DataFrame:
+        """What a table gains."""
+        if name == "manifest":
+            return self.read.select("doc_id", "hash")
+        if name in KEYS:
+            return self.found(name).where("not gone").drop("gone")
+        return self.said[name.removeprefix("said_")].select("doc", *KEYS[name.removeprefix("said_")]).distinct()
+
+    def gone(self, name: str) -> DataFrame:
+        """The keys that a table loses."""
+        if name not in KEYS:
+            return self.change.drop.select(F.col("doc").alias(TABLES[name][0]))
+        own = self.found(name).where("gone").select(*KEYS[name])
+        if name == "nodes":
+            return own
+        ids, old = self.gone("nodes"), self.store.read("edges", self.version).select(*KEYS["edges"])
+        beside = old.join(ids.toDF("src"), "src", "left_semi").unionByName(old.join(ids.toDF("dst"), "dst", "left_semi"))
+        return own.unionByName(beside.select(*KEYS["edges"])).distinct()
+
+    def after(self, name: str) -> DataFrame:
+        """A table after the delta: the store's rows whose keys it does not touch, and its own."""
+        keys, rows = self.store.keys[name], self.rows(name)
+        left = self.gone(name).select(*keys).unionByName(rows.select(*keys))
+        return self.store.read(name, self.version).join(left, keys, "left_anti").select(*rows.columns).unionByName(rows)
+
+    def report(self) -> DataFrame:
+        """(what, n): documents of the delta by class, and of each table rows gained, keys lost and rows that the store has."""
+        one = lambda what, df: df.agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), "n")
+        out = self.change.classified.groupBy(F.col("action").alias("what")).agg(F.count("*").alias("n"))
+        for name in KEYS:
+            for what, df in (("gained", self.rows(name)), ("lost", self.gone(name)), ("held", self.store.read(name, self.version))):
+                out = out.unionByName(one(f"{name}_{what}", df))
+        return out
+
+    def commit(self) -> int:
+        return self.store.commit({name: self.rows(name) for name in TABLES}, {name: self.gone(name) for name in TABLES})
+
+
 def delta_report(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame], plans: tuple[DataFrame, DataFrame], change: Delta, chunks: tuple[DataFrame, DataFrame], embedded: DataFrame) -> DataFrame:
     """(what, n): how many of each class of documents, nodes, edges and chunks before and after, orphans, and chunks embedded anew.
 
@@ -133,6 +215,35 @@ def cached_chunks(docs: DataFrame, pieces: DataFrame) -> DataFrame:
     return rows.select(F.concat("doc_id", F.lit("#"), F.col("ordinal").cast("string")).alias("chunk_id"), "doc_id", F.substring_index("doc_id", "/", 1).alias("source"), "ordinal", "text")
 
 
+def staged_run(
+    docs: DataFrame,
+    before: DataFrame,
+    chunks: Artifacts,
+    embedder_fp: str,
+    embed: Callable[[DataFrame], DataFrame],
+    candidates: Artifacts | None = None,
+    extraction_fp: str | None = None,
+    propose: Callable[[DataFrame], DataFrame] | None = None,
+    ground: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+) -> dict[str, DataFrame | int | None]:
+    """A staged run over docs (doc_id, hash, ...) from a state `before`: chunks, edges, traces, state, and how many contents were embedded and extracted.
+
+    embed turns documents into rows (hash, ordinal, text, v), propose into candidates (hash, ordinal, ...); both see only
+    content that the artifacts lack under their fingerprint. Chunks have the ids of the documents that have
+    their content now. With an extractor, the candidates of every document, kept or new, are grounded: ground turns
+    candidates (cid, doc, ...) into (edges, traces).
+    """
+    pieces, embedded = chunks.made(docs, embedder_fp, embed)
+    found = pieces.select(F.concat("doc_id", F.lit("#"), F.col("ordinal").cast("string")).alias("chunk_id"), "doc_id", F.substring_index("doc_id", "/", 1).alias("source"), "ordinal", "text", "v")
+    out = {"chunks": found, "embedded": embedded, "edges": None, "traces": None, "extracted": 0}
+    if propose is not None:
+        said, out["extracted"] = candidates.made(docs, extraction_fp, propose)
+        cid = F.concat("doc_id", F.lit("#"), F.col("ordinal").cast("string"))
+        out["edges"], out["traces"] = ground(said.withColumn("cid", cid).withColumnRenamed("doc_id", "doc"))
+    out["state"] = state.next_state(docs.select("doc_id", "hash"), before, embedder_fp, extraction_fp if propose is not None else None)
+    return out
+
+
 def parents(chunks: DataFrame, bodies: DataFrame) -> DataFrame:
     """(parent_id, source, heading, tier, body, children) of chunks (chunk_id, heading, text, tier) and bodies (parent_id, body).
 

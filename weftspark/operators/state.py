@@ -3,19 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where all executors read and write; only a local master may lack spark.checkpoint.dir."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if shared is None:
+        if not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="weftspark-")
+        context.setCheckpointDir(shared)
+    return shared
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Computes df once and cuts its lineage through the shared checkpoint folder; only a local master may lack one."""
+    """Computes df once and cuts its lineage through the shared checkpoint folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None and not (context.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="weftspark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -95,7 +109,7 @@ def watermark(written: str | None) -> str | None:
 
 def name_status(lines: DataFrame) -> DataFrame:
     """(action, path, old_path) of lines (line): added, modified and deleted paths; a rename deletes and adds. Other codes and short lines go."""
-    bare = F.regexp_replace("line", r"^\s+|\s+$", "")
+    bare = F.btrim(F.col("line"), F.lit(" \t\n\x0b\f\r"))
     part = F.split(bare, "\t", -1)
     at = lambda i: F.get(part, i)
     one = lambda action, path, old: F.struct(F.lit(action).alias("action"), path.alias("path"), old.alias("old_path"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftspark.operators.graph import rank
+
 
 def dot(a: Column, b: Column) -> Column:
     product = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -26,19 +27,8 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm == 0, 0.0).otherwise(dot(F.slice(a, F.lit(1), size), F.slice(b, F.lit(1), size)) / norm)
 
 
-def scores(questions: DataFrame, chunks: DataFrame, where: Column | None = None) -> DataFrame:
-    """(qid, chunk_id, score, *rest) of every question (qid, q) with every chunk (chunk_id, v, ...) that `where` lets through, as expressions.
-
-    For few questions: they are sent to the chunks, so more than ASKED are an error; `knn` takes any number.
-    """
-    if questions.count() > ASKED:
-        raise ValueError(f"more than {ASKED} questions: use knn")
-    pairs = chunks.join(F.broadcast(questions), where if where is not None else F.lit(True))
-    return pairs.withColumn("score", cosine(F.col("q"), F.col("v"))).drop("q", "v")
-
-
-#: Questions and chunks of a block.
-ASKED, HELD = 4096, 32768
+#: Questions and chunks of a block, and questions of a product of matrices.
+ASKED, HELD, ROWS = 4096, 32768, 128
 
 
 def knn(questions: DataFrame, chunks: DataFrame, k: int, least: float | None = None, by: str | None = None, extra: list[str] | None = None, digits: int | None = None) -> DataFrame:
@@ -68,41 +58,56 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int, least: float | None = N
     right = chunks.where("v is not null").select(*own).withColumn("bv", dealt(by or "chunk_id", held)).withColumn("bq", spread(asked))
     found_type = T.StructType([questions.schema["qid"], chunks.schema["chunk_id"], *(chunks.schema[c] for c in carry), T.StructField("score", T.DoubleType())])
 
-    def block(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    block = matching(found_type, k, least, by, carry, conditions, digits)
+    found = left.groupBy("bq", "bv").cogroup(right.groupBy("bq", "bv")).applyInPandas(block, found_type)
+    return top(found, k, by or "chunk_id").select("qid", "rank", "chunk_id", "score", *carry)
+
+
+def matching(found_type: T.StructType, k: int, least: float | None, by: str | None, carry: list[str], conditions: list[str], digits: int | None):
+    """A function for applyInPandas over questions and chunks that meet: each question's k best of these, as `knn` says."""
+
+    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({f.name: [] for f in found_type}).astype({"score": "float64"})
+        b = b.sort_values([by, "chunk_id"] if by else ["chunk_id"], kind="stable")
         q, v = np.array(a.q.tolist(), np.float64), np.array(b.v.tolist(), np.float64)
-        ids, groups = b.chunk_id.to_numpy(), b[by].to_numpy() if by else None
         norms = np.sqrt((v**2).sum(1))
-        rows, places, values = [], [], []
-        for low in range(0, len(q), 256):
-            part = q[low : low + 256]
+        groups = np.flatnonzero(np.append(True, b[by].to_numpy()[1:] != b[by].to_numpy()[:-1])) if by else None
+        if "wanted" in conditions:
+            codes, labels = pd.factorize(b.label)
+            place = {label: i for i, label in enumerate(labels)}
+        out = []
+        for low in range(0, len(q), ROWS):
+            part, own = q[low : low + ROWS], a.iloc[low : low + ROWS]
             both = np.sqrt((part**2).sum(1))[:, None] * norms
             score = np.divide(part @ v.T, both, out=np.zeros_like(both), where=both > 0)
             score = score if digits is None else np.round(score, digits)
-            fits = np.ones(score.shape, bool) if least is None else score >= least
-            for i in range(len(part)):
-                row = a.iloc[low + i]
-                if "wanted" in conditions and row.wanted is not None:
-                    fits[i] &= b.label.isin(list(row.wanted)).to_numpy()
-                if "clearance" in conditions and not pd.isna(row.clearance):
-                    fits[i] &= (b.r <= row.clearance).to_numpy()
-                at = np.flatnonzero(fits[i])
-                if groups is not None and len(at):
-                    at = at[np.lexsort((ids[at], -score[i, at], groups[at]))]
-                    at = at[np.concatenate([[True], groups[at[1:]] != groups[at[:-1]]])]
-                if len(at) > k:
-                    at = at[score[i, at] >= np.partition(score[i, at], len(at) - k)[len(at) - k]]
-                at = at[np.lexsort(((ids if groups is None else groups)[at], -score[i, at]))][:k]
-                rows.append(np.full(len(at), low + i))
-                places.append(at)
-                values.append(score[i, at])
-        at = np.concatenate(places)
-        out = {"qid": a.qid.to_numpy()[np.concatenate(rows)], "chunk_id": ids[at], **{c: b[c].to_numpy()[at] for c in carry}, "score": np.concatenate(values)}
-        return pd.DataFrame(out)
-
-    found = left.groupBy("bq", "bv").cogroup(right.groupBy("bq", "bv")).applyInPandas(block, found_type)
-    return top(found, k, by or "chunk_id").select("qid", "rank", "chunk_id", "score", *carry)
+            if least is not None:
+                score[score < least] = -np.inf
+            if "wanted" in conditions:
+                may = np.zeros((len(part), len(place) + 1), bool)
+                for i, wanted in enumerate(own.wanted):
+                    may[i, [place[x] for x in wanted if x in place] if wanted is not None else slice(0, None)] = True
+                score[~may[:, codes]] = -np.inf
+            if "clearance" in conditions:
+                rank = own.clearance.to_numpy(np.float64)
+                score[~((b.r.to_numpy(np.float64) <= rank[:, None]) | np.isnan(rank)[:, None])] = -np.inf
+            best = score if groups is None else np.maximum.reduceat(score, groups, axis=1)
+            bound = np.full(len(part), -np.inf) if best.shape[1] <= k else np.partition(best, best.shape[1] - k, axis=1)[:, best.shape[1] - k]
+            row, at = np.nonzero((best >= bound[:, None]) & (best > -np.inf))
+            value = best[row, at]
+            order = np.lexsort((at, -value, row))  # places are in the order of their ids
+            row, at, value = row[order], at[order], value[order]
+            first = np.arange(len(row)) - np.searchsorted(row, row) < k
+            row, at, value = row[first], at[first], value[first]
+            if groups is not None and len(at):
+                ends = np.append(groups[1:], len(v))
+                at = np.array([groups[g] + int(np.argmax(score[r, groups[g] : ends[g]])) for r, g in zip(row, at, strict=True)])
+            out.append((row + low, at, value))
+        row, at, value = (np.concatenate([x[i] for x in out]) for i in range(3))
+        return pd.DataFrame({"qid": a.qid.to_numpy()[row], "chunk_id": b.chunk_id.to_numpy()[at], **{c: b[c].to_numpy()[at] for c in carry}, "score": value})
+
+    return block
 
 
 def top(scored: DataFrame, k: int, by: str = "chunk_id") -> DataFrame:
@@ -116,6 +121,16 @@ def parents(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return knn(questions, chunks, k, by="parent_id").select("qid", "rank", "parent_id", F.col("chunk_id").alias("child"), "score")
 
 
+def parent_bodies(questions: DataFrame, chunks: DataFrame, bodies: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, parent_id, child, body, tier, score): the k parents (parent_id, body, tier) nearest to each question by their best child.
+
+    A question's clearance is held against the parent's own tier, before the ranking; chunks of no known parent find none. Bodies come whole.
+    """
+    tiers = bodies.select("parent_id", rank(F.col("tier")).alias("r"))
+    found = parents(questions, chunks.drop("r").join(tiers, "parent_id"), k)
+    return found.join(bodies.select("parent_id", "body", "tier"), "parent_id").select("qid", "rank", "parent_id", "child", "body", "tier", "score")
+
+
 def hash_embed(texts: DataFrame, dims: int = 256) -> DataFrame:
     """(id, idx, value): for each word of (id, text) its digest's dimension and sign, summed; vectors are not normed."""
     words = texts.select("id", F.explode(F.split(F.lower(F.col("text")), r"\s+")).alias("w")).where("w <> ''")
@@ -125,38 +140,20 @@ def hash_embed(texts: DataFrame, dims: int = 256) -> DataFrame:
     return words.groupBy("id", idx.alias("idx")).agg(F.sum(sign).alias("value")).where("value <> 0")
 
 
-def selfquery(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """The k best chunks (chunk_id, v, label, r) of each question (qid, q, wanted, clearance).
-
-    `wanted` are the labels that the question's own filter lets through, null without a
-    filter; the clearance holds besides, so a filter can only narrow.
-    """
-    return knn(questions, chunks, k)
-
-
 def embedded(texts: DataFrame, keep: list[str], text_col: str = "text", dims: int = 256) -> DataFrame:
     """texts' columns `keep` and v, the same vectors as `unit` of `hash_embed` in dense form; without words one of zeros."""
 
     @F.pandas_udf("array<double>")
-    def embed(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        places: dict[str, tuple[int, int]] = {}  # of the words seen last
-        for series in column:
-            out = []
-            for text in series:
-                v = np.zeros(dims)
-                for w in re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()):
-                    if not w:
-                        continue
-                    if w not in places:
-                        if len(places) > 50_000:
-                            places.clear()
-                        digest = hashlib.sha256(w.encode()).digest()
-                        places[w] = (int.from_bytes(digest[:4], "big") % dims, 1 if digest[4] & 1 else -1)
-                    at, sign = places[w]
-                    v[at] += sign
-                norm = np.sqrt((v**2).sum())
-                out.append(v / norm if norm else v)
-            yield pd.Series(out)
+    def embed(column: pd.Series) -> pd.Series:
+        said = [re.split(r"[ \t\n\x0b\f\r]+", (text or "").lower()) for text in column]
+        codes, words = pd.factorize(np.array([w for own in said for w in own], dtype=object))
+        digests = [hashlib.sha256(w.encode()).digest() for w in words]
+        place = np.array([int.from_bytes(x[:4], "big") % dims for x in digests], np.int64)
+        sign = np.array([0 if not w else 1 if x[4] & 1 else -1 for w, x in zip(words, digests, strict=True)], np.float64)
+        row = np.repeat(np.arange(len(said)), [len(own) for own in said])
+        v = np.bincount(row * dims + place[codes], sign[codes], len(said) * dims).reshape(len(said), dims)
+        norm = np.sqrt((v**2).sum(1, keepdims=True))
+        return pd.Series(list(np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)))
 
     return texts.select(*keep, embed(F.col(text_col)).alias("v"))
 

@@ -534,3 +534,29 @@ def screen_cypher(spark, d):
         F.col("user_id") % 3 == 1, F.concat(F.lit("MATCH (n:"), kind, F.lit(") RETURN n"))
     ).otherwise(F.concat(F.lit("MATCH (n:"), kind, F.lit(") RETURN n LIMIT 5000")))
     return table(spark, d, "events").select(T.screened(text).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+_PATHS = ["(n:{kind})", "(a:{kind})-[r:REL*1..3]->(n)", "(a:{kind})-[*2..]->(n)", "(a:{kind})-[r:REL *.. 5]->(n)", "(a:{kind})-[r:REL* ]->(n)", "(a:{kind})-[r:REL*2]->(n)"]
+_CLAUSES = ["", " WHERE n.x = 1", " SET n.x = 1", " WHERE n.t = 'return'", "", " DETACH", ""]
+_LIMITS = ["", " LIMIT 5", " limit 5000", " LIMIT 99999999999999999999", " LIMIT 100 SKIP 300", " LIMIT 00007", " ORDER BY n.id"]
+_CUT = ["", " LIMIT 5", " limit 100", " LIMIT 100", " LIMIT 100 SKIP 300", " LIMIT 00007", " ORDER BY n.id"]
+_ENDS = ["", ";", " ; \n"]
+
+
+def _sql_list(parts):
+    quoted = ["'" + p.replace("'", "''").replace("\n", "' || chr(10) || '").replace("{kind}", "' || event_type || '") + "'" for p in parts]
+    return "[" + ", ".join(quoted) + "]"
+
+
+@query(f"""WITH t AS (SELECT event_id, user_id % {len(_PATHS)} AS p, event_id % {len(_CLAUSES)} AS c, event_id // 3 % {len(_LIMITS)} AS l, user_id // 7 % 11 = 0 AS two, event_id % 53 = 0 AS blank,
+({_sql_list(_PATHS)})[user_id % {len(_PATHS)} + 1] AS path, ({_sql_list(_CLAUSES)})[event_id % {len(_CLAUSES)} + 1] AS clause, ({_sql_list(_CUT)})[event_id // 3 % {len(_LIMITS)} + 1] AS cut FROM events)
+SELECT event_id, CASE WHEN blank THEN 'empty' WHEN two THEN 'multiple_statements' WHEN c IN (2, 5) THEN 'forbidden_clause' WHEN c = 3 THEN 'one_return' WHEN p IN (2, 4) THEN 'unbounded_path'
+ELSE 'MATCH ' || path || clause || ' RETURN n' || cut || CASE WHEN l IN (0, 6) THEN ' LIMIT 100' ELSE '' END END AS verdict FROM t""")
+def screen_queries(spark, d):
+    """The verdict on each logged query, put together from paths, clauses, limits and endings; what passes has its row limit."""
+    pick = lambda parts, i: F.element_at(F.array(*[F.lit(p) for p in parts]), (i + 1).cast("int"))
+    user, event = F.col("user_id"), F.col("event_id")
+    path = F.replace(pick(_PATHS, user % len(_PATHS)), F.lit("{kind}"), F.col("event_type"))
+    two = F.when(F.floor(user / 7) % 11 == 0, "; MATCH (m) RETURN m").otherwise("")
+    text = F.concat(F.lit(" \nMATCH "), path, pick(_CLAUSES, event % len(_CLAUSES)), F.lit(" RETURN n"), pick(_LIMITS, F.floor(event / 3) % len(_LIMITS)), two, pick(_ENDS, event % len(_ENDS)))
+    return table(spark, d, "events").select("event_id", T.screened(F.when(event % 53 == 0, " \t ").otherwise(text)).alias("verdict"))

@@ -48,13 +48,14 @@ def _hybrid_sql(limit: int) -> str:
       SELECT qid, id, min(source) AS source, min_by(pos, source * 1000 + pos) AS pos FROM (
         SELECT qid, id, 0 AS source, 1 AS pos FROM named JOIN ranked rk USING (id) WHERE rk.r <= {limit} UNION ALL SELECT qid, id, 1, rank FROM near) GROUP BY qid, id)) WHERE n <= 8)"""
     return f"""WITH {_SEED_SQL}, {seeds},
-    e AS (SELECT DISTINCT src, dst FROM adj WHERE r <= {limit}),
-    h1 AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS n FROM (
-      SELECT DISTINCT s.qid, e.dst AS id FROM seeds s JOIN e ON e.src = s.id) c WHERE (qid, id) NOT IN (SELECT qid, id FROM seeds)) WHERE n <= 50),
+    e AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS n FROM (SELECT DISTINCT src, dst FROM adj WHERE r <= {limit})) WHERE n <= 8 + 2 * 50),
+    sd AS MATERIALIZED (SELECT qid, id FROM seeds),
+    h1 AS MATERIALIZED (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS n FROM (
+      SELECT DISTINCT s.qid, e.dst AS id FROM sd s JOIN e ON e.src = s.id) c WHERE NOT EXISTS (SELECT 1 FROM sd x WHERE x.qid = c.qid AND x.id = c.id)) WHERE n <= 50),
     h2 AS (SELECT qid, id FROM (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id) AS n FROM (
       SELECT DISTINCT h1.qid, e.dst AS id FROM h1 JOIN e ON e.src = h1.id) c
-      WHERE (qid, id) NOT IN (SELECT qid, id FROM seeds) AND (qid, id) NOT IN (SELECT qid, id FROM h1)) WHERE n <= 50),
-    a AS (SELECT qid, id, 0 AS hop FROM seeds UNION ALL SELECT qid, id, 1 FROM h1 UNION ALL SELECT qid, id, 2 FROM h2)
+      WHERE NOT EXISTS (SELECT 1 FROM sd x WHERE x.qid = c.qid AND x.id = c.id) AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.qid = c.qid AND x.id = c.id)) WHERE n <= 50),
+    a AS (SELECT qid, id, 0 AS hop FROM sd UNION ALL SELECT qid, id, 1 FROM h1 UNION ALL SELECT qid, id, 2 FROM h2)
     SELECT qid, id, hop FROM a JOIN ranked rk USING (id) WHERE rk.r <= {limit}"""
 
 

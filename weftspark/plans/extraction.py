@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftspark.functions import documents as D
-from weftspark.operators import vectors
+from weftspark.operators import cells, vectors
 from weftspark.plans.catalog import _V_SQL, ORACLES, QUERIES, _rounded, _vectors, query
 from weftspark.sources.graph import table
 
@@ -76,7 +76,7 @@ def selfquery_filtered(spark, d):
     asked, chunks = _vectors(spark, d)
     wanted = F.when(F.floor(F.col("qid") / 20) % 3 != 0, F.array(F.col("ql"), (F.col("ql") + 1) % 10))
     asked = asked.select("qid", "q", wanted.alias("wanted"), F.lit(2).alias("clearance"))
-    return _rounded(vectors.selfquery(asked, chunks, 10))
+    return _rounded(vectors.knn(asked, chunks, 10))
 
 
 @query()
@@ -88,3 +88,33 @@ def knn_lsh_recall(spark, d):
     found = near.select("qid", "chunk_id", F.lit(1).alias("hit"))
     seen = near.groupBy("qid").agg(F.max("seen").alias("seen"))
     return exact.join(found, ["qid", "chunk_id"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall")).join(seen, "qid", "left")
+
+
+@query(_V_SQL + """, b AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM s
+WHERE r <= 2 AND (qid // 20 % 3 = 0 OR label IN (ql, (ql + 1) % 10)))
+SELECT qid, rank, chunk_id, round(score, 6) AS score FROM b WHERE rank <= 10""")
+def knn_cells_exact(spark, d):
+    """The ten nearest of those that pass each question's filter, from cells that are looked into until none left can hold a nearer one."""
+    return _rounded(cells.search(cells.Cells(_vectors(spark, d)[1], cells=32), _narrowed(spark, d), 10, exact=True))
+
+
+def _narrowed(spark, d):
+    asked = _vectors(spark, d)[0]
+    wanted = F.when(F.floor(F.col("qid") / 20) % 3 != 0, F.array(F.col("ql"), (F.col("ql") + 1) % 10))
+    return asked.select("qid", "q", wanted.alias("wanted"), F.lit(2).alias("clearance"))
+
+
+@query()
+def knn_cells_recall(spark, d):
+    """Which share of its ten nearest each question finds in its nearest cells, with and without a filter, and which share of the chunks it looks at."""
+    asked, chunks = _vectors(spark, d)
+    index = cells.Cells(chunks, cells=32)
+    out = None
+    for name, questions in (("all", asked.select("qid", "q")), ("filtered", _narrowed(spark, d))):
+        exact = vectors.knn(questions, chunks, 10).select("qid", "chunk_id")
+        near = cells.search(index, questions, 10, probes=8, enough=120)
+        seen = near.groupBy("qid").agg(F.max("seen").alias("seen"))
+        found = exact.join(near.select("qid", "chunk_id", F.lit(1).alias("hit")), ["qid", "chunk_id"], "left").groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+        rows = found.join(seen, "qid", "left").select(F.lit(name).alias("filter"), "qid", "recall", "seen")
+        out = rows if out is None else out.unionByName(rows)
+    return out

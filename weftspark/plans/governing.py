@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftspark.functions import questions as Q
 from weftspark.functions import text as T
 from weftspark.operators import documents as docs
-from weftspark.operators import state
+from weftspark.operators import state, vectors
 from weftspark.plans.catalog import _CLEAN_SQL, ORACLES, QUERIES, query
 from weftspark.sources import governed as src
 from weftspark.sources.governed import CLASSED_SQL, FILES_SQL
@@ -155,16 +155,26 @@ def policies_of_domain(spark, d):
     return docs.policies_by_domain(_processed(spark, d)[1], asked)
 
 
-@query(f"""{_STORE_SQL}, st AS (SELECT * FROM w WHERE day IS NULL OR day <= '2024-06-30'), h AS (SELECT 'urn:doc:' || path AS s, {_CLASS} AS kind, 0.5 + (doc_id % 10) / 20.0 AS score, doc_id % 9 = 2 AS pii FROM classed),
-a AS (SELECT s, kind, max(score) AS score, bool_or(pii) AS pii FROM h WHERE score >= 0.7 GROUP BY s, kind)
-SELECT s, kind, 'structured' AS leg, NULL::DOUBLE AS relevance, pii AS withheld FROM st UNION ALL SELECT s, kind, 'vector', score::DOUBLE, pii FROM a WHERE s NOT IN (SELECT s FROM st)""")
+_NEAR_SQL = r"""dw AS (SELECT path AS id, doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM files),
+dh AS (SELECT id, doc_id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 256 AS idx, CASE WHEN ('0x' || substr(sha256(w), 9, 2))::INT % 2 = 1 THEN 1 ELSE -1 END AS sign FROM dw WHERE w <> ''),
+dv AS (SELECT id, doc_id, idx, sum(sign)::DOUBLE AS value FROM dh GROUP BY ALL HAVING sum(sign) <> 0), dn AS (SELECT id, sqrt(sum(value * value)) AS n FROM dv GROUP BY 1),
+sim AS (SELECT q.id AS qid, v.id, round(sum(q.value * v.value) / (any_value(qn.n) * any_value(vn.n)), 9) AS score FROM (SELECT * FROM dv WHERE doc_id % 20 = 0) q JOIN dv v USING (idx) JOIN dn qn ON qn.id = q.id JOIN dn vn ON vn.id = v.id GROUP BY q.id, v.id)"""
+
+
+@query(f"""{_STORE_SQL}, st AS (SELECT * FROM w WHERE day IS NULL OR day <= '2024-06-30'), {_NEAR_SQL}, h AS (SELECT qid, 'urn:doc:' || path AS s, {_CLASS} AS kind, score, doc_id % 9 = 2 AS pii FROM sim JOIN classed ON path = id WHERE score >= 0.7),
+a AS (SELECT qid, s, kind, max(score) AS score, bool_or(pii) AS pii FROM h GROUP BY qid, s, kind)
+SELECT NULL::VARCHAR AS qid, s, kind, 'structured' AS leg, NULL::DOUBLE AS relevance, pii AS withheld FROM st
+UNION ALL SELECT qid, s, kind, 'vector', round(score, 6)::DOUBLE, pii FROM a WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.s = a.s)""")
 def retrieve_normative(spark, d):
-    """The exhaustive leg, what hits above the threshold add, and which rows are withheld for personal data."""
+    """The exhaustive leg, what every twentieth text adds as a context by documents at a cosine of 0.7 or more, and which rows are withheld for personal data."""
     structured = docs.normative(_processed(spark, d)[1], "2024-06-30")
     files = src.files(spark, d)
     kind = F.element_at(F.split(docs.D.classify(F.col("path"), F.col("text"))["class_uri"], ":"), -1)
-    hits = files.select(F.concat(F.lit("urn:doc:"), "path").alias("s"), kind.alias("kind"), (F.lit(0.5) + F.col("doc_id") % 10 / 20).alias("score"), (F.col("doc_id") % 9 == 2).alias("pii")).where("score >= 0.7")
-    return docs.retrieve(structured, hits)
+    held = files.select(F.concat(F.lit("urn:doc:"), "path").alias("s"), kind.alias("kind"), (F.col("doc_id") % 9 == 2).alias("pii"))
+    vecs = state.settle(vectors.embedded(files.withColumn("chunk_id", F.concat(F.lit("urn:doc:"), "path")), ["chunk_id", "doc_id", "path"]))
+    asked = vecs.where("doc_id % 20 = 0").select(F.col("path").alias("qid"), F.col("v").alias("q"))
+    found = docs.retrieve(structured, docs.near_documents(asked, vecs.select("chunk_id", F.col("chunk_id").alias("s"), "v"), held))
+    return found.withColumn("relevance", F.round("relevance", 6))
 
 
 @query(f"{_loaded_sql()} SELECT s, max(o) FILTER (WHERE p = 'type') AS type, max(o) FILTER (WHERE p = 'name') AS name, min(g) AS partition FROM loaded GROUP BY s")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftspark.functions import text as T
 from weftspark.operators import ingest, state
+from weftspark.operators.store import Store
 from weftspark.plans.catalog import ORACLES, QUERIES, query
 from weftspark.plans.composites import _CLAIM_SQL, _candidates, _verdicts
 from weftspark.sources import graph, ledger
@@ -61,17 +62,67 @@ def _delta(spark, d):
     return was, now, change, store, ingest.incremental(store, now, change, ledger.extract)
 
 
-@query(f"WITH {LEDGER_SQL}, {_run_sql('b', 'now')} SELECT id, kind, n_docs, sources FROM b_nodes")
+#: The stores that this process has made: an ingested corpus for each application and folder of tables.
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def stored(spark, d):
+    """(store, version) of the corpus before any change, ingested once; what is done to it later is not committed."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STORES:
+        store = Store(spark, state.new_folder(spark, "store"), ingest.TABLES)
+        ingest.ingest(store, ledger.hashed(ledger.before(spark, d)), ledger.extract)
+        _STORES[key] = store
+    return _STORES[key], 1
+
+
+def _maintained(spark, d, divisors):
+    store, version = stored(spark, d)
+    return ingest.Maintained(store, ledger.hashed(ledger.after(ledger.before(spark, d), divisors)), ledger.extract, version)
+
+
+_NODES = f"{_run_sql('b', 'now')} SELECT id, kind, n_docs, sources FROM b_nodes"
+_EDGES = f"{_run_sql('b', 'now')} SELECT src, kind, dst, n_docs FROM b_edges"
+
+
+def _node_rows(nodes):
+    return nodes.select("id", "kind", F.size("docs").cast("long").alias("n_docs"), F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"WITH {LEDGER_SQL}, {_NODES}")
 def ingest_delta(spark, d):
-    """The nodes after an incremental run, which are those of a rebuild."""
-    nodes = _delta(spark, d)[4][0]
-    return ingest.merged(nodes, ["id"]).select("id", "kind", F.size("docs").cast("long").alias("n_docs"), F.array_join("sources", ",").alias("sources"))
+    """The nodes after an incremental run over a stored corpus of which a quarter changes, which are those of a rebuild."""
+    return _node_rows(_maintained(spark, d, ledger.LARGE).after("nodes"))
 
 
-@query(f"WITH {LEDGER_SQL}, {_run_sql('b', 'now')} SELECT src, kind, dst, n_docs FROM b_edges")
+@query(f"WITH {LEDGER_SQL}, {_EDGES}")
 def ingest_delta_edges(spark, d):
-    edges = _delta(spark, d)[4][1]
-    return ingest.merged(edges, ["src", "kind", "dst"]).select("src", "kind", "dst", F.size("docs").cast("long").alias("n_docs"))
+    edges = _maintained(spark, d, ledger.LARGE).after("edges")
+    return edges.select("src", "kind", "dst", F.size("docs").cast("long").alias("n_docs"))
+
+
+@query(f"WITH {ledger.ledger_sql(ledger.SMALL)}, {_NODES}")
+def ingest_small_delta(spark, d):
+    """The same where a twentieth changes."""
+    return _node_rows(_maintained(spark, d, ledger.SMALL).after("nodes"))
+
+
+@query(f"WITH {ledger.ledger_sql(ledger.SMALL)}, {_EDGES}")
+def ingest_small_delta_edges(spark, d):
+    edges = _maintained(spark, d, ledger.SMALL).after("edges")
+    return edges.select("src", "kind", "dst", F.size("docs").cast("long").alias("n_docs"))
+
+
+@query(f"""WITH {ledger.ledger_sql(ledger.SMALL)}, {_run_sql('a', 'was')}, {_run_sql('b', 'now')},
+drop_ AS (SELECT w.doc_id FROM was w LEFT JOIN now n USING (doc_id) WHERE n.doc_id IS NULL OR (w.title, w.owner, w.authors) IS DISTINCT FROM (n.title, n.owner, n.authors)),
+read_ AS (SELECT n.doc_id FROM now n LEFT JOIN was w USING (doc_id) WHERE w.doc_id IS NULL OR (w.title, w.owner, w.authors) IS DISTINCT FROM (n.title, n.owner, n.authors)),
+tn AS (SELECT id FROM a_n JOIN drop_ ON doc = doc_id UNION SELECT id FROM b_n JOIN read_ ON doc = doc_id), te AS (SELECT src, kind, dst FROM a_e JOIN drop_ ON doc = doc_id UNION SELECT src, kind, dst FROM b_e JOIN read_ ON doc = doc_id)
+SELECT 'nodes_gained' AS what, count(*) AS n FROM tn JOIN b_nodes USING (id) UNION ALL SELECT 'nodes_lost', count(*) FROM tn WHERE id NOT IN (SELECT id FROM b_nodes) UNION ALL SELECT 'nodes_held', count(*) FROM a_nodes
+UNION ALL SELECT 'edges_gained', count(*) FROM te JOIN b_edges USING (src, kind, dst) UNION ALL SELECT 'edges_lost', count(*) FROM te WHERE NOT EXISTS (SELECT 1 FROM b_edges b WHERE b.src = te.src AND b.kind = te.kind AND b.dst = te.dst)
+UNION ALL SELECT 'edges_held', count(*) FROM a_edges""")
+def ingest_small_delta_cost(spark, d):
+    """How many nodes and edges that run writes and deletes, beside those that the store holds."""
+    return _maintained(spark, d, ledger.SMALL).report().where(F.col("what").contains("_"))
 
 
 _CHANGE_SQL = """o AS (SELECT w.doc_id, n.doc_id IS NULL AS gone, n.doc_id IS NOT NULL AND (w.title <> n.title OR w.owner IS DISTINCT FROM n.owner OR w.authors <> n.authors) AS edited FROM was w LEFT JOIN now n ON n.doc_id = w.doc_id),

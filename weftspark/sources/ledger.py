@@ -28,16 +28,21 @@ def before(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def after(docs: DataFrame) -> DataFrame:
-    """The corpus after a change: of the keys divisible by 17 documents are gone, by 11 edited, by 13 under another name; every nineteenth key beyond is new."""
+#: Divisors of the keys of documents that a change deletes, edits, moves and adds: of about a quarter of the corpus, and of about a twentieth.
+LARGE, SMALL = (17, 11, 13, 19), (103, 37, 79, 101)
+
+
+def after(docs: DataFrame, divisors: tuple[int, int, int, int] = LARGE) -> DataFrame:
+    """The corpus after a change: documents of keys with the first divisor are gone, with the second edited, with the third under another name; each key with the fourth has a new one."""
+    gone, edit, move, new = divisors
     key = F.col("key")
-    edited = (key % 11 == 0) & (F.col("kind") == "kep")
-    kept = docs.where((key % 17 != 0) | (F.col("kind") == "sig")).select(
-        F.when((key % 13 == 0) & (F.col("kind") == "kep"), F.concat("doc_id", F.lit("-moved"))).otherwise(F.col("doc_id")).alias("doc_id"), "kind", "key",
+    edited = (key % edit == 0) & (F.col("kind") == "kep")
+    kept = docs.where((key % gone != 0) | (F.col("kind") == "sig")).select(
+        F.when((key % move == 0) & (F.col("kind") == "kep"), F.concat("doc_id", F.lit("-moved"))).otherwise(F.col("doc_id")).alias("doc_id"), "kind", "key",
         F.when(edited, F.concat("title", F.lit(" (revised)"))).otherwise(F.col("title")).alias("title"), F.when(edited, (F.col("owner") + 1) % 25).otherwise(F.col("owner")).alias("owner"),
         F.when(edited, F.slice("authors", 1, 1)).otherwise(F.col("authors")).alias("authors"),
     )
-    fresh = docs.where((key % 19 == 0) & (F.col("kind") == "kep")).select(
+    fresh = docs.where((key % new == 0) & (F.col("kind") == "kep")).select(
         F.concat("doc_id", F.lit("-new")).alias("doc_id"), "kind", (key + 10_000_000).alias("key"), "title", "owner", F.col("authors")
     )
     return kept.unionByName(fresh)
@@ -74,13 +79,21 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _DOC = "lpad({k}::VARCHAR, 8, '0')"
-LEDGER_SQL = f"""wrote AS (SELECT l_partkey AS p, list_sort(list(DISTINCT l_suppkey)) AS authors FROM lineitem GROUP BY l_partkey),
+
+
+def ledger_sql(divisors: tuple[int, int, int, int] = LARGE) -> str:
+    """SQL of the corpus before (`was`) and after (`now`) a change."""
+    gone, edit, move, new = divisors
+    return f"""wrote AS (SELECT l_partkey AS p, list_sort(list(DISTINCT l_suppkey)) AS authors FROM lineitem GROUP BY l_partkey),
 was AS (SELECT 'community/sig-' || {_DOC.format(k='n_nationkey')} AS doc_id, 'sig' AS kind, n_nationkey::BIGINT AS key, n_name AS title, NULL::BIGINT AS owner, []::BIGINT[] AS authors FROM nation
   UNION ALL SELECT 'community/person-' || {_DOC.format(k='s_suppkey')}, 'person', s_suppkey, s_name, s_nationkey::BIGINT, []::BIGINT[] FROM supplier
   UNION ALL SELECT 'enhancements/kep-' || {_DOC.format(k='p_partkey')}, 'kep', p_partkey, p_name, p_partkey % 25, coalesce(authors, []::BIGINT[]) FROM part LEFT JOIN wrote ON p = p_partkey),
-now AS (SELECT CASE WHEN key % 13 = 0 AND kind = 'kep' THEN doc_id || '-moved' ELSE doc_id END AS doc_id, kind, key, CASE WHEN key % 11 = 0 AND kind = 'kep' THEN title || ' (revised)' ELSE title END AS title,
-    CASE WHEN key % 11 = 0 AND kind = 'kep' THEN (owner + 1) % 25 ELSE owner END AS owner, CASE WHEN key % 11 = 0 AND kind = 'kep' THEN authors[1:1] ELSE authors END AS authors FROM was WHERE key % 17 <> 0 OR kind = 'sig'
-  UNION ALL SELECT doc_id || '-new', kind, key + 10000000, title, owner, authors FROM was WHERE key % 19 = 0 AND kind = 'kep')"""
+now AS (SELECT CASE WHEN key % {move} = 0 AND kind = 'kep' THEN doc_id || '-moved' ELSE doc_id END AS doc_id, kind, key, CASE WHEN key % {edit} = 0 AND kind = 'kep' THEN title || ' (revised)' ELSE title END AS title,
+    CASE WHEN key % {edit} = 0 AND kind = 'kep' THEN (owner + 1) % 25 ELSE owner END AS owner, CASE WHEN key % {edit} = 0 AND kind = 'kep' THEN authors[1:1] ELSE authors END AS authors FROM was WHERE key % {gone} <> 0 OR kind = 'sig'
+  UNION ALL SELECT doc_id || '-new', kind, key + 10000000, title, owner, authors FROM was WHERE key % {new} = 0 AND kind = 'kep')"""
+
+
+LEDGER_SQL = ledger_sql()
 
 
 def said_sql(name: str, of: str) -> str:
