@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftspark.llm.common import SPACES, ascii_lower
+from weftspark.llm.common import SPACES, ascii_lower, settle
 
 
 def line_keys(text: Column) -> Column:
@@ -54,7 +54,8 @@ def dedup_lines(
     lines = lines.where(F.col("_line").isNotNull()).select("_id", "_k1", "_k2", "_pos", "_line.h", "_line.g")
     present = lines.select("_id", "h", "g").distinct()
     frequent = present.groupBy("h", "g").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= threshold)
-    lost = lines.join(frequent.select("h", "g"), ["h", "g"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_lost"))
+    frequent = settle(frequent.select("h", "g"))  # else the join takes over the grouping's partitions, which Spark can't split where one line is in very many documents
+    lost = lines.join(frequent, ["h", "g"], "left_semi").groupBy("_k1", "_k2").agg(F.collect_set("_pos").alias("_lost"))
     joined = rows.join(lost, ["_k1", "_k2"], "left").withColumn("_lines", split)
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_lost"))
     kept = F.when(F.col("_lost").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n"))
