@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from weftspark.functions import text as T
-from weftspark.operators import delta, govern, graph, vectors
+from weftspark.operators import delta, documents, graph, vectors
 
 
 def rows(df):
@@ -47,15 +47,18 @@ def test_knn_filter_stands_below_the_rank(spark):
 
 def test_shapes(spark):
     quads = spark.createDataFrame(
-        [("n", "d", "type", "Policy", "iri"), ("n", "d", "name", "x", "string"), ("n", "d", "name", "y", "string"), ("n", "d", "effectiveDate", "soon", "date")],
+        [("n", "d", "type", "Policy", "iri"), ("n", "d", "name", "x", "string"), ("n", "d", "effectiveDate", "soon", "date"), ("n", "d", "effectiveDate", "2024-01-01", "date"), ("n", "d", "gitCommitSHA", "c", "string"), ("n", "d", "hasPII", "true", "boolean")],
         "g string, s string, p string, o string, o_type string",
-    )
-    assert rows(govern.violations(quads, govern.shapes(spark))) == [("d", "effectiveDate", "datatype"), ("d", "name", "maxCount"), ("d", "scope", "minCount")]
+    )
+    broken = documents.violations(quads, documents.shapes(spark))
+    assert rows(broken.select("s", "path", "rule")) == [("d", "effectiveDate", "datatype"), ("d", "effectiveDate", "maxCount"), ("d", "scope", "minCount")]
+    assert rows(documents.gated(quads, broken)) == [("d", "quarantined", "effectiveDate:datatype;effectiveDate:maxCount;scope:minCount")]
+    assert rows(documents.gated(quads, broken.limit(0))) == [("d", "loaded", "")]
 
 
 def test_exhaustive_retrieval_has_no_limit(spark):
     quads = spark.createDataFrame([("normative", f"d{i}", "type", "Policy", "iri") for i in range(300)], "g string, s string, p string, o string, o_type string")
-    assert govern.policies(quads, "2024-01-01").count() == 300
+    assert documents.normative(quads, "2024-01-01").count() == 300
 
 
 def test_published_snapshot(spark, tmp_path):

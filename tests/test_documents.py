@@ -96,3 +96,26 @@ def test_filtered_questions_only_narrow(spark):
     asked = spark.createDataFrame([("all", [1.0, 0.0], None, 3), ("b", [1.0, 0.0], ["b"], 3), ("low", [1.0, 0.0], ["a"], 1), ("none", [1.0, 0.0], [], 3)], "qid string, q array<double>, wanted array<string>, clearance int")
     got = sorted((r.qid, r["rank"], r.chunk_id) for r in vectors.knn(asked, chunks, 2).collect())
     assert got == [("all", 1, 1), ("all", 2, 3), ("b", 1, 2), ("low", 1, 1)]
+
+
+def test_overlaps_of_whole_texts(spark):
+    import random
+
+    from weftspark.operators import evaluate
+
+    rng = random.Random(7)
+    base = "".join(rng.choice("abc dE") for _ in range(4000))
+    texts = [(i, "".join(rng.choice("abc de") for _ in range(rng.randrange(60))) + (base[i * 50 : i * 50 + rng.randrange(90)] if i % 2 else "") + "common end of all") for i in range(50)]
+    texts += [(99, None), (98, ""), (97, "short")]
+    asked = [(i, base[i * 150 : i * 150 + 120].upper()) for i in range(15)] + [(20, None), (21, "x" * 40), (22, "see the COMMON END of all")]
+
+    def longest(a, b):
+        a, b = (a or "").lower(), (b or "").lower()
+        return max((n for i in range(len(a)) for n in range(1, len(a) - i + 1) if a[i : i + n] in b), default=0)
+
+    questions, golds = spark.createDataFrame(asked, "qid int, text string"), spark.createDataFrame(texts, "id int, text string")
+    expected = {(q, i): longest(a, b) for q, a in asked for i, b in texts}
+    for least in (12, 20):
+        found = {(r.qid, r.id): r.overlap for r in evaluate.overlaps(questions, golds, least=least).collect()}
+        assert found == {p: n for p, n in expected.items() if n >= least}
+    assert evaluate.longest_common(evaluate._states("abcbc"), "zbcbz") == 3 and evaluate.longest_common(evaluate._states(""), "a") == 0

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftspark.operators import documents, grounding, ingest, state, telemetry, vectors
+from weftspark.operators.store import Store
 from weftspark.sources import files
 
 
@@ -35,12 +36,14 @@ def test_written_tables(spark, tmp_path):
     root = str(tmp_path)
     outcomes = spark.createDataFrame([("urn:d", "c1", "loaded")], "s string, sha string, outcome string")
     quads = spark.createDataFrame([("n", "urn:d", "type", "Policy", "iri")], "g string, s string, p string, o string, o_type string")
-    documents.write_artifacts(root, 1, outcomes, quads, spark.createDataFrame([("urn:d", 0, "t")], "s string, ordinal int, text string"))
-    assert state.published(spark, f"{root}/chunks").first().sha == "c1" and state.published(spark, f"{root}/triples").first().sha == "c1"
+    documents.write_artifacts(f"{root}/run", outcomes, quads, spark.createDataFrame([("urn:d", 0, "t")], "s string, ordinal int, text string"))
+    run = Store(spark, f"{root}/run", documents.ARTIFACTS)
+    assert [run.read(name).first().sha for name in documents.ARTIFACTS] == ["c1"] * 3 and run.pointer()[0] == 1
     members, summaries = spark.createDataFrame([("a", "community-1")], "id string, community string"), spark.createDataFrame([("community-1", "t")], "community string, title string")
-    ingest.write_communities(summaries, members, root, 1)
-    ingest.write_communities(summaries.limit(0), members.limit(0), root, 2, refresh=False)
-    assert state.published(spark, f"{root}/members").count() == 1 and state.version_of(spark, f"{root}/communities") == 1
+    ingest.write_communities(summaries, members, f"{root}/groups")
+    ingest.write_communities(summaries.limit(0), members.limit(0), f"{root}/groups", refresh=False)
+    groups = Store(spark, f"{root}/groups", {"members": ["id"], "communities": ["community"]})
+    assert groups.count("members") == 1 and groups.pointer() == (1, {"members": [1], "communities": [1]})
     chunks = spark.createDataFrame([("s/p#1", "h1", "b", "public", [1.0]), ("s/p#0", "h0", "a", "internal", [2.0])], "chunk_id string, heading string, text string, tier string, v array<double>")
     ingest.dual_write(chunks, spark.createDataFrame([("s/p", "ab")], "parent_id string, body string"), f"{root}/flat", f"{root}/tree")
     row = spark.read.parquet(f"{root}/tree").first()

@@ -9,7 +9,8 @@ from weftspark.functions import documents as D
 from weftspark.functions import questions as Q
 from weftspark.functions import text as T
 from weftspark.operators import similar
-from weftspark.operators.state import publish, settle
+from weftspark.operators.state import settle
+from weftspark.operators.store import Store
 
 # Which converter takes a file by its extension, classes of documents, and what a node of each class must have.
 ROUTES = [(".docx", "pandoc"), (".pdf", "docling"), (".pptx", "markitdown"), (".xlsx", "markitdown"), (".md", "passthrough"), (".txt", "passthrough"), (".rst", "passthrough")]
@@ -118,6 +119,13 @@ def violations(quads: DataFrame, rules: DataFrame) -> DataFrame:
     return both.select("s", F.concat("target_class", F.lit("Shape")).alias("shape"), "path", F.inline(found))
 
 
+def gated(quads: DataFrame, broken: DataFrame) -> DataFrame:
+    """(s, outcome, reasons): of every document with a class whether it is loaded, or quarantined and for which paths and rules."""
+    reasons = broken.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "path", "rule"))), ";").alias("reasons"))
+    rows = quads.where("p = 'type'").select("s").distinct().join(reasons, "s", "left")
+    return rows.select("s", F.when(F.col("reasons").isNull(), "loaded").otherwise("quarantined").alias("outcome"), F.coalesce("reasons", F.lit("")).alias("reasons"))
+
+
 def quarantined(docs: DataFrame, broken: DataFrame, at: str) -> DataFrame:
     """(record, doc, reason, paths, commit, time) of the docs (s, sha) that break a shape, with all messages and paths."""
     told = broken.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("reason"), F.array_join(F.array_sort(F.collect_set("path")), ",").alias("paths"))
@@ -184,12 +192,15 @@ def medallion(store: DataFrame, changes: DataFrame, files: DataFrame, spark: Spa
     return after, outcomes.select("s", "path", "sha", "outcome", "reason").unionByName(missing)
 
 
-def write_artifacts(root: str, version: int, outcomes: DataFrame, quads: DataFrame, chunks: DataFrame) -> None:
-    """Publishes what a run made, as three tables by document and commit: outcomes with their reports, triples, chunks."""
+#: The tables of a governed run and what their rows are replaced by.
+ARTIFACTS = {"reports": ["s"], "triples": ["s"], "chunks": ["s"]}
+
+
+def write_artifacts(root: str, outcomes: DataFrame, quads: DataFrame, chunks: DataFrame) -> int:
+    """Writes what a run made, by document and commit, into the store `root` of ARTIFACTS: reports, triples and chunks under one pointer; the version."""
     commits = outcomes.select("s", "sha").distinct()
-    publish(outcomes, f"{root}/reports", version)
-    publish(quads.join(commits, "s", "left"), f"{root}/triples", version)
-    publish(chunks.join(commits, "s", "left"), f"{root}/chunks", version)
+    store = Store(outcomes.sparkSession, root, ARTIFACTS)
+    return store.commit({"reports": outcomes, "triples": quads.join(commits, "s", "left"), "chunks": chunks.join(commits, "s", "left")}, whole=True)
 
 
 def ontology(spark: SparkSession, loaded_at: str) -> tuple[DataFrame, DataFrame]:

@@ -95,39 +95,83 @@ def gold_checks(gold: DataFrame, got: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.LongType())
-def common_length(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Length of the longest common substring of two texts, letters folded."""
+def _states(text: str) -> tuple[list[dict[str, int]], list[int], list[int]]:
+    """The suffix automaton of a text: next states by character, suffix links and longest lengths."""
+    next_, link, length, last = [{}], [-1], [0], 0
+    for c in text:
+        new, at = len(next_), last
+        next_.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while at >= 0 and c not in next_[at]:
+            next_[at][c] = new
+            at = link[at]
+        if at >= 0:
+            to = next_[at][c]
+            if length[to] == length[at] + 1:
+                link[new] = to
+            else:
+                copy = len(next_)
+                next_.append(dict(next_[to]))
+                link.append(link[to])
+                length.append(length[at] + 1)
+                while at >= 0 and next_[at].get(c) == to:
+                    next_[at][c] = copy
+                    at = link[at]
+                link[to] = link[new] = copy
+        last = new
+    return next_, link, length
+
+
+def longest_common(automaton: tuple[list[dict[str, int]], list[int], list[int]], text: str) -> int:
+    """Length of the longest substring of a text that the automaton's text has as well; one pass over the text."""
+    next_, link, length = automaton
+    at = size = best = 0
+    for c in text:
+        while at and c not in next_[at]:
+            at = link[at]
+            size = length[at]
+        if c in next_[at]:
+            at, size = next_[at][c], size + 1
+            best = max(best, size)
+    return best
 
-    def one(a: str | None, b: str | None) -> int:
-        a, b = (a or "").lower(), (b or "").lower()
-        low, high = 0, min(len(a), len(b))
-        while low < high:  # a common substring of n characters holds common ones of every smaller length
-            n = (low + high + 1) // 2
-            held = {a[i : i + n] for i in range(len(a) - n + 1)}
-            low, high = (n, high) if any(b[j : j + n] in held for j in range(len(b) - n + 1)) else (low, n - 1)
-        return low
 
+@F.pandas_udf(T.LongType())
+def common_length(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Length of the longest common substring of two texts, letters folded; 0 if one is null. Time is linear in both."""
     for a, b in pairs:
-        yield pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+        out, known, automaton = [], None, None
+        for x, y in zip(a, b, strict=True):
+            x, y = (x or "").lower(), (y or "").lower()
+            if known is None or x != known:
+                known, automaton = x, _states(x)
+            out.append(longest_common(automaton, y))
+        yield pd.Series(out, dtype="int64")
 
 
-def overlaps(questions: DataFrame, golds: DataFrame, least: int = 12, shingle: int = 8) -> DataFrame:
+def overlaps(questions: DataFrame, golds: DataFrame, least: int = 12, shingle: int | None = None) -> DataFrame:
     """(qid, id, overlap) of questions (qid, text) and texts (id, text) with a common substring of `least` characters or more.
 
-    Such a pair shares a run of `shingle` characters that begins at a multiple of `least - shingle + 1`
-    in the text, so only pairs that meet by one are measured.
+    Texts are cut at every `step` characters into seeds of `shingle`, so that whatever has `least` characters holds
+    two neighbouring seeds in full. Of any two neighbours the one that fewer texts have is enough: common
+    wording leads to no pair where something rarer stands beside it, and nothing is lost. Seeds meet all runs of the questions;
+    only pairs that meet are measured, on the whole texts. Null texts overlap with nothing.
     """
-    step = least - shingle + 1
+    shingle = shingle or max(1, least * 2 // 5)
+    step = (least - shingle + 1) // 2
+    if step < 1:
+        raise ValueError("two seeds must fit what is to be found")
     low = F.lower(F.col("text"))
-    runs = lambda by: F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - shingle + 1, F.lit(1)), F.lit(by)), lambda i: F.substr(low, i, F.lit(shingle)))
-    own = questions.where(F.length("text") >= least).select("qid", F.explode(F.array_distinct(runs(1))).alias("run"))
-    theirs = golds.where(F.length("text") >= least).select("id", F.explode(F.array_distinct(runs(step))).alias("run"))
-    pairs = own.join(theirs, "run").select("qid", "id").distinct()
+    starts = lambda by: F.sequence(F.lit(1), F.greatest(F.length(low) - shingle + 1, F.lit(1)), F.lit(by))
+    cut = lambda i: F.substr(F.col("_low"), i, F.lit(shingle))
+    long_enough = F.length(low) >= least
+    own = questions.where(long_enough).select("qid", low.alias("_low"), starts(1).alias("_at")).select("qid", F.explode(F.array_distinct(F.transform("_at", cut))).alias("run"))
+    seeds = golds.where(long_enough).select("id", low.alias("_low"), starts(step).alias("_at")).select("id", F.posexplode(F.transform("_at", cut)).alias("n", "run"))
+    held = seeds.groupBy("run").agg(F.count("*").alias("held"))
+    order = Window.partitionBy("id").orderBy("n")
+    rated = seeds.join(held, "run").withColumn("before", F.lag("held").over(order)).withColumn("after", F.lead("held").over(order))
+    rare = rated.where((F.coalesce("before", F.col("held")) >= F.col("held")) | (F.coalesce("after", F.col("held")) >= F.col("held")))
+    pairs = own.join(rare.select("id", "run").distinct(), "run").select("qid", "id").distinct()
     told = pairs.join(questions.select("qid", F.col("text").alias("a")), "qid").join(golds.select("id", F.col("text").alias("b")), "id")
     return told.select("qid", "id", common_length("a", "b").alias("overlap")).where(F.col("overlap") >= least)
-
-
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """rows with their number in the order of a column, for reports on small sets."""
-    return rows.withColumn("row", F.row_number().over(Window.orderBy(order)))

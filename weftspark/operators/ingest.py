@@ -296,8 +296,9 @@ def schema_edges(candidates: DataFrame, verdicts: DataFrame, held: DataFrame) ->
     return edges, traced.select("cid", "verdict", "doc", "span")
 
 
-def write_communities(summaries: DataFrame, members: DataFrame, root: str, version: int, refresh: bool = True) -> None:
-    """Publishes the communities and the lookup from entity to community, of a full run alone: a delta run (`refresh` false) leaves both as they are."""
-    if refresh:
-        state.publish(members.select("id", "community"), f"{root}/members", version)
-        state.publish(summaries, f"{root}/communities", version)
+def write_communities(summaries: DataFrame, members: DataFrame, root: str, refresh: bool = True) -> int | None:
+    """Writes communities and the lookup from entity to community under one pointer, of a full run alone: a delta run (`refresh` false) leaves both as they are."""
+    if not refresh:
+        return None
+    store = Store(members.sparkSession, root, {"members": ["id"], "communities": ["community"]})
+    return store.commit({"members": members.select("id", "community"), "communities": summaries}, whole=True)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftspark.functions import text as T
-from weftspark.operators import delta, evaluate, govern, graph, vectors
+from weftspark.operators import delta, documents, evaluate, graph, vectors
 from weftspark.sources import graph as src
 from weftspark.sources.graph import MANIFEST_SQL, PG_SQL, QUADS_SQL, table
 
@@ -431,59 +431,69 @@ def emit_triples(spark, d):
 
 
 _SHAPE_SQL = f"""WITH {QUADS_SQL}, bad AS (
-  SELECT s, 'effectiveDate' AS path, 'minCount' AS rule FROM docs WHERE day IS NULL AND type IN ('Policy', 'Standard'))"""
+  SELECT s, 'effectiveDate' AS path, 'minCount' AS rule FROM docs WHERE day IS NULL AND type IN ('Policy', 'Standard', 'Guideline')
+  UNION ALL SELECT s, 'gitCommitSHA', 'minCount' FROM docs WHERE type <> 'Concept')"""
 
 
 @query(_SHAPE_SQL + " SELECT s, path, rule FROM bad")
 def shape_violations(spark, d):
-    return govern.violations(src.quads(spark, d), govern.shapes(spark))
+    return documents.violations(src.quads(spark, d), documents.shapes(spark)).select("s", "path", "rule")
 
 
-@query(_SHAPE_SQL + " SELECT d.s, CASE WHEN b.s IS NULL THEN 'loaded' ELSE 'quarantined' END AS outcome, CASE WHEN b.s IS NULL THEN '' ELSE 'effectiveDate:minCount' END AS reasons FROM docs d LEFT JOIN bad b ON b.s = d.s")
+@query(_SHAPE_SQL + ", r AS (SELECT s, string_agg(path || ':' || rule, ';' ORDER BY path) AS reasons FROM bad GROUP BY s) SELECT d.s, CASE WHEN r.s IS NULL THEN 'loaded' ELSE 'quarantined' END AS outcome, coalesce(reasons, '') AS reasons FROM docs d LEFT JOIN r ON r.s = d.s")
 def gate_outcomes(spark, d):
     quads = src.quads(spark, d)
-    return govern.gate(quads, govern.violations(quads, govern.shapes(spark)))
+    return documents.gated(quads, documents.violations(quads, documents.shapes(spark)))
 
 
-@query(f"WITH {QUADS_SQL} SELECT type AS kind, count(*) AS n, (type IN ('Policy', 'Standard'))::INT AS dated FROM docs GROUP BY type")
+@query(f"WITH {QUADS_SQL} SELECT type AS kind, count(*) AS n, (type IN ('Policy', 'Standard', 'Guideline'))::INT AS dated FROM docs GROUP BY type")
 def class_completeness(spark, d):
     """Classes in use, and whether a shape asks for their date."""
     used = src.quads(spark, d).where("p = 'type'").groupBy(F.col("o").alias("kind")).agg(F.count("*").alias("n"))
-    dated = govern.shapes(spark).where("path = 'effectiveDate'").select(F.col("target_class").alias("kind"), F.lit(1).alias("dated"))
+    dated = documents.shapes(spark).where("path = 'effectiveDate'").select(F.col("target_class").alias("kind"), F.lit(1).alias("dated"))
     return used.join(F.broadcast(dated), "kind", "left").select("kind", "n", F.coalesce("dated", F.lit(0)).alias("dated"))
 
 
+_REPO = "corpus"
+
+
 def _chain(spark, d):
-    docs = table(spark, d, "documents").select(F.concat(F.lit("urn:doc:"), "source", F.lit(":"), F.col("doc_id").cast("string")).alias("s"), F.sha2("text", 256).alias("sha"))
-    return docs, govern.provenance(docs)
+    s = F.concat(F.lit("urn:doc:"), "source", F.lit(":"), F.col("doc_id").cast("string"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
+    docs = table(spark, d, "documents").select(F.lit("x").alias("g"), s.alias("s"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha"), F.lit("passthrough").alias("extractor"), at.alias("started"), at.alias("ended"))
+    return docs, documents.provenance(docs, _REPO)
 
 
-@query("SELECT p, count(DISTINCT s || o) AS n FROM (SELECT source || doc_id AS s, '' AS o, unnest(['wasDerivedFrom', 'wasGeneratedBy', 'used']) AS p FROM documents UNION ALL SELECT source || doc_id, 'b', unnest(['wasDerivedFrom', 'wasGeneratedBy', 'used']) FROM documents UNION ALL SELECT source || doc_id, 'c', 'gitCommit' FROM documents) GROUP BY p")
+@query("""WITH n AS (SELECT count(*) AS n FROM documents), c AS (SELECT unnest(['gitCommitSHA', 'gitPath', 'gitRepo', 'used', 'wasAssociatedWith', 'startedAtTime', 'endedAtTime', 'wasGeneratedBy', 'wasDerivedFrom']) AS p, unnest([1, 1, 1, 2, 2, 1, 1, 2, 2]) AS k)
+SELECT p, k * n AS n FROM c, n UNION ALL SELECT 'type', 5 * n + 2 FROM n""")
 def prov_chain(spark, d):
     return _chain(spark, d)[1].groupBy("p").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {QUADS_SQL} SELECT s, name AS title, type AS kind, g AS partition, sha256(text) AS sha FROM docs JOIN documents USING (doc_id)")
+@query(f"WITH {QUADS_SQL} SELECT s, name AS title, type AS kind, g AS partition, sha256(text) AS sha, source || '/' || doc_id AS path FROM docs JOIN documents USING (doc_id)")
 def citations(spark, d):
+    """The source at its commit of every document, over the chain of what made it."""
     docs, chain = _chain(spark, d)
-    return govern.citations(docs.select("s"), src.quads(spark, d), chain).select("s", "title", "kind", "partition", "sha")
+    asked = docs.select(F.col("s").alias("uri"), F.lit(1.0).alias("relevance"))
+    found = documents.resolve_citations(asked, src.quads(spark, d), chain, docs.limit(0).select("s", F.col("sha").alias("text")))
+    return found.select(F.col("uri").alias("s"), "title", F.col("doc_type").alias("kind"), "partition", F.col("commit_sha").alias("sha"), F.col("git_path").alias("path"))
 
 
 @query(f"WITH {QUADS_SQL} SELECT s, type AS kind, name, scope, day, pii = 'true' AS withheld FROM docs WHERE g = 'normative' AND (day IS NULL OR day <= '2024-06-30')")
 def normative_exhaustive(spark, d):
-    return govern.policies(src.quads(spark, d), "2024-06-30")
+    return documents.normative(src.quads(spark, d), "2024-06-30").withColumnRenamed("pii", "withheld").drop("domains")
 
 
 @query(f"WITH {QUADS_SQL} SELECT scope, count(*) AS n, count(day) AS dated FROM docs WHERE type = 'Policy' GROUP BY scope")
 def policies_by_domain(spark, d):
-    rows = govern.properties(src.quads(spark, d), ["type", "scope", "effectiveDate"]).where("type = 'Policy'")
-    return rows.groupBy("scope").agg(F.count("*").alias("n"), F.count("effectiveDate").alias("dated"))
+    rows = documents.get_policies(src.quads(spark, d))
+    return rows.groupBy(F.col("domain").alias("scope")).agg(F.count("*").alias("n"), F.count("effective_date").alias("dated"))
 
 
 @query(f"WITH {QUADS_SQL} SELECT g, count(*) AS n FROM quads WHERE s NOT IN (SELECT s FROM docs WHERE pii = 'true') GROUP BY g")
 def taxonomy_delete(spark, d):
     quads = src.quads(spark, d)
-    return govern.removed(quads, quads.where("p = 'hasPII' and o = 'true'").select("s")).groupBy("g").agg(F.count("*").alias("n"))
+    return documents.removed(quads, quads.where("p = 'hasPII' and o = 'true'").select("s")).groupBy("g").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {PG_SQL}, c AS (SELECT src AS id, dst AS community FROM edges WHERE kind = 'IN_NATION') SELECT c.community, count(*) AS size, (['public','internal','restricted'])[max(r)] AS tier FROM c JOIN ranked USING (id) GROUP BY c.community")

@@ -85,16 +85,16 @@ def gold_checks(spark, d):
     return evaluate.gold_checks(gold, got)
 
 
-@query(r"""WITH g AS (SELECT doc_id AS id, lower(left(regexp_replace(text, '\s+', ' ', 'g'), 60)) AS t FROM documents WHERE doc_id % 3 = 0),
-q AS (SELECT item_id AS qid, lower(left(regexp_replace(text, '\s+', ' ', 'g'), 80)) AS t FROM benchmark),
-p AS (SELECT q.qid, g.id, q.t AS a, g.t AS b FROM q, g),
-o AS (SELECT qid, id, list_max(list_transform(range(1, length(a) + 1), lambda i: list_max(list_transform(range(1, length(a) - i + 2), lambda n: CASE WHEN contains(b, substr(a, i, n)) THEN n ELSE 0 END)))) AS overlap FROM p)
-SELECT qid, id, overlap::BIGINT AS overlap FROM o WHERE overlap >= 12""")
+@query("""WITH q AS (SELECT item_id AS qid, lower(text) AS t FROM benchmark), g AS (SELECT doc_id AS id, lower(text) AS t FROM documents),
+qr AS (SELECT qid, i, substr(t, i, 40) AS run FROM (SELECT qid, t, unnest(range(1, length(t) - 38)) AS i FROM q)),
+gr AS (SELECT id, i, substr(t, i, 40) AS run FROM (SELECT id, t, unnest(range(1, length(t) - 38)) AS i FROM g)),
+m AS (SELECT qid, id, qr.i, gr.i - qr.i AS d FROM qr JOIN gr USING (run)), s AS (SELECT qid, id, d, i - row_number() OVER (PARTITION BY qid, id, d ORDER BY i) AS island FROM m),
+o AS (SELECT qid, id, count(*) + 39 AS n FROM s GROUP BY qid, id, d, island)
+SELECT qid, id, max(n)::BIGINT AS overlap FROM o GROUP BY qid, id""")
 def wording_overlap(spark, d):
-    """Pairs of an item's and a document's opening words with a long common run, and how long it is."""
-    head = lambda n: F.substring(F.regexp_replace("text", r"\s+", " "), 1, n)
-    golds = table(spark, d, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("id"), head(60).alias("text"))
-    return evaluate.overlaps(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), head(80).alias("text")), golds)
+    """All items and documents whose whole texts have 40 characters or more in common, and how many."""
+    golds = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return evaluate.overlaps(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), golds, least=40)
 
 
 @query(r"""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\s+')) AS w FROM documents),
