@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftspark.functions import documents as D
 from weftspark.functions import questions as Q
 from weftspark.functions import text as T
-from weftspark.operators import similar
+from weftspark.operators import similar, vectors
 from weftspark.operators.state import settle
 from weftspark.operators.store import Store
 
@@ -164,6 +164,15 @@ def process(files: DataFrame, spark: SparkSession, repo: str) -> tuple[DataFrame
     return outcomes, quads.join(loaded, "s", "left_semi").select("g", "s", "p", "o", "o_type"), chunks
 
 
+def process_embedded(files: DataFrame, spark: SparkSession, repo: str, model: str = "hash-256") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`process` to the end: its chunks with their vectors (s, ordinal, text, v), and the quads of documents and of chunks, each chunk in its document's partition."""
+    outcomes, quads, chunks = process(files, spark, repo)
+    chunks = settle(vectors.embedded(chunks, ["s", "ordinal", "text"]))
+    where = quads.where("p = 'type'").select("s", "g").distinct()
+    told = chunk_triples(chunks.join(where, "s").select("g", F.col("s").alias("doc"), "ordinal"), model)
+    return outcomes, quads.unionByName(told), chunks
+
+
 def taxonomy(quads: DataFrame) -> DataFrame:
     """(g, s, p, o, o_type): the partition that each document stands in."""
     where = quads.where("p = 'type'").select("s", "g").distinct()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from weftspark.functions import text as T
-from weftspark.operators import ingest, state
-from weftspark.operators.store import Store
+from weftspark.operators import ingest, state, vectors
+from weftspark.operators.store import Artifacts, Store
 from weftspark.plans.catalog import ORACLES, QUERIES, query
 from weftspark.plans.composites import _CLAIM_SQL, _candidates, _verdicts
 from weftspark.sources import graph, ledger
@@ -171,6 +172,35 @@ def ingest_staged(spark, d):
     return work.select("doc_id", "work").join(after.select("doc_id", "silver_chunks", "stage", "silver_candidates"), "doc_id")
 
 
+PIECE = T_.StructType([T_.StructField("text", T_.StringType()), T_.StructField("v", T_.ArrayType(T_.DoubleType()))])
+
+
+def _embed(docs):
+    """Windows of the texts of documents (hash, text) with the vectors of their words."""
+    rows = T.windows(docs.select(F.col("hash").alias("doc_id"), "text")).withColumnRenamed("doc_id", "hash")
+    return vectors.embedded(rows, ["hash", "ordinal", "text"])
+
+
+@query(r"""WITH p AS (SELECT DISTINCT source, doc_id, text, CASE WHEN doc_id % 7 = 0 THEN '-moved' ELSE '' END AS moved FROM documents WHERE text IS NOT NULL),
+c AS (SELECT source || '/' || doc_id || moved || '#' AS at, list_filter(list_transform(range(1, greatest(length(text), 1) + 1, 850), lambda i: substr(text, i, 1000)), lambda x: trim(x, E' \t\n\r') <> '') AS ps FROM p),
+k AS (SELECT at || (i - 1) AS chunk_id, ps[i] AS t FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM c)),
+w AS (SELECT chunk_id, unnest(regexp_split_to_array(lower(t), '[ \t\n\x0b\f\r]+')) AS w FROM k),
+h AS (SELECT chunk_id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 256 AS idx, CASE WHEN ('0x' || substr(sha256(w), 9, 2))::INT % 2 = 1 THEN 1 ELSE -1 END AS sign FROM w WHERE w <> ''),
+v AS (SELECT chunk_id, idx, sum(sign) AS value FROM h GROUP BY ALL HAVING sum(sign) <> 0), d AS (SELECT chunk_id, count(*) AS dims, max(abs(value)) AS most, sqrt(sum(value * value)) AS norm FROM v GROUP BY 1)
+SELECT chunk_id, sha256(t) AS text_sha256, coalesce(dims, 0)::BIGINT AS dims, round(coalesce(most / norm, 0), 6)::DOUBLE AS most FROM k LEFT JOIN d USING (chunk_id)""")
+def staged_chunks(spark, d):
+    """The chunks of a second staged run, which embeds only what the first one, over four fifths of the documents, has not: moved ones are found by their content."""
+    name = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"))
+    docs = table(spark, d, "documents").where("text is not null").select(name.alias("doc_id"), F.col("doc_id").alias("n"), "text", F.sha2("text", 256).alias("hash"))
+    store = Artifacts(spark, state.new_folder(spark, "artifacts"), PIECE)
+    none = docs.limit(0).select("doc_id", F.col("hash").alias("content_hash"), F.lit("gold").alias("stage"), F.lit("").alias("silver_chunks"), F.lit("").alias("silver_candidates"))
+    ingest.staged_run(docs.where("n % 5 <> 0"), none, store, _FP, _embed)
+    now = docs.withColumn("doc_id", F.when(F.col("n") % 7 == 0, F.concat("doc_id", F.lit("-moved"))).otherwise(F.col("doc_id")))
+    found = ingest.staged_run(now, none, store, _FP, _embed)["chunks"]
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    return found.select("chunk_id", F.sha2("text", 256).alias("text_sha256"), F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("dims"), F.round(most, 6).alias("most"))
+
+
 @query("""SELECT 'doc-' || doc_id AS doc_id, CASE WHEN doc_id % 3 = 0 THEN sha256(text) ELSE 'h' || doc_id END AS content_hash, CASE WHEN doc_id % 3 = 0 THEN 'bronze' WHEN doc_id % 3 = 1 THEN 'silver' ELSE 'bronze' END AS stage,
 CASE WHEN doc_id % 3 = 1 THEN 'k' || doc_id END AS silver_chunks, NULL::VARCHAR AS silver_candidates FROM documents""")
 def upgraded_state(spark, d):
