@@ -182,8 +182,8 @@ def _embed(docs):
 
 
 @query(r"""WITH p AS (SELECT DISTINCT source, doc_id, text, CASE WHEN doc_id % 7 = 0 THEN '-moved' ELSE '' END AS moved FROM documents WHERE text IS NOT NULL),
-c AS (SELECT source || '/' || doc_id || moved || '#' AS at, list_filter(list_transform(range(1, greatest(length(text), 1) + 1, 850), lambda i: substr(text, i, 1000)), lambda x: trim(x, E' \t\n\r') <> '') AS ps FROM p),
-k AS (SELECT at || (i - 1) AS chunk_id, ps[i] AS t FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM c)),
+c AS (SELECT source || '/' || doc_id || moved || '#' AS stem, list_filter(list_transform(range(1, greatest(length(text), 1) + 1, 850), lambda i: substr(text, i, 1000)), lambda x: trim(x, E' \t\n\r') <> '') AS ps FROM p),
+k AS (SELECT stem || (i - 1) AS chunk_id, ps[i] AS t FROM (SELECT *, unnest(range(1, len(ps) + 1)) AS i FROM c)),
 w AS (SELECT chunk_id, unnest(regexp_split_to_array(lower(t), '[ \t\n\x0b\f\r]+')) AS w FROM k),
 h AS (SELECT chunk_id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 256 AS idx, CASE WHEN ('0x' || substr(sha256(w), 9, 2))::INT % 2 = 1 THEN 1 ELSE -1 END AS sign FROM w WHERE w <> ''),
 v AS (SELECT chunk_id, idx, sum(sign) AS value FROM h GROUP BY ALL HAVING sum(sign) <> 0), d AS (SELECT chunk_id, count(*) AS dims, max(abs(value)) AS most, sqrt(sum(value * value)) AS norm FROM v GROUP BY 1)
