@@ -74,15 +74,19 @@ def strategy(question: Column, uris: Column | None = None) -> Column:
 
 def template(question: Column) -> Column:
     """The template that a question asks for by the kinds it names and its cues; null if none fits."""
+
+    def of(kinds: Column) -> Column:
+        has = lambda kind: F.array_contains(kinds, kind)
+        return (
+            F.when(has("sig") & _says(question, ["tech-lead", "tech lead"]), "sig_tech_leads")
+            .when(has("sig") & _says(question, ["own", "kep"]), "sig_owned_keps")
+            .when(has("kep") & _says(question, ["own", "sig"]), "kep_owning_sig")
+            .when(has("person") & _says(question, ["sig", "lead", "chair"]), "person_led_sigs")
+            .when(has("sig"), "sig_owned_keps")
+        )
+
     kinds = F.transform(mentions(question), lambda x: x["kind"])
-    has = lambda kind: F.array_contains(kinds, kind)
-    return (
-        F.when(has("sig") & _says(question, ["tech-lead", "tech lead"]), "sig_tech_leads")
-        .when(has("sig") & _says(question, ["own", "kep"]), "sig_owned_keps")
-        .when(has("kep") & _says(question, ["own", "sig"]), "kep_owning_sig")
-        .when(has("person") & _says(question, ["sig", "lead", "chair"]), "person_led_sigs")
-        .when(has("sig"), "sig_owned_keps")
-    )
+    return F.element_at(F.transform(F.array(kinds), of), 1)  # what a question names is looked for once
 
 
 def sources(question: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftspark.functions import questions as Q
 from weftspark.functions import text as T
+from weftspark.operators.state import settle
 
 #: Personas with the highest rank that each may see.
 PERSONAS = [("public-reader", 1), ("member", 2), ("maintainer", 3)]
@@ -122,25 +123,25 @@ def bind_entities(chosen: DataFrame, linked: DataFrame, nodes: DataFrame) -> Dat
 
 
 def run_templates(bound: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(qid, template, id, methods): the nodes that each template finds for its bound id, each once; values are joined, never put into text."""
-    known = nodes.select("id", F.col("kind").alias("node_kind"))
-    out = None
-    for name, _, kinds, way in TEMPLATES:
-        a, b = ("src", "dst") if way == ">" else ("dst", "src")
-        hop = edges.where(F.col("kind").isin(kinds)).select(F.col(a).alias("at"), F.col(b).alias("to"), Q.method(F.col("kind")).alias("method"))
-        mine = bound.where(F.col("template") == name).select("qid", "template", F.col("id").alias("at"))
-        found = mine.join(hop, "at").join(known.withColumnRenamed("id", "to"), "to")
-        if name == "person_led_sigs":
-            found = found.where("node_kind = 'sig'")
-        found = found.groupBy("qid", "template", "to").agg(F.array_sort(F.collect_set("method")).alias("methods")).withColumnRenamed("to", "id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """(qid, template, id, methods): the nodes that each template finds for its bound id, each once; values are joined, never put into text.
+
+    Edges are read once, each as a step of the templates that follow it, and met by template and id.
+    """
+    steps = [
+        F.when(F.col("kind").isin(kinds), F.struct(F.lit(name).alias("template"), F.col("src" if way == ">" else "dst").alias("at"), F.col("dst" if way == ">" else "src").alias("to"), Q.method(F.col("kind")).alias("method")))
+        for name, _, kinds, way in TEMPLATES
+    ]
+    every = sorted({kind for _, _, kinds, _ in TEMPLATES for kind in kinds})
+    hop = edges.where(F.col("kind").isin(every)).select(F.inline(F.array_compact(F.array(*steps))))
+    found = bound.select("qid", "template", F.col("id").alias("at")).join(hop, ["template", "at"]).groupBy("qid", "template", "to").agg(F.array_sort(F.collect_set("method")).alias("methods"))
+    found = found.join(nodes.select(F.col("id").alias("to"), F.col("kind").alias("node_kind")), "to")
+    return found.where((F.col("template") != "person_led_sigs") | (F.col("node_kind") == "sig")).select("qid", "template", F.col("to").alias("id"), "methods")
 
 
 def governed(questions: DataFrame, linked: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(qid, template, outcome, answer): select, bind, run, answer; a question without a template or parameter is refused and runs nothing."""
-    chosen = questions.select("qid", "question", Q.template(F.col("question")).alias("template"))
-    bound = bind_entities(chosen.where("template is not null"), linked, nodes)
+    chosen = settle(questions.select("qid", "question", Q.template(F.col("question")).alias("template")))
+    bound = settle(bind_entities(chosen.where("template is not null"), linked, nodes).select("qid", "template", "id"))
     facts = run_templates(bound.where("id is not null"), edges, nodes).groupBy("qid").agg(F.array_sort(F.collect_set("id")).alias("facts"))
     rows = chosen.join(bound.select("qid", F.col("id").alias("bound")), "qid", "left").join(facts, "qid", "left")
     outcome = F.when(F.col("template").isNull(), "no_template").when(F.col("bound").isNull(), "unbound").otherwise("answered")
