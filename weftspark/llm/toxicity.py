@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftspark.llm.common import settle
 from weftspark.llm.textnum import Words
 
 WINDOW, STRIDE = 32, 16
@@ -30,8 +31,8 @@ DIM_WORD, DIM_CHAR, HIDDEN, ATTEND = 8, 8, 8, 8
 PLACES = 12
 #: Bytes of the longest word that is read whole; the pieces of a longer one begin every STEP bytes and have PIECE, whole characters each.
 LONGEST, PIECE, STEP = 64, 12, 6
-#: Bound on the training sample: documents of each label by smallest digest, and the characters that are read of each.
-SAMPLE, SPAN = 1500, 1 << 14
+#: Bounds on the training sample: documents of each label by smallest digest, and their characters; texts are read whole or not at all.
+SAMPLE, CHARS = 1500, 6 << 20
 EPOCHS = 12
 #: Windows that a network takes at once.
 AT_ONCE = 2048
@@ -328,12 +329,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
     return float(a), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, seed: int = 1) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int = SAMPLE, seed: int = 1, chars: int = CHARS) -> Network | float:
     """A network from the texts of at most `sample` documents of each label, by smallest digest of the id.
 
     docs has id_col and text_col, labels id_col and label_col. Ids are drawn before any
     text is read, by each task's smallest digests, and only the drawn documents' texts
-    are fetched. A text of more than SPAN characters gives one span of that many, drawn by digest.
+    are fetched. Of these, in the same order, as many are learned as have `chars` characters for each label; all their
+    windows count, wherever in a text they stand. A text that alone has more is left out.
     The network is fitted in one task of the executors, which holds no more than that sample.
 
     Labels other than 0 and 1 and null ids or labels teach nothing. An id with several labels counts
@@ -348,9 +350,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     drawn = [rows.where(F.col("y") == y).orderBy("h", "id").limit(sample) for y in (0, 1)]
     # at most 2 * sample rows of three numbers, by limit()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(drawn[0].union(drawn[1])), "id")
-    room = F.greatest(F.length("text") - SPAN + 1, F.lit(1))
-    span = F.substr("text", (F.pmod(F.xxhash64(F.lit(seed), "h"), room) + 1).cast("int"), F.lit(SPAN))
-    texts = texts.select("y", "h", "id", span.alias("text")).groupBy("y", "h", "id").agg(F.min("text").alias("text"))
+    texts = settle(texts.groupBy("y", "h", "id").agg(F.min("text").alias("text")))
+    sizes = texts.select("y", "h", "id", F.length("text").alias("n")).where(F.col("n") <= chars)
+    total = F.sum("n").over(Window.partitionBy("y").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0))
+    within = sizes.withColumn("total", total).where(F.col("total") <= chars).select("h", "id")
+    texts = texts.join(F.broadcast(within), ["h", "id"])  # at most 2 * sample rows of two numbers
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf["text"].fillna("") != ""].sort_values(["h", "id"])
