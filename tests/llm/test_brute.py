@@ -233,5 +233,26 @@ def test_the_pipeline_end_to_end(spark, small):
     assert found == {i for i, t, *_ in rows if not (t and "scum" in t) and i not in (2, 3)}
 
 
+def test_the_pipeline_goes_on_from_its_last_whole_stage(spark, small, tmp_path, monkeypatch):
+    at, _ = small
+    whole = sorted(map(tuple, corpus_pipeline.run(spark, at).collect()))
+    ran = []
+
+    def failing(spark, docs, sf_dir):
+        raise RuntimeError("lost")
+
+    def told(name, stage):
+        return name, lambda *a: ran.append(name) or stage(*a)
+
+    stages = [told(*s) for s in corpus_pipeline.STAGES]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:3], ("decontamination", failing), stages[4]])
+    with pytest.raises(RuntimeError, match="lost"):
+        corpus_pipeline.run(spark, at, str(tmp_path / "run"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, at, str(tmp_path / "run")).collect())) == whole
+    assert ran == ["toxicity", "line_dedup", "near_dedup", "decontamination", "mixing"]
+    assert [p.name for p in (tmp_path / "run").iterdir()] == ["mixing"]
+
+
 def test_registered_queries_name_the_operators():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))

@@ -97,3 +97,41 @@ def test_pieces_change_no_result(monkeypatch):
     monkeypatch.setattr(decontaminate, "CELLS", 500)
     assert all_found() == whole and len({r for r, *_ in whole}) == 60
     assert list(decontaminate._pieces(np.array([5, 5, 50, 1, 1]), np.array([0, 0, 1, 2, 3]), 12)) == [(0, 2), (2, 3), (3, 5)]
+
+
+def test_neighbours_of_several_dimensions(spark):
+    from weftspark.llm import neighbours
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4 if i % 5 else 3).round(3).tolist()) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0 or vec_id = 7"), k=5, shard=60).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q, own in found.items():
+        near = sorted((-float(np.dot(rows[q][1], v)), i) for i, v in rows if i != q and len(v) == len(rows[q][1]))[:5]
+        assert [r for r, *_ in sorted(own)] == [1, 2, 3, 4, 5] and all(len(rows[i][1]) == len(rows[q][1]) for _, i, _ in own)
+        hits += len({i for _, i in near} & {i for _, i, _ in own})
+    assert set(found) == {*range(0, 300, 20), 7} and hits >= 0.95 * 5 * len(found)
+
+
+def test_toxicity_learns_from_the_end_of_long_texts(spark):
+    from weftspark.llm import toxicity
+
+    rng = random.Random(6)
+    plain = lambda n: " ".join(rng.choice(["tree", "house", "river", "stone", "cloud", "light"]) for _ in range(n))
+    rows = [(i, plain(4000) + (" you vile rotten scum " if i % 2 else " ") + plain(20), i % 2) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs.select("doc_id", "toxic"), "doc_id", "text", "toxic", chars=1 << 20)
+    asked = spark.createDataFrame([(1, plain(3000) + " vile rotten scum"), (2, plain(3000))], "doc_id long, text string")
+    found = {r.doc_id: r.s for r in asked.select("doc_id", toxicity.score(model)("text").alias("s")).collect()}
+    assert found[1] > 0.5 > found[2]
+
+
+def test_unfinished_components_are_an_error(spark):
+    from weftspark.llm.components import components
+
+    chain = spark.range(200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    with pytest.raises(RuntimeError, match="not finished"):
+        components(chain, rounds=2)

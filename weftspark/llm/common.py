@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftspark.operators.state import settle
+from weftspark.operators.state import new_folder, settle
 
 __all__ = ["SPACES", "WORD", "ascii_lower", "new_folder", "settle", "table", "word_count"]
 
@@ -22,17 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """The path of a new folder where all executors read and write; only a local master may lack spark.checkpoint.dir."""
-    context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if shared is None:
-        if not (context.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="weftspark-")
-    return f"{shared}/{name}-{uuid.uuid4().hex}"
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone; every other code point stays."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -16,7 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Each round hangs the larger neighbours of every node on its smallest one, then
     the smaller ones; it ends when every node hangs on a root, after about log2 of
-    the longest chain rounds. Minima are pre-aggregated before the shuffle and joined
+    the longest chain rounds; more than `rounds` are an error. Minima are pre-aggregated before the shuffle and joined
     back, so a node with very many links is never gathered in one group. Rounds run
     in as many tasks as the counted links need, so that few links do not make many
     small files. Self links and nulls are dropped; an empty table gives an empty result.
@@ -50,6 +50,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if now == state:
             break
         state, count = now, now[0]
+    else:
+        raise RuntimeError(f"components are not finished after {rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -22,7 +22,7 @@ from weftspark.llm.common import settle
 
 DEGREE, BEAM, RELAX = 24, 64, 1.2
 #: Distinct vectors a shard has about, and queries that are searched at once.
-SHARD, BLOCK = 8192, 2048
+SHARD = 8192
 SEARCH_BEAM = 96
 
 
@@ -148,10 +148,12 @@ def nearest(
 
     A query's own id is no candidate of its. Null, all-zero and not finite vectors take
     no part, nor do null ids; of rows that repeat an id the first by vector counts.
-    Vectors must have the dimension that most have; others take no part. Equal vectors
+    Vectors meet those of their own dimension, each in its own shards. Equal vectors
     are one point of the graph, with the k + 1 smallest of their ids, which is all that
     k neighbours can need. Fewer than k candidates give all of them. Empty tables give
     an empty result.
+
+    Each shard's index is moved once, to the task that answers for it; queries are sent to every shard and pass it in batches.
     """
 
     def clean(df: DataFrame) -> DataFrame:
@@ -171,15 +173,10 @@ def nearest(
         .agg(F.array_sort(F.collect_list("id")).alias("ids"))
     )
     points = settle(points)
-    shape = points.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if shape is None:
-        return rows.select(
-            F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias(id_col), F.lit(0.0).alias("score")
-        ).limit(0)
-    dim, total = shape["d"], shape["count"]
-    shards = max(1, round(total / shard))
-    points = points.where(F.size("v") == dim)
-    number = F.pmod("h", F.lit(shards)).cast("int")
+    dims = points.groupBy(F.size("v").alias("d")).count()
+    dims = settle(dims.select("d", F.greatest(F.lit(1), F.round(F.col("count") / shard)).cast("int").alias("shards")))  # a row for each dimension
+    shards = dims.agg(F.sum("shards")).first()[0] or 1
+    name = F.concat_ws("-", "d", F.pmod("h", F.col("shards")))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("first", kind="stable")
@@ -201,31 +198,25 @@ def nearest(
         )
 
     index = settle(
-        points.select(number.alias("shard"), "v", "ids", F.element_at("ids", 1).alias("first"))
+        points.join(F.broadcast(dims), F.size("v") == F.col("d"))
+        .select(name.alias("shard"), "v", "ids", F.element_at("ids", 1).alias("first"))
         .repartition(4 * shards, "shard")  # a shard is little data and much work, so small partitions must not be joined
         .groupBy("shard")
-        .applyInPandas(grow, "shard int, points binary, graph binary, entry int, sizes binary, ids binary, exact binary")
-    )
-    asked = clean(queries).where(F.size("v") == dim)
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = (
-        asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-        .withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-        .select("shard", "block", "id", "v")
+        .applyInPandas(grow, "shard string, points binary, graph binary, entry int, sizes binary, ids binary, exact binary")
     )
+    asked = clean(queries).join(F.broadcast(dims), F.size("v") == F.col("d"))
+    asked = asked.withColumn("h", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select(F.concat_ws("-", "d", "h").alias("shard"), "id", "v")
 
-    def answer(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": [], "id": [], "score": []}).astype({"query_id": "int64", "id": "int64"})
-        if not len(left) or not len(right):
-            return none
-        row = right.iloc[0]
+    def answered(row: pd.Series, left: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest of one shard for some queries."""
+        q, own = np.stack(left.v.to_numpy()), left.id.to_numpy()
+        dim = q.shape[1]
         x = np.frombuffer(row.points, np.float32).reshape(-1, dim + 1)
         exact = np.frombuffer(row.exact, np.float64).reshape(-1, dim)
         graph = np.frombuffer(row.graph, np.int32).reshape(len(x), -1)
         sizes, ids = np.frombuffer(row.sizes, np.int32), np.frombuffer(row.ids, np.int64)
         edges = np.concatenate([[0], np.cumsum(sizes)])
         norms = (x**2).sum(1)
-        own, q = left.id.to_numpy(), np.stack(left.v.to_numpy())
         out = []
         for at in range(0, len(q), 512):
             part = q[at : at + 512]
@@ -241,13 +232,24 @@ def nearest(
             out.append(one.groupby("query_id").head(k))
         return pd.concat(out)
 
-    # one cogroup for each shard and block of queries: the shard's row is sent to each of its blocks
-    spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = (
-        asked.groupBy("shard", "block")
-        .cogroup(spread.groupBy("shard", "block"))
-        .applyInPandas(answer, "query_id long, id long, score double")
+    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each shard the index comes first, then its queries."""
+        index = None
+        for batch in batches:
+            for shard_, rows in batch.groupby("shard", sort=False):
+                first = rows[rows.points.notna()]
+                if len(first):
+                    index = first.iloc[0]
+                rows = rows[rows.points.isna()]
+                if len(rows) and index is not None and index.shard == shard_:
+                    yield answered(index, rows)
+
+    none = [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in index.columns if c != "shard"]
+    both = index.select(F.lit(0).alias("late"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"), *index.columns).unionByName(
+        asked.select(F.lit(1).alias("late"), F.col("id").cast("long").alias("id"), "v", "shard", *none)
     )
+    both = both.repartition(4 * shards, "shard").sortWithinPartitions("shard", "late", "id")
+    found = both.mapInPandas(answer, "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return (
         found.withColumn("rank", F.row_number().over(best))
