@@ -6,15 +6,13 @@ and columns beside COLUMNS, which it leaves out; of an empty table it makes an e
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftspark.llm import decontaminate, line_dedup, near_dedup, queries, toxicity
-from weftspark.llm.common import table
+from weftspark.llm.common import new_folder, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -82,21 +80,20 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to `documents`, by way of Parquet in the folder that all executors share; each stage's files go when the next one's are written."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if shared is None:
-        if not (spark.sparkContext.master or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="weftspark-")
-    docs = table(spark, sf_dir, "documents")
-    at = f"{shared}/pipeline-{uuid.uuid4().hex}"
-    before = None
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+def run(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """The stages applied to `documents`, by way of Parquet in the folder that all executors share; each stage's files go when the next one's are written.
+
+    at: the folder of this run. A run that died goes on from its last whole stage if it is named again.
+    """
+    at = at or new_folder(spark, "pipeline")
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
+    files = path("").getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [name for name, _ in STAGES]
+    done = max((k + 1 for k, name in enumerate(names) if files.exists(path(f"{name}/_SUCCESS"))), default=0)
+    docs = spark.read.parquet(f"{at}/{names[done - 1]}") if done else table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES[done:], done):
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{name}")
         docs = spark.read.parquet(f"{at}/{name}")
-        if before is not None:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/{before}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        before = name
+        if k:
+            files.delete(path(names[k - 1]), True)
     return docs
