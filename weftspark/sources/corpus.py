@@ -33,8 +33,8 @@ def community(spark: SparkSession, root: str) -> DataFrame:
     index = found.where("path = 'sigs.yaml'").withColumn("payload", D.yaml_json("text"))
     if index.isEmpty():
         raise FileNotFoundError(f"no sigs.yaml in {root}")
-    listed = index.select(F.posexplode(F.from_json("payload", "sigs array<string>")["sigs"]).alias("pos", "entry"))
-    listed = listed.select("pos", F.get_json_object("entry", "$.dir").alias("dir")).where("dir is not null")
+    listed = index.select(F.posexplode(F.try_variant_get(F.try_parse_json("payload"), "$.sigs", "array<variant>")).alias("pos", "entry"))
+    listed = listed.select("pos", F.try_variant_get("entry", "$.dir", "string").alias("dir")).where("dir is not null")
     listed = listed.groupBy("dir").agg(F.min("pos").alias("pos"))
     charters = listed.join(found, F.concat("dir", F.lit("/README.md")) == F.col("path"))
     order = lambda a, b, c: F.struct(F.lit(a).alias("source"), b.cast("string").alias("place"), F.lit(c).alias("file"))
@@ -97,31 +97,32 @@ def extract(docs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     props = lambda **c: F.map_filter(F.create_map(*[x for k, v in c.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
     node = lambda df, id_, kind, p=told: df.select(*tag, id_.alias("id"), F.lit(kind).alias("kind"), p.alias("props"))
     edge = lambda df, a, b, kind: df.select(*tag, a.alias("src"), b.alias("dst"), kind.alias("kind"))
-    text = lambda column, path: F.get_json_object(column, f"$.{path}")
+    text = lambda column, path: F.try_variant_get(column, f"$.{path}", "string")
+    several = lambda column, path, kind="variant": F.try_variant_get(column, f"$.{path}", f"array<{kind}>")
+    yaml = lambda column: F.try_parse_json(D.yaml_json(column))
+    docs = docs.withColumn("payload", F.try_parse_json("payload"))  # one parse of each document; fields are read from the variant
 
     # the index: groups, their leads and their subprojects
-    index = docs.where("kind = 'sigs_index'").select(*tag, F.explode(F.from_json("payload", "sigs array<string>")["sigs"]).alias("entry"))
+    index = docs.where("kind = 'sigs_index'").select(*tag, F.explode(several("payload", "sigs")).alias("entry"))
     index = index.withColumn("slug", text("entry", "dir")).where("slug is not null").withColumn("sig", _sig(F.col("slug")))
-    lead = F.from_json("entry", "leadership struct<chairs:array<string>,tech_leads:array<string>>")["leadership"]
     role = lambda kind, members: F.transform(members, lambda m: F.struct(F.lit(kind).alias("kind"), text(m, "github").alias("who"), text(m, "name").alias("name")))
-    leads = index.withColumn("lead", lead)
-    leads = leads.select(*tag, "sig", F.explode(F.array(role("CHAIRS", F.col("lead")["chairs"]), role("TECH_LEADS", F.col("lead")["tech_leads"]))).alias("m"))
+    leads = index.select(*tag, "sig", F.explode(F.array(role("CHAIRS", several("entry", "leadership.chairs")), role("TECH_LEADS", several("entry", "leadership.tech_leads")))).alias("m"))
     leads = leads.select(*tag, F.col("sig").alias("at"), F.inline("m")).where("who is not null")
-    subs = index.select(*tag, "slug", "sig", F.explode(F.from_json("entry", "subprojects array<string>")["subprojects"]).alias("s"))
+    subs = index.select(*tag, "slug", "sig", F.explode(several("entry", "subprojects")).alias("s"))
     subs = subs.withColumn("name", text("s", "name")).where("name is not null")
     sub_id = F.concat(F.lit("subproject:"), _group(F.col("slug")), F.lit("/"), T.slug(F.col("name")))
 
     # charters
-    charters = docs.where("kind = 'sig_readme'").select(*tag, text("payload", "slug").alias("slug"), D.yaml_json(D.markdown(F.col("text"))["block"]).alias("front"))
+    charters = docs.where("kind = 'sig_readme'").select(*tag, text("payload", "slug").alias("slug"), yaml(D.markdown(F.col("text"))["block"]).alias("front"))
 
     # proposals with YAML: the folder's number counts only where the YAML states none
-    keps = docs.where("kind = 'kep_yaml'").select(*tag, "payload", D.yaml_json("text").alias("y"))
+    keps = docs.where("kind = 'kep_yaml'").select(*tag, "payload", yaml("text").alias("y"))
     number = F.coalesce(text("y", "kep-number"), text("payload", "dir_number"))  # a null number counts as none
     keps = keps.select(
         *tag, "y", T.numbered(number).alias("kep"), F.coalesce(F.nullif(text("y", "owning-sig"), F.lit("")), text("payload", "owning_sig_dir")).alias("owner"),
     )
-    listed = F.from_json("y", "authors array<string>, approvers array<string>")
-    people = keps.withColumn("l", listed).select(*tag, "kep", F.explode(F.map_from_arrays(F.array(F.lit("AUTHORS"), F.lit("APPROVES")), F.array("l.authors", "l.approvers"))).alias("kind", "all"))
+    people = keps.select(*tag, "kep", several("y", "authors", "string").alias("a"), several("y", "approvers", "string").alias("b"))
+    people = people.select(*tag, "kep", F.explode(F.map_from_arrays(F.array(F.lit("AUTHORS"), F.lit("APPROVES")), F.array("a", "b"))).alias("kind", "all"))
     people = people.select(*tag, F.col("kep").alias("at"), "kind", F.explode("all").alias("who"), F.lit(None).cast("string").alias("name"))
 
     # proposals' texts; those without YAML state owner and authors
