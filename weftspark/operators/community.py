@@ -39,32 +39,31 @@ def _turn(both: DataFrame, state: DataFrame, double: float, turns: int, turn: in
     has the smaller name, so that the two don't change places.
     """
     sums = state.groupBy("c").agg(F.sum("k").alias("tot"), F.count("*").alias("held"))
-    toward = both.join(state.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
-    mine = state.select("a", F.col("c").alias("now"), "k", "own").join(sums.select(F.col("c").alias("now"), F.col("held").alias("beside")), "now")
+    placed = state.join(sums, "c")
+    beside = placed.select(F.col("a").alias("b"), "c", "tot", "held")
+    toward = both.join(beside, "b").groupBy("a", "c").agg(F.sum("w").alias("w"), F.first("tot").alias("tot"), F.first("held").alias("held"))
+    mine = placed.select("a", F.col("c").alias("now"), "k", "own", F.col("tot").alias("own_tot"), F.col("held").alias("beside"))
     stays = F.col("c") == F.col("now")
     gain = F.col("w") - F.col("k") * (F.col("tot") - F.when(stays, F.col("k")).otherwise(0)) / double
-    choice = toward.join(mine.select("a", "now", "k", "beside"), "a").join(sums, "c").withColumn("gain", gain)
     may = ~((F.col("beside") == 1) & (F.col("held") == 1) & (F.col("c") > F.col("now"))) & ~stays
-    told = choice.groupBy("a").agg(
+    same = [F.first(c).alias(c) for c in ("now", "k", "own", "own_tot")]
+    choice = mine.join(toward, "a", "left").withColumn("gain", gain).groupBy("a").agg(
+        *same,
         F.min(F.when(may, F.struct((-F.col("gain")).alias("loss"), "c"))).alias("best"),
         F.max(F.when(stays, F.col("gain"))).alias("stay"),
-        F.max(F.when(stays, F.col("w"))).alias("inner"),
+        F.coalesce(F.max(F.when(stays, F.col("w"))), F.lit(0.0)).alias("inner"),
     )
-    # without a link into its own community a node gains nothing there but what it weighs on the others
     goes = F.pmod(F.xxhash64("a", F.lit(turn // turns)), F.lit(turns)) == turn % turns
-    alone = -F.col("k") * (F.col("tot") - F.col("k")) / double
-    moved = mine.join(told, "a", "left").join(sums.select(F.col("c").alias("now"), "tot"), "now")
-    better = -F.col("best.loss") > F.coalesce("stay", alone) + 1e-12
-    return moved.select(
-        "a", F.when(goes & F.coalesce(better, F.lit(False)), F.col("best.c")).otherwise(F.col("now")).alias("c"), "k", "own", "now", F.coalesce("inner", F.lit(0.0)).alias("inner")
-    )
+    alone = -F.col("k") * (F.col("own_tot") - F.col("k")) / double  # without a link into its own community a node only weighs on the others there
+    better = goes & F.coalesce(-F.col("best.loss") > F.coalesce("stay", alone) + 1e-12, F.lit(False))
+    return choice.select("a", F.when(better, F.col("best.c")).otherwise(F.col("now")).alias("c"), "k", "own", "now", "inner")
 
 
-def _measured(moved: DataFrame, double: float) -> tuple[float, int]:
-    """(modularity before the turn, how many moved in it)."""
-    sums = moved.groupBy("now").agg(F.sum("k").alias("tot"), F.sum(F.col("inner") + F.col("own")).alias("within"), F.sum((F.col("c") != F.col("now")).cast("long")).alias("went"))
-    within, squares, went = sums.agg(F.sum("within"), F.sum(F.col("tot") ** 2), F.sum("went")).first()
-    return within / double - squares / double**2, went
+def _measured(moved: DataFrame, double: float) -> float:
+    """The modularity before the turn."""
+    sums = moved.groupBy("now").agg(F.sum("k").alias("tot"), F.sum(F.col("inner") + F.col("own")).alias("within"))
+    within, squares = sums.agg(F.sum("within"), F.sum(F.col("tot") ** 2)).first()
+    return within / double - squares / double**2
 
 
 def _level(links: DataFrame, double: float) -> tuple[DataFrame, float]:
@@ -77,20 +76,19 @@ def _level(links: DataFrame, double: float) -> tuple[DataFrame, float]:
     own = links.where("a = b").select("a", (2 * F.col("w")).alias("own"))
     degrees = both.groupBy("a").agg(F.sum("w").alias("k")).join(own, "a", "full")
     state = settle(degrees.select("a", F.col("a").alias("c"), (F.coalesce("k", F.lit(0.0)) + F.coalesce("own", F.lit(0.0))).alias("k"), F.coalesce("own", F.lit(0.0)).alias("own")))
-    turns, turn, kept, before, went = 2, 0, state, None, None
+    turns, turn, kept, before = 2, 0, state, None
     while True:
         moved = settle(_turn(both, state, double, turns, turn))
-        q, moves = _measured(moved, double)
         if turn % turns == 0:
+            q = _measured(moved, double)
             if before is not None and q < before + LEAST_GAIN:
-                if q >= before or went == 0:
+                if q >= before:
                     return state.select("a", "c"), q
                 if turns == MOST_TURNS:
                     return kept.select("a", "c"), before
-                turns, turn, state, before, went = turns * 2, 0, kept, None, None
+                turns, turn, state, before = turns * 2, 0, kept, None
                 continue
-            kept, before, went = state, q, 0
-        went += moves
+            kept, before = state, q
         state, turn = moved.select("a", "c", "k", "own"), turn + 1
 
 

@@ -243,6 +243,36 @@ def schema_edges(spark, d):
     return ingest.schema_edges(said.join(_candidates(spark, d).select("cid"), "cid", "left_semi"), judged, held)[0]
 
 
+@query(f"""WITH {_CLAIM_SQL}, line AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS cid, min(l_shipdate)::DATE::VARCHAR AS doc FROM lineitem GROUP BY 1)
+SELECT cid, coalesce(rule, CASE WHEN m <> 6 AND o IN (SELECT o_orderkey FROM orders) AND p IN (SELECT p_partkey FROM part) THEN 'accepted' ELSE 'ungrounded' END) AS verdict, doc, 'line ' || cid AS span FROM judged JOIN line USING (cid)""")
+def extraction_traces(spark, d):
+    """The trace of every claim: which rule it broke, that it is not grounded, or that it was accepted."""
+    from weftspark.operators import grounding
+
+    lines = table(spark, d, "lineitem").groupBy(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("cid")).agg(F.min("l_shipdate").alias("at"))
+    said = lines.select("cid", F.to_date("at").cast("string").alias("doc"), F.concat(F.lit("line "), "cid").alias("span"))
+    judged = _verdicts(spark, d)
+    held = grounding.ground(judged.where("rule is null"), graph.nodes(spark, d))
+    return ingest.schema_edges(said.join(_candidates(spark, d).select("cid"), "cid", "left_semi"), judged, held)[1]
+
+
+@query("""WITH c AS (SELECT vec_id AS chunk_id, (['a', 'b'])[vec_id % 2 + 1] AS source, vec_id // 4 AS path, label FROM embeddings),
+k AS (SELECT *, source = 'b' AND path % 5 = 0 AS renewed FROM c WHERE NOT (source = 'a' AND path % 3 = 0))
+SELECT min(chunk_id) AS chunk_id, source, 'p' || path AS doc_path, -1 AS label FROM k WHERE renewed GROUP BY source, path UNION ALL SELECT chunk_id, source, 'p' || path, label FROM k WHERE NOT renewed""")
+def stored_chunks(spark, d):
+    """A stored table of chunks after some documents were deleted by source and path together, others were indexed anew, and it was compacted."""
+    store = Store(spark, state.new_folder(spark, "chunks"), {"chunks": ["source", "doc_path"]})
+    path = F.floor(F.col("vec_id") / 4)
+    chunks = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.when(F.col("vec_id") % 2 == 0, "a").otherwise("b").alias("source"), F.concat(F.lit("p"), path.cast("string")).alias("doc_path"), "label")
+    number = F.substring("doc_path", 2, 18).cast("long")
+    store.commit({"chunks": chunks}, whole=True)
+    store.commit(gone={"chunks": chunks.where((F.col("source") == "a") & (number % 3 == 0))})
+    anew = chunks.where((F.col("source") == "b") & (number % 5 == 0)).groupBy("source", "doc_path").agg(F.min("chunk_id").alias("chunk_id"))
+    store.commit({"chunks": anew.select("chunk_id", "source", "doc_path", F.lit(-1).cast(chunks.schema["label"].dataType).alias("label"))})
+    store.compact("chunks")
+    return store.read("chunks")
+
+
 @query("SELECT vec_id AS chunk_id, (['a','b'])[vec_id % 2 + 1] AS source, 'p' || (vec_id // 4) AS doc_path FROM embeddings WHERE NOT (vec_id % 2 = 0 AND vec_id // 4 % 3 = 0)")
 def delete_chunks(spark, d):
     """Chunks of a table without those of some documents, told by source and path together."""
