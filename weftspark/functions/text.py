@@ -50,8 +50,9 @@ def stripped(text: Column) -> Column:
 
 
 def pii_counts(text: Column) -> dict[str, Column]:
-    """n_<kind> of each detector; kinds may overlap."""
-    return {f"n_{k}": F.regexp_count(text, F.lit(p)).cast("long") for k, p in DETECTORS.items()}
+    """n_<kind> of each detector; kinds may overlap. A text without an @ or a digit is not searched for what needs one."""
+    counted = lambda kind, pattern: F.when(text.contains("@") if kind == "email" else text.rlike("[0-9]"), F.regexp_count(text, F.lit(pattern))).when(text.isNotNull(), 0)
+    return {f"n_{k}": counted(k, p).cast("long") for k, p in DETECTORS.items()}
 
 
 def lines(text: Column) -> Column:
