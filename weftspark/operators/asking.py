@@ -127,10 +127,10 @@ def bind_entities(chosen: DataFrame, linked: DataFrame, nodes: DataFrame) -> Dat
     return tried.select("qid", "template", hit["entity_id"].alias("id"), F.concat(F.lit("link:"), hit["via"]).alias("via"), F.transform(before, lambda x: x["entity_id"]).alias("dropped"))
 
 
-def run_templates(bound: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(qid, template, id, methods): the nodes that each template finds for its bound id, each once; values are joined, never put into text.
+def template_facts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(template, at, id, methods): the nodes that each template finds for each id it may be bound to, each once.
 
-    Edges are read once, each as a step of the templates that follow it, and met by template and id.
+    Edges are read once, each as a step of the templates that follow it.
     """
     steps = [
         F.when(F.col("kind").isin(kinds), F.struct(F.lit(name).alias("template"), F.col("src" if way == ">" else "dst").alias("at"), F.col("dst" if way == ">" else "src").alias("to"), Q.method(F.col("kind")).alias("method")))
@@ -138,9 +138,18 @@ def run_templates(bound: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataF
     ]
     every = sorted({kind for _, _, kinds, _ in TEMPLATES for kind in kinds})
     hop = edges.where(F.col("kind").isin(every)).select(F.inline(F.array_compact(F.array(*steps))))
-    found = bound.select("qid", "template", F.col("id").alias("at")).join(hop, ["template", "at"]).groupBy("qid", "template", "to").agg(F.array_sort(F.collect_set("method")).alias("methods"))
+    found = hop.groupBy("template", "at", "to").agg(F.array_sort(F.collect_set("method")).alias("methods"))
     found = found.join(nodes.select(F.col("id").alias("to"), F.col("kind").alias("node_kind")), "to")
-    return found.where((F.col("template") != "person_led_sigs") | (F.col("node_kind") == "sig")).select("qid", "template", F.col("to").alias("id"), "methods")
+    return found.where((F.col("template") != "person_led_sigs") | (F.col("node_kind") == "sig")).select("template", "at", F.col("to").alias("id"), "methods")
+
+
+def run_templates(bound: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(qid, template, id, methods): the nodes that each template finds for its bound id, each once; values are joined, never put into text.
+
+    What a template finds is worked out once for each id, and met by the questions that bind it.
+    """
+    asked = bound.select("qid", "template", F.col("id").alias("at")).distinct()
+    return meet(asked, template_facts(edges, nodes), ["template", "at"]).select("qid", "template", "id", "methods")
 
 
 def governed(questions: DataFrame, linked: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
