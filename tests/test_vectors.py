@@ -1,6 +1,7 @@
 """Searches against numpy: ties, filters, groups; cells with and without a filter; similarity joins."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +126,29 @@ def test_a_bound_spares_most_pairs(spark):
     chunks = spark.createDataFrame(rows, "chunk_id long, v array<double>")
     questions = chunks.where("chunk_id < 40").select(F.col("chunk_id").alias("qid"), F.col("v").alias("q"))
     assert similar.candidates(questions, chunks, 0.9).count() < similar.candidates(questions, chunks, 0.3).count() < 40 * 400
+
+
+def test_search_in_blocks_makes_each_vector_once_and_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.integers(-2, 3, (500, 16)).astype(float)
+    v[40:60], v[3] = v[40], 0
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<double>")
+    def vector(ids: pd.Series) -> pd.Series:
+        made.add(len(ids))
+        return pd.Series([None if i == 7 else v[i].tolist() for i in ids])
+
+    monkeypatch.setattr(vectors, "HELD", 200)
+    monkeypatch.setattr(vectors, "COLUMNS", 64)
+    chunks = spark.range(500).select(F.col("id").alias("chunk_id"), vector("id").alias("v"))
+    questions = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 500, 9)], "qid long, q array<double>")
+    found = {}
+    for r in vectors.knn(questions, chunks, 12, digits=9).collect():
+        found.setdefault(r.qid, []).append((r["rank"], r.chunk_id))
+    length = np.linalg.norm(v, axis=1)
+    for i in range(0, 500, 9):
+        score = np.round(np.divide(v @ v[i], length * length[i], out=np.zeros(500), where=length * length[i] > 0), 9)
+        score[7] = -2
+        assert [c for _, c in sorted(found[i])] == np.lexsort((np.arange(500), -score))[:12].tolist()
+    assert made.value == 500
