@@ -152,3 +152,39 @@ def test_search_in_blocks_makes_each_vector_once_and_equals_brute_force(spark, m
         score[7] = -2
         assert [c for _, c in sorted(found[i])] == np.lexsort((np.arange(500), -score))[:12].tolist()
     assert made.value == 500
+
+
+def test_pairs_above_a_bound_are_not_moved_and_grouped_in_their_block(spark):
+    rng = np.random.default_rng(6)
+    v = rng.integers(0, 3, (120, 12)).astype(float)
+    chunks = spark.createDataFrame([(i, f"d{i % 40}", v[i].tolist()) for i in range(120)], "chunk_id long, s string, v array<double>")
+    questions = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 120, 11)], "qid long, q array<double>")
+    found = {(r.qid, r.s): r.score for r in similar.within(questions, chunks, 0.6, extra=["s"], by="s").collect()}
+    length, expected = np.linalg.norm(v, axis=1), {}
+    for i in range(0, 120, 11):
+        for j in range(120):
+            score = round(float(v[i] @ v[j] / length[i] / length[j]), 9)
+            if score >= 0.6:
+                expected[i, f"d{j % 40}"] = max(score, expected.get((i, f"d{j % 40}"), 0))
+    assert found.keys() == expected.keys() and all(abs(found[p] - s) < 1e-8 for p, s in expected.items())
+
+
+def test_a_pair_of_shared_buckets_counts_once(spark, monkeypatch):
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector
+
+    monkeypatch.setattr(vectors, "HELD", 100)
+    v = np.random.default_rng(7).normal(size=(240, 8))
+    chunks = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, v array<double>")
+    questions = chunks.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("qid"), F.col("v").alias("q"))
+    unit = spark.createDataFrame([(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(v)], "id long, v array<double>").select("id", array_to_vector("v").alias("u"))
+    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=0.5, numHashTables=3, seed=7).fit(unit)
+    h = {r.id: [x[0] for x in r.h] for r in model.transform(unit).collect()}
+    found = {}
+    for r in vectors.approximate(questions, chunks, 5, tables=3).collect():
+        found.setdefault(r.qid, []).append((r["rank"], r.chunk_id, r.seen))
+    near = v / np.linalg.norm(v, axis=1)[:, None]
+    for i in range(0, 240, 20):
+        met = [j for j in range(240) if any(a == b for a, b in zip(h[i], h[j], strict=True))]
+        best = sorted(met, key=lambda j: (-float(near[i] @ near[j]), j))[:5]
+        assert sorted(found[i]) == [(n + 1, j, len(met)) for n, j in enumerate(best)]
