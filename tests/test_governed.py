@@ -154,3 +154,19 @@ def test_communities_of_two_triangles(spark):
     rows = community.numbered(community.louvain(nodes, spark.createDataFrame(edges, "src string, dst string"))).collect()
     found = {r.id: r.community for r in rows}
     assert len(rows) == 7 and found["a1"] == found["a2"] == found["a3"] == "community-0" and found["b1"] == found["b2"] == found["b3"] == "community-1" and found["lone"] == "community-2"
+
+
+def test_sizes_of_subgraphs_count_hubs_once_and_equal_the_walk(spark):
+    import random
+
+    rng = random.Random(4)
+    node = lambda: f"urn:n:{min(rng.randrange(40), rng.randrange(40), rng.randrange(40))}"
+    rows = [("g", node(), rng.choice("pq"), node(), "iri") for _ in range(90)] + [("g", node(), "name", f"urn:{rng.randrange(9)}", "string") for _ in range(40)] + [("g", "urn:n:0", "p", "urn:n:0", "iri")]
+    quads = spark.createDataFrame(rows, "g string, s string, p string, o string, o_type string")
+    roots = spark.createDataFrame([(i, f"urn:n:{i}") for i in range(0, 44)], "qid int, uri string")
+    edges = {}
+    for r in documents.subgraph(roots, quads.select("g", "s", "p", "o", "o_type"))[1].collect():
+        edges.setdefault(r.qid, set()).add((r.subject, r.predicate, r.object))
+    uri = {(s, p, o): t == "iri" for _, s, p, o, t in rows}
+    expected = {(q, len(e), len({o for s, p, o in e if uri[s, p, o]}), len({o for s, p, o in e if not uri[s, p, o]}), len({s for s, _, _ in e})) for q, e in edges.items()}
+    assert {tuple(r) for r in documents.subgraph_sizes(roots, quads, hub=6).collect()} == expected

@@ -350,3 +350,48 @@ def subgraph(roots: DataFrame, quads: DataFrame, hops: int = 2) -> tuple[DataFra
     told = seen.select("qid", F.col("at").alias("uri")).join(facts, "uri", "left").select("qid", "uri", F.coalesce("type", F.lit("")).alias("type"), F.coalesce("name", last).alias("label"))
     leaves = edges.where("not is_uri").select("qid", F.col("o").alias("uri"), F.lit("literal").alias("type"), F.substring("o", 1, 60).alias("label")).distinct()
     return told.unionByName(leaves), edges.select("qid", F.col("s").alias("subject"), F.col("p").alias("predicate"), F.col("o").alias("object"))
+
+
+#: A node with more edges is a hub, whose edges are counted once for all questions that reach it.
+HUB = 1000
+
+
+def subgraph_sizes(roots: DataFrame, quads: DataFrame, hub: int = HUB) -> DataFrame:
+    """(qid, edges, targets, leaves, subjects): how many edges `subgraph` finds within two hops, and how many URIs and literals as objects and subjects they have.
+
+    A node with more than `hub` edges is not walked for each question: what the hubs of a
+    question hold is counted once for each set of hubs, and the other edges of the question
+    count as far as the hubs don't hold the same.
+    """
+    is_uri = (F.col("o_type") == "iri") & F.col("o").rlike("^(http:|https:|urn:)")
+    rows = settle(quads.select("s", "p", "o", is_uri.alias("is_uri")).distinct())
+    both = rows.select(F.col("s").alias("at"), "s", "p", "o", "is_uri").unionByName(rows.where("is_uri and s <> o").select(F.col("o").alias("at"), "s", "p", "o", "is_uri"))
+    both = settle(both)
+    hubs = settle(both.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("at"))
+    light = settle(both.join(hubs, "at", "left_anti"))
+    start = settle(roots.select("qid", F.col("uri").alias("at")).distinct())
+    # the first hop: the ends of a root's edges, walked in full, as a root is a node of its own
+    ends = start.join(both, "at").select("qid", F.inline(F.array(F.struct(F.col("s").alias("at")), F.struct(F.when(F.col("is_uri"), F.col("o")).alias("at")))))
+    front = settle(ends.where("at is not null").unionByName(start).distinct())
+    sets = settle(front.join(hubs, "at", "left_semi").groupBy("qid").agg(F.array_sort(F.collect_set("at")).alias("hubs")))
+    every = sets.select("hubs").distinct()
+    held = settle(every.select("hubs", F.explode("hubs").alias("at")).join(both, "at").select("hubs", "s", "p", "o", "is_uri").distinct())
+    none = F.array().cast("array<string>")
+    near = front.join(light, "at").select("qid", "s", "p", "o", "is_uri").distinct().join(sets, "qid", "left").withColumn("hubs", F.coalesce("hubs", none))
+    extra = settle(near.join(held.select("hubs", "s", "p", "o"), ["hubs", "s", "p", "o"], "left_anti"))
+
+    def parts(df: DataFrame) -> dict[str, DataFrame]:
+        key = [c for c in ("qid", "hubs") if c in df.columns]
+        return {
+            "edges": df.select(*key, F.struct("s", "p", "o").alias("x")), "targets": df.where("is_uri").select(*key, F.col("o").alias("x")),
+            "leaves": df.where("not is_uri").select(*key, F.col("o").alias("x")), "subjects": df.select(*key, F.col("s").alias("x")),
+        }
+
+    whole, more = parts(held), parts(extra)
+    found = front.select("qid").distinct().join(sets, "qid", "left").withColumn("hubs", F.coalesce("hubs", none))
+    for name in ("edges", "targets", "leaves", "subjects"):
+        once = whole[name].distinct()
+        sums = once.groupBy("hubs").agg(F.count("*").alias("_held"))
+        adds = more[name].distinct().join(once, ["hubs", "x"], "left_anti").groupBy("qid").agg(F.count("*").alias("_more"))
+        found = found.join(sums, "hubs", "left").join(adds, "qid", "left").withColumn(name, F.coalesce("_held", F.lit(0)) + F.coalesce("_more", F.lit(0))).drop("_held", "_more")
+    return found.where("edges > 0").select("qid", "edges", "targets", "leaves", "subjects")
