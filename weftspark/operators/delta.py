@@ -74,22 +74,28 @@ def reconcile_rows(store: DataFrame, scratch: DataFrame, removed: DataFrame, key
     them key by key, and what a lost document alone had said stays until a rebuild. sources
     are what stands before the first / of the surviving documents. Rows that neither lose nor gain anything are left out.
     """
-    plan = reconcile(store, scratch, removed, keys)
-    pairs = lambda df: df.select(*keys, F.explode("props").alias("k", "v")).groupBy(*keys, "k").agg(F.max("v").alias("v"))
-    told = scratch.select(*keys, "props")
-    concerned = plan.select(*keys).unionByName(told.select(*keys)).distinct()
-    old = pairs(store.join(concerned, keys, "left_semi")).withColumnRenamed("v", "was")
-    both = old.join(pairs(told).withColumnRenamed("v", "now"), [*keys, "k"], "full_outer")
-    props = both.groupBy(*keys).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", F.coalesce("now", "was").alias("v"))))).alias("props"),
-        F.count_if(F.col("now").isNotNull() & ~F.col("now").eqNullSafe(F.col("was"))).alias("n_props"),
-    )
-    surviving = store.join(concerned, keys, "left_semi").join(removed.select("doc").distinct(), "doc", "left_anti").select(*keys, "doc").unionByName(scratch.select(*keys, "doc"))
-    docs = surviving.groupBy(*keys).agg(F.array_sort(F.collect_set("doc")).alias("docs"))
-    found = concerned.join(props, keys, "left").join(docs, keys, "left").join(plan.select(*keys, F.col("action").alias("planned")), keys, "left")
-    action = F.when(F.col("docs").isNull(), F.when(F.col("planned") == "delete", "delete")).when((F.col("planned") == "upsert") | (F.col("n_props") > 0), "upsert")
+    gone = removed.select("doc").distinct().withColumn("gone", F.lit(True))
+    told = F.when(F.size("props") > 0, F.map_entries("props"))
+    none = F.lit(None).cast("array<struct<key:string,value:string>>")
+    old = store.select(*keys, "doc", "props").join(gone, "doc", "left")
+    old = old.select(*keys, "doc", F.lit(True).alias("had"), F.col("gone").isNull().alias("has"), told.alias("was"), none.alias("now"))
+    new = scratch.select(*keys, "doc", F.lit(False).alias("had"), F.lit(True).alias("has"), none.alias("was"), told.alias("now"))
+    rows = old.unionByName(new).dropna(subset=keys).repartition(*keys)  # the only shuffle by keys
+    found = rows.groupBy(*keys).agg(F.collect_list(F.struct("doc", "had", "has", "was", "now")).alias("rows"), F.max(~(F.col("had") & F.col("has"))).alias("touched")).where("touched")
+    those = lambda flag: F.array_distinct(F.transform(F.filter("rows", lambda x: x[flag]), lambda x: x["doc"])).alias(flag)
+    entries = lambda name: F.array_distinct(F.flatten(F.filter(F.transform("rows", lambda x: x[name]), lambda x: x.isNotNull()))).alias(name)
+    found = found.select(*keys, those("had"), those("has"), entries("was"), entries("now"))
+    most = lambda of, k: F.array_max(F.transform(F.filter(of, lambda e: e["key"] == k), lambda e: e["value"]))
+    names = F.array_sort(F.array_distinct(F.transform(F.concat("was", "now"), lambda e: e["key"])))
+    merged = F.transform(names, lambda k: F.struct(k.alias("k"), F.coalesce(most(F.col("now"), k), most(F.col("was"), k)).alias("v")))
+    altered = F.exists(names, lambda k: most(F.col("now"), k).isNotNull() & ~most(F.col("now"), k).eqNullSafe(most(F.col("was"), k)))
+    empty = F.size("has") == 0
+    differ = (F.size("had") != F.size("has")) | (F.size(F.array_except("has", "had")) > 0)
+    action = F.when(empty, F.when(F.size("had") > 0, "delete")).when(differ | altered, "upsert")
+    out = found.withColumn("action", action).where("action is not null")
+    out = out.select(*keys, "action", F.when(F.size(merged) > 0, F.map_from_entries(merged)).alias("props"), F.when(~empty, F.array_sort("has")).alias("docs"))
     sources = F.array_sort(F.array_distinct(F.transform("docs", lambda x: F.substring_index(x.cast("string"), "/", 1))))
-    return found.withColumn("action", action).where("action is not null").select(*keys, "action", "props", "docs", sources.alias("sources"))
+    return out.select("*", sources.alias("sources"))
 
 
 def cascaded(edges: DataFrame, gone: DataFrame) -> DataFrame:

@@ -23,15 +23,22 @@ def merged(rows: DataFrame, keys: list[str], order: Column | None = None) -> Dat
     edge; of a node it is a fact, on which its documents must agree: two kinds are an error.
     """
     facts = [F.min("kind").alias("kind"), F.max("kind").alias("_other")] if "kind" not in keys else []
-    docs = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("doc")).alias("docs"), *facts)
+    place = order if order is not None else F.col("doc")
+    entry = F.transform(F.map_entries("props"), lambda e: F.struct(e["key"].alias("k"), F.col("_at"), e["value"].alias("v")))
+    kept = rows.withColumn("_at", place).withColumn("_said", F.when(F.size("props") > 0, entry)).select(*rows.drop("props").columns, "_said")
+    # Rows are moved once, as they are: most keys have few, of which sets on the way would only make more.
+    found = kept.repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct("doc", "_said")).alias("_rows"), *facts)
+    told = F.flatten(F.filter(F.transform("_rows", lambda x: x["_said"]), lambda x: x.isNotNull()))
+    docs = F.filter(F.array_distinct(F.transform("_rows", lambda x: x["doc"])), lambda x: x.isNotNull())
+    found = found.withColumn("docs", F.array_sort(docs)).withColumn("_said", F.array_sort(told)).select(*keys, "docs", *[c for c in ("kind", "_other") if facts], "_said")
     if facts:
         clash = F.raise_error(F.concat(F.lit("kinds clash at "), F.col(keys[0]))).cast("string")
-        docs = docs.withColumn("kind", F.when(F.col("kind") != F.col("_other"), clash).otherwise(F.col("kind"))).drop("_other")
-    place = order if order is not None else F.col("doc")
-    said = rows.select(*keys, place.alias("_at"), F.explode("props").alias("k", "v")).groupBy(*keys, "k").agg(F.min_by("v", "_at").alias("v"))
-    props = said.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("props"))
+        found = found.withColumn("kind", F.when(F.col("kind") != F.col("_other"), clash).otherwise(F.col("kind"))).drop("_other")
+    first = lambda k: F.get(F.filter("_said", lambda e: e["k"] == k), F.lit(0))["v"]
+    names = F.array_distinct(F.transform("_said", lambda e: e["k"]))
+    props = F.when(F.size("_said") > 0, F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("k"), first(k).alias("v")))))
     sources = F.array_sort(F.array_distinct(F.transform("docs", lambda x: F.substring_index(x, "/", 1))))
-    return docs.withColumn("sources", sources).join(props, keys, "left")
+    return found.withColumn("sources", sources).withColumn("props", props).drop("_said")
 
 
 def labelled(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -88,18 +95,19 @@ def incremental(store: tuple[DataFrame, DataFrame], docs: DataFrame, change: Del
     return keep(nodes).unionByName(fresh_nodes), keep(edges).unionByName(fresh_edges), node_plan, edge_plan
 
 
-#: The tables of an ingested corpus and what their rows are replaced by; said_... tell which document says what.
+#: The tables of an ingested corpus and what their rows are replaced by; said_... tell which document says what, as often as it does.
 TABLES = {"manifest": ["doc_id"], "nodes": ["id"], "edges": ["src", "kind", "dst"], "said_nodes": ["doc"], "said_edges": ["doc"]}
 KEYS = {"nodes": TABLES["nodes"], "edges": TABLES["edges"]}
 
 
 def ingest(store: Store, docs: DataFrame, extract: Extract) -> int:
     """Ingests a corpus (doc_id, hash, ...) from nothing into a store of TABLES; the version."""
-    said = dict(zip(("nodes", "edges"), map(settle, extract(docs)), strict=True))
+    docs = settle(docs)  # what they say is several times as large, and is made again for each use
+    said = dict(zip(KEYS, extract(docs), strict=True))
     rows = {"manifest": docs.select("doc_id", "hash")}
     for name, keys in KEYS.items():
         rows[name] = merged(said[name], keys)
-        rows[f"said_{name}"] = said[name].select("doc", *keys).distinct()
+        rows[f"said_{name}"] = said[name].select("doc", *keys)
     return store.commit(rows, whole=True)
 
 
@@ -137,7 +145,7 @@ class Maintained:
             return self.read.select("doc_id", "hash")
         if name in KEYS:
             return self.found(name).where("not gone").drop("gone")
-        return self.said[name.removeprefix("said_")].select("doc", *KEYS[name.removeprefix("said_")]).distinct()
+        return self.said[name.removeprefix("said_")].select("doc", *KEYS[name.removeprefix("said_")])
 
     def gone(self, name: str) -> DataFrame:
         """The keys that a table loses."""

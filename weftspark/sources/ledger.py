@@ -35,17 +35,17 @@ LARGE, SMALL = (17, 11, 13, 19), (103, 37, 79, 101)
 def after(docs: DataFrame, divisors: tuple[int, int, int, int] = LARGE) -> DataFrame:
     """The corpus after a change: documents of keys with the first divisor are gone, with the second edited, with the third under another name; each key with the fourth has a new one."""
     gone, edit, move, new = divisors
-    key = F.col("key")
-    edited = (key % edit == 0) & (F.col("kind") == "kep")
-    kept = docs.where((key % gone != 0) | (F.col("kind") == "sig")).select(
-        F.when((key % move == 0) & (F.col("kind") == "kep"), F.concat("doc_id", F.lit("-moved"))).otherwise(F.col("doc_id")).alias("doc_id"), "kind", "key",
-        F.when(edited, F.concat("title", F.lit(" (revised)"))).otherwise(F.col("title")).alias("title"), F.when(edited, (F.col("owner") + 1) % 25).otherwise(F.col("owner")).alias("owner"),
-        F.when(edited, F.slice("authors", 1, 1)).otherwise(F.col("authors")).alias("authors"),
+    key, of = F.col("key"), F.col("kind") == "kep"
+    edited = (key % edit == 0) & of
+    row = lambda doc_id, key, title, owner, authors: F.struct(doc_id.alias("doc_id"), F.col("kind"), key.alias("key"), title.alias("title"), owner.alias("owner"), authors.alias("authors"))
+    own = [F.col(c) for c in ("title", "owner", "authors")]
+    kept = row(
+        F.when((key % move == 0) & of, F.concat("doc_id", F.lit("-moved"))).otherwise(F.col("doc_id")), key, F.when(edited, F.concat("title", F.lit(" (revised)"))).otherwise(own[0]),
+        F.when(edited, (F.col("owner") + 1) % 25).otherwise(own[1]), F.when(edited, F.slice("authors", 1, 1)).otherwise(own[2]),
     )
-    fresh = docs.where((key % new == 0) & (F.col("kind") == "kep")).select(
-        F.concat("doc_id", F.lit("-new")).alias("doc_id"), "kind", (key + 10_000_000).alias("key"), "title", "owner", F.col("authors")
-    )
-    return kept.unionByName(fresh)
+    fresh = row(F.concat("doc_id", F.lit("-new")), key + 10_000_000, *own)
+    rows = F.array(F.when((key % gone != 0) | (F.col("kind") == "sig"), kept), F.when((key % new == 0) & of, fresh))  # docs are worked out once
+    return docs.select(F.inline(F.filter(rows, lambda x: x.isNotNull())))
 
 
 def hashed(docs: DataFrame) -> DataFrame:
@@ -58,19 +58,27 @@ def extract(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     person = lambda key: F.concat(F.lit("person:supplier"), key.cast("string"))
     own = F.when(F.col("kind") == "sig", sig_of(F.col("key"))).when(F.col("kind") == "person", person(F.col("key"))).otherwise(T.numbered(F.col("key").cast("string")))
     empty = F.create_map().cast("map<string,string>")
-    told = docs.withColumn("own", own).withColumn("sig", F.when(F.col("owner").isNotNull(), sig_of(F.col("owner"))))
-    nodes = [
-        told.select(F.col("own").alias("id"), "kind", F.col("doc_id").alias("doc"), F.create_map(F.lit("title"), F.col("title")).alias("props")),
-        told.where("sig is not null").select(F.col("sig").alias("id"), F.lit("sig").alias("kind"), F.col("doc_id").alias("doc"), empty.alias("props")),
-        told.select(F.explode("authors").alias("a"), "doc_id").select(person(F.col("a")).alias("id"), F.lit("person").alias("kind"), F.col("doc_id").alias("doc"), empty.alias("props")),
-    ]
+    told = docs.withColumn("own", own).withColumn("sig", F.when(F.col("owner").isNotNull(), sig_of(F.col("owner")))).withColumn("doc", F.col("doc_id"))
+    node = lambda id_, kind, props=empty: F.struct(id_.alias("id"), kind.alias("kind"), props.alias("props"))
+    edge = lambda src, kind, dst: F.struct(src.alias("src"), kind.alias("kind"), dst.alias("dst"))
+    some = lambda *rows: F.filter(F.array(*rows), lambda x: x.isNotNull())
+    each = lambda make: F.coalesce(F.transform("authors", make), F.array())
+    has = F.col("sig").isNotNull()
+    said = F.concat(
+        some(node(F.col("own"), F.col("kind"), F.create_map(F.lit("title"), F.col("title"))), F.when(has, node(F.col("sig"), F.lit("sig")))),
+        each(lambda a: node(person(a), F.lit("person"))),
+    )
     lead = F.when(F.col("key") % 3 == 0, "CHAIRS").otherwise("TECH_LEADS")
-    edges = [
-        told.where("kind = 'kep' and sig is not null").select(F.col("sig").alias("src"), F.lit("OWNS").alias("kind"), F.col("own").alias("dst"), F.col("doc_id").alias("doc"), empty.alias("props")),
-        told.where("kind = 'person' and sig is not null").select(F.col("own").alias("src"), lead.alias("kind"), F.col("sig").alias("dst"), F.col("doc_id").alias("doc"), empty.alias("props")),
-        told.select(F.explode("authors").alias("a"), "own", "doc_id").select(person(F.col("a")).alias("src"), F.lit("AUTHORS").alias("kind"), F.col("own").alias("dst"), F.col("doc_id").alias("doc"), empty.alias("props")),
-    ]
-    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+    linked = F.concat(
+        some(
+            F.when(has & (F.col("kind") == "kep"), edge(F.col("sig"), F.lit("OWNS"), F.col("own"))),
+            F.when(has & (F.col("kind") == "person"), edge(F.col("own"), lead, F.col("sig"))),
+        ),
+        each(lambda a: edge(person(a), F.lit("AUTHORS"), F.col("own"))),
+    )
+    # One pass over the documents for each of the two: what makes these would run once for each kind of row.
+    nodes = told.select("doc", F.inline(said)).select("id", "kind", "doc", "props")
+    return nodes, told.select("doc", F.inline(linked)).select("src", "kind", "dst", "doc", empty.alias("props"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
