@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftspark.operators.state import settle
-from weftspark.operators.vectors import HELD, matching
+from weftspark.operators.vectors import ASKED, HELD, ROWS, matching
 
 #: Bound on the sample that centres are fitted on: vectors of the smallest digests.
 SAMPLE = 20_000
@@ -118,28 +118,38 @@ def search(index: Cells, questions: DataFrame, k: int, probes: int = 4, enough:
         if not len(a):
             return pd.DataFrame({f.name: [] for f in counted_type}).astype({"score": "float64", "passed": "int64", "seen": "int64"})
         near = best(a, b)
-        may = np.ones((len(a), len(b)), bool)
-        if "wanted" in conditions and len(b):
-            for i, wanted in enumerate(a.wanted):
-                if wanted is not None:
-                    may[i] &= b.label.isin(list(wanted)).to_numpy()
-        if "clearance" in conditions and len(b):
-            rank = a.clearance.to_numpy(np.float64)[:, None]
-            may &= (b.r.to_numpy(np.float64) <= rank) | np.isnan(rank)
-        told = pd.DataFrame({"qid": a.qid, "passed": may.sum(1), "seen": len(b)})
+        passed = np.zeros(len(a), np.int64)
+        codes, labels = pd.factorize(b.label) if "wanted" in conditions else (None, [])
+        place = {label: i for i, label in enumerate(labels)}
+        r = b.r.to_numpy(np.float64) if "clearance" in conditions else None
+        for low in range(0, len(a) if len(b) else 0, ROWS):
+            part = a.iloc[low : low + ROWS]
+            may = np.ones((len(part), len(b)), bool)
+            if "wanted" in conditions:
+                for i, wanted in enumerate(part.wanted):
+                    if wanted is not None:
+                        may[i] = np.isin(codes, [place[x] for x in wanted if x in place])
+            if "clearance" in conditions:
+                rank = part.clearance.to_numpy(np.float64)[:, None]
+                may &= (r <= rank) | np.isnan(rank)
+            passed[low : low + ROWS] = may.sum(1)
+        told = pd.DataFrame({"qid": a.qid, "passed": passed, "seen": len(b)})
         return pd.concat([near.assign(passed=0, seen=0), told]).reindex(columns=counted_type.names)
 
     facts = {"wanted": "label", "clearance": "r"}
     held = index.rows.select("cell", "part", *dict.fromkeys(["chunk_id", "v", *carry, *(facts[c] for c in conditions)]))
     sizes = F.broadcast(index.sizes.select("cell", "parts"))
     asked = settle(_order(questions.where("q is not null").select("qid", "q", *conditions), index, exact))
+    blocks = max(1, -(-asked.count() // ASKED))  # however many questions look into a cell, a task gets about ASKED of them
+    held = held.withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     hit = F.struct((-F.col("score")).alias("loss"), "chunk_id", *carry)
     state, at, step = None, 0, max(1, probes)
     while at < len(index.centres):
         open_ = asked if state is None else asked.join(state.where("open").select("qid"), "qid")
         probed = open_.select("qid", "q", *conditions, F.explode(F.slice("cells", F.lit(at + 1), F.lit(step))).alias("c")).select("qid", "q", *conditions, F.col("c.cell").alias("cell"))
         probed = probed.join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        met = probed.groupBy("cell", "part").cogroup(held.groupBy("cell", "part")).applyInPandas(block, counted_type)
+        probed = probed.withColumn("bq", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+        met = probed.groupBy("cell", "part", "bq").cogroup(held.groupBy("cell", "part", "bq")).applyInPandas(block, counted_type)
         new = met.groupBy("qid").agg(F.array_sort(F.collect_list(F.when(F.col("chunk_id").isNotNull(), hit))).alias("near"), F.sum("passed").alias("p"), F.sum("seen").alias("s"))
         at, step = at + step, at + step
         next_ = asked.select("qid", F.get("cells", F.lit(at))["most"].alias("most"))
