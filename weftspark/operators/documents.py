@@ -9,6 +9,7 @@ from weftspark.functions import documents as D
 from weftspark.functions import questions as Q
 from weftspark.functions import text as T
 from weftspark.operators import similar, vectors
+from weftspark.operators.meeting import meet
 from weftspark.operators.state import settle
 from weftspark.operators.store import Store
 
@@ -309,7 +310,7 @@ def get_policies(quads: DataFrame, params: DataFrame | None = None) -> DataFrame
 def policies_by_domain(quads: DataFrame, params: DataFrame) -> DataFrame:
     """The template of that name over params (qid, domain): rows as of `get_policies` with their qid; a null domain is an error."""
     told = params.select("qid", F.when(F.col("domain").isNull(), F.raise_error(F.lit("domain is required")).cast("string")).otherwise(F.col("domain")).alias("domain"))
-    return told.join(get_policies(quads), "domain").select("qid", "uri", "title", "effective_date", "domain")
+    return meet(told, get_policies(quads, params), ["domain"]).select("qid", "uri", "title", "effective_date", "domain")
 
 
 def unshaped(classes: DataFrame, rules: DataFrame) -> DataFrame:
