@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftspark.operators.state import few
+
 #: The least precision and recall that a resolver passes with.
 BAR = 0.8
 
@@ -150,28 +152,34 @@ def common_length(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.S
         yield pd.Series(out, dtype="int64")
 
 
+common_length = common_length.asNondeterministic()  # else a filter on it measures every pair twice
+
+
 def overlaps(questions: DataFrame, golds: DataFrame, least: int = 12, shingle: int | None = None) -> DataFrame:
     """(qid, id, overlap) of questions (qid, text) and texts (id, text) with a common substring of `least` characters or more.
 
     Texts are cut at every `step` characters into seeds of `shingle`, so that whatever has `least` characters holds
-    two neighbouring seeds in full. Of any two neighbours the one that fewer texts have is enough: common
-    wording leads to no pair where something rarer stands beside it, and nothing is lost. Seeds meet all runs of the questions;
-    only pairs that meet are measured, on the whole texts. Null texts overlap with nothing.
+    a seed in full. Seeds meet all runs of the questions, each with the characters before and after it
+    that can belong to what is to be found: only pairs that have `least` characters in common there are kept, so common wording leads to no pair.
+    These are measured on the whole texts. Null texts overlap with nothing. Few questions go to every task, so texts aren't shuffled.
     """
-    shingle = shingle or max(1, least * 2 // 5)
-    step = (least - shingle + 1) // 2
+    shingle = shingle or max(1, least * 3 // 4)
+    step = least - shingle + 1
     if step < 1:
-        raise ValueError("two seeds must fit what is to be found")
+        raise ValueError("a seed must fit what is to be found")
+    around = step - 1
     low = F.lower(F.col("text"))
-    starts = lambda by: F.sequence(F.lit(1), F.greatest(F.length(low) - shingle + 1, F.lit(1)), F.lit(by))
-    cut = lambda i: F.substr(F.col("_low"), i, F.lit(shingle))
-    long_enough = F.length(low) >= least
-    own = questions.where(long_enough).select("qid", low.alias("_low"), starts(1).alias("_at")).select("qid", F.explode(F.array_distinct(F.transform("_at", cut))).alias("run"))
-    seeds = golds.where(long_enough).select("id", low.alias("_low"), starts(step).alias("_at")).select("id", F.posexplode(F.transform("_at", cut)).alias("n", "run"))
-    held = seeds.groupBy("run").agg(F.count("*").alias("held"))
-    order = Window.partitionBy("id").orderBy("n")
-    rated = seeds.join(held, "run").withColumn("before", F.lag("held").over(order)).withColumn("after", F.lead("held").over(order))
-    rare = rated.where((F.coalesce("before", F.col("held")) >= F.col("held")) | (F.coalesce("after", F.col("held")) >= F.col("held")))
-    pairs = own.join(rare.select("id", "run").distinct(), "run").select("qid", "id").distinct()
-    told = pairs.join(questions.select("qid", F.col("text").alias("a")), "qid").join(golds.select("id", F.col("text").alias("b")), "id")
+
+    def windows(rows: DataFrame, key: str, by: int, filler: str, name: str) -> DataFrame:
+        """(key, run, name): seeds at every `by` characters, and these with what is around them; before the text stand fillers."""
+        found = F.regexp_extract_all(F.concat(F.lit(filler * around), low), F.lit(f"(?s)(?=(.{{{around + shingle},{around + least}}})).{{{by}}}"), F.lit(1))
+        held = rows.where(F.length(low) >= least).select(key, F.explode(found).alias(name))
+        return held.select(key, F.substring(name, step, shingle).alias("run"), name)
+
+    own = few(windows(questions, "qid", 1, "\0", "_own").distinct())
+    seeds = windows(golds, "id", step, "\1", "_held")
+    part = lambda name, i: F.substr(F.col(name), i, F.lit(least))
+    same = F.exists(F.sequence(F.lit(1), F.lit(step)), lambda i: (part("_own", i) == part("_held", i)) & (F.length(part("_own", i)) == least))
+    pairs = few(seeds.join(own, "run").where(same).select("qid", "id").distinct())
+    told = golds.select("id", F.col("text").alias("b")).join(pairs, "id").join(questions.select("qid", F.col("text").alias("a")), "qid")
     return told.select("qid", "id", common_length("a", "b").alias("overlap")).where(F.col("overlap") >= least)
