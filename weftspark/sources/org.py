@@ -28,14 +28,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, kind, dst): OWNS sig > kep, CHAIRS and TECH_LEADS person > sig, AUTHORS person > kep, each once."""
+def edges(spark: SparkSession, sf_dir: str, once: bool = True) -> DataFrame:
+    """(src, kind, dst): OWNS sig > kep, CHAIRS and TECH_LEADS person > sig, AUTHORS person > kep, each once; or as often as rows tell it, for readers that deduplicate what they pick."""
     person = F.concat(F.lit("person:supplier"), F.col("s_suppkey").cast("string"))
     lead = F.when(F.col("s_suppkey") % 3 == 0, "CHAIRS").otherwise("TECH_LEADS")
     owns = table(spark, sf_dir, "part").select(sig_of(F.col("p_partkey") % 25).alias("src"), F.lit("OWNS").alias("kind"), T.numbered(F.col("p_partkey").cast("string")).alias("dst"))
     leads = table(spark, sf_dir, "supplier").select(person.alias("src"), lead.alias("kind"), sig_of(F.col("s_nationkey")).alias("dst"))
-    wrote = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    wrote = wrote.select(
+    wrote = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey")
+    wrote = (wrote.distinct() if once else wrote).select(
         F.concat(F.lit("person:supplier"), F.col("l_suppkey").cast("string")).alias("src"), F.lit("AUTHORS").alias("kind"), T.numbered(F.col("l_partkey").cast("string")).alias("dst")
     )
     return owns.unionByName(leads).unionByName(wrote)
