@@ -220,8 +220,7 @@ k AS (SELECT c.qid, 1 AS hop, c.kind FROM c JOIN h1 USING (qid, id) UNION ALL SE
 SELECT qid, hop, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds, 'deterministic' AS methods FROM k GROUP BY qid, hop""")
 def hop_kinds(spark, d):
     """The edge kinds, and how edges of these kinds were found, that brought each hop's nodes."""
-    nodes, edges = org.nodes(spark, d), org.edges(spark, d)
-    adj = graph.adjacency(nodes, edges, once=True)
+    nodes = org.nodes(spark, d)
     seeds = nodes.where("kind = 'person'").select(F.col("id").alias("qid"), "id")
-    found = graph.hop_kinds(seeds, graph.expand(seeds, adj), adj)
+    found = graph.hop_kinds(seeds, graph.bare(nodes, org.edges(spark, d, once=False)))
     return found.select("qid", "hop", F.array_join("kinds", ",").alias("kinds"), F.array_join("methods", ",").alias("methods"))
